@@ -550,7 +550,7 @@ def forward_returns(
             F.max(F.when(within, up / F.col("atr"))).alias(f"_up{h}"),
             F.max(F.when(within, down / F.col("atr"))).alias(f"_dn{h}"),
         ]
-    extremes = path.groupBy("event_id").agg(*aggs)
+    extremes = path.groupBy(*by, "event_id").agg(*aggs)
     cells = F.array(
         *[
             F.struct(
@@ -561,7 +561,7 @@ def forward_returns(
         ]
     )
     wide = (
-        entered.join(extremes, "event_id")
+        entered.join(extremes, [*by, "event_id"])
         .withColumn("_h", F.explode(cells))
         .select(*entered.columns, "_h.*")
         .withColumn("exit_at", minutes_after("entry_at", F.col("horizon_minutes")))
@@ -622,11 +622,11 @@ def barrier_first(
         by=by, start="entry_at", end="exit_at", on="bar_at",
     )
     limit = F.lit(barrier_atr)
-    touched = path.groupBy("event_id").agg(
+    touched = path.groupBy(*by, "event_id").agg(
         F.min(F.when((F.col("mid_high") - F.col("_entry")) / F.col("atr") >= limit, F.col("bar_at"))).alias("_up_at"),
         F.min(F.when((F.col("_entry") - F.col("mid_low")) / F.col("atr") >= limit, F.col("bar_at"))).alias("_dn_at"),
     )
-    out = at_horizon.join(touched, "event_id")
+    out = at_horizon.join(touched, [*by, "event_id"])
     long = F.col("predicted_direction") == "long"
     fav = F.when(long, F.col("_up_at")).otherwise(F.col("_dn_at"))
     adv = F.when(long, F.col("_dn_at")).otherwise(F.col("_up_at"))

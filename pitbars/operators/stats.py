@@ -236,7 +236,10 @@ def _samples(df: DataFrame) -> DataFrame:
     return df.withColumn("sample", F.explode(names))
 
 
-def outcome_summary(outcomes: DataFrame) -> DataFrame:
+def outcome_summary(
+    outcomes: DataFrame, event_key: Sequence[str] = ("symbol", "event_id")
+) -> DataFrame:
+    """Coverage, signed returns and excursions per sample, scope, primitive, rule and horizon."""
     scopes = {
         "session": "session", "direction": "event_direction", "event_type": "primitive",
         "context_alignment": "context_alignment", "displacement_strength": "displacement_strength",
@@ -245,7 +248,7 @@ def outcome_summary(outcomes: DataFrame) -> DataFrame:
     emitted = F.col("emitted_prediction") & F.col("signed_forward_return_atr").isNotNull()
     r = F.when(emitted, F.col("signed_forward_return_atr"))
     return scoped.groupBy("sample", "scope", "value", "primitive", "rule", "horizon_minutes").agg(
-        F.count_distinct("event_id").alias("event_count"),
+        F.count_distinct(*event_key).alias("event_count"),
         F.sum(F.when(emitted, 1).otherwise(0)).alias("prediction_count"),
         F.avg(emitted.cast("double")).alias("prediction_coverage"),
         F.avg(r).alias("mean_signed_return_atr"),
@@ -293,11 +296,12 @@ def paired_baselines(
     *,
     horizon: int = 60,
     baselines: Sequence[str] = ("session_momentum", "session_mean_reversion", "four_bar_close_breakout"),
+    event_key: Sequence[str] = ("symbol", "event_id"),
 ) -> DataFrame:
     """Mean increment of the event direction over each baseline on events where both predict."""
     primary = outcomes.where(F.col("is_primary") & (F.col("horizon_minutes") == horizon))
     at = lambda rule: F.max(F.when(F.col("rule") == rule, F.col("signed_forward_return_atr")))
-    wide = primary.groupBy("primitive", "event_id").agg(
+    wide = primary.groupBy("primitive", *event_key).agg(
         at("event_direction").alias("_event"), *[at(b).alias(b) for b in baselines]
     )
     long = wide.select(
@@ -315,12 +319,35 @@ def paired_baselines(
 def _numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     """Rows with position ``_i`` and group size ``_k``, numbered in hash-range blocks of ``order``."""
     src = df.withColumn("_tok", id_token(order))
-    block = F.floor(F.col("_tok") / F.lit(1 << 50)).cast("long")
+    block = F.shiftright("_tok", 50)
     out = with_row_index(src, keys, ["_tok", order], block, "_i")
     sizes = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_k"))
     return out.join(sizes, list(keys)).drop("_tok")
 
 
+REP_BLOCK = 100
+
+
+def _spread_resamples(df: DataFrame, keys: Sequence[str], resamples: int) -> DataFrame:
+    """Each row once per resample (``rep``), spread over tasks by blocks of resamples.
+
+    The few source rows are first copied per block and hash-distributed with a fixed partition
+    count (AQE would fold so few bytes into one task), then expanded next to their block, so
+    partial aggregation sees all rows of a resample together.
+    """
+    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    blocks = (resamples + REP_BLOCK - 1) // REP_BLOCK
+    first = F.col("_rb") * REP_BLOCK
+    return (
+        df.withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
+        .repartition(tasks, *keys, "_rb")
+        .withColumn(
+            "rep", F.explode(F.sequence(first, F.least(first + REP_BLOCK - 1, F.lit(resamples - 1))))
+        )
+        .drop("_rb")
+    )
+
+
 def cluster_bootstrap(
     df: DataFrame,
     *,
@@ -345,9 +372,7 @@ def cluster_bootstrap(
     )
     numbered = _numbered(daily, keys, cluster).select(*keys, "_i", "_k", "_sum", "_cnt")
     slots = numbered.select(*keys, F.col("_i").alias("_slot"), "_k")
-    reps = slots.withColumn(
-        "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))
-    )
+    reps = _spread_resamples(slots, keys, resamples)
     picks = reps.select(
         *keys, "rep", (draw(seed, F.col("rep"), F.col("_slot")) % F.col("_k")).alias("_i")
     )
@@ -372,7 +397,7 @@ def random_sign_null(
     df: DataFrame,
     *,
     value: str,
-    row_id: str,
+    row_id: str | Column,
     keys: Sequence[str] = ("primitive",),
     resamples: int = 10_000,
     seed: int = 20260901,
@@ -382,9 +407,7 @@ def random_sign_null(
     clean = df.where(F.col(value).isNotNull()).select(
         *keys, id_token(row_id).alias("_tok"), F.col(value).alias("_v")
     )
-    reps = clean.withColumn(
-        "rep", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long")))
-    )
+    reps = _spread_resamples(clean, keys, resamples)
     coin = draw(seed, F.col("rep"), F.col("_tok")) % 2
     signed = F.when(coin == 1, F.col("_v")).otherwise(-F.col("_v"))
     est = reps.groupBy(*keys, "rep").agg(F.avg(signed).alias("_est"))
@@ -401,11 +424,10 @@ def set_fingerprint(df: DataFrame, column: str, keys: Sequence[str] = ()) -> Dat
     """Order-free identity of a set of ids: count and sum of 60-bit md5 tokens (mod 2^61-1)."""
     modulus = (1 << 61) - 1
     token = id_token(col(column))
-    half = 1 << 30
     # two partial sums keep the arithmetic inside 64 bits for up to 2^33 rows
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("member_count"),
-        (F.sum(F.floor(token / F.lit(half)).cast("long")) % modulus).alias("token_high"),
-        (F.sum(F.pmod(token, F.lit(half))) % modulus).alias("token_low"),
+        (F.sum(F.shiftright(token, 30)) % modulus).alias("token_high"),
+        (F.sum(F.pmod(token, F.lit(1 << 30))) % modulus).alias("token_low"),
     )
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions.columns import safe_div
 from .bars import PRICE_COLUMNS, SIDES
 from .labels import TOUCH
+from .quantiles import with_quantiles
 
 
 def _count_if(cond: Column) -> Column:
@@ -60,6 +61,10 @@ def month_grid(df: DataFrame, start: str, end: str) -> DataFrame:
     )
 
 
+def _year_month(day: str) -> tuple[int, int]:
+    return int(day[:4]), int(day[5:7])
+
+
 def missing_months(bars: DataFrame, start: str, end: str) -> DataFrame:
     found = bars.select(F.trunc(F.to_date("timestamp"), "MM").alias("month")).distinct()
     return month_grid(bars, start, end).join(found, "month", "left_anti")
@@ -76,19 +81,21 @@ def coverage_audit(
         (F.col("timestamp") >= F.lit(start).cast("timestamp"))
         & (F.col("timestamp") < F.lit(end).cast("timestamp"))
     )
-    months = month_grid(bars, start, end)
-    grid = months.agg(F.count(F.lit(1)).alias("expected_months"))
+    (y0, m0), (y1, m1) = _year_month(start), _year_month(end)
+    expected = (y1 - y0) * 12 + m1 - m0 + (0 if end[8:10] in ("", "01") else 1)
     found = inside.groupBy(*by).agg(
         F.count_distinct(F.trunc(F.to_date("timestamp"), "MM")).alias("available_months"),
         F.count(F.lit(1)).alias("bar_count"),
         F.min("timestamp").alias("first_timestamp"),
         F.max("timestamp").alias("last_timestamp"),
         _count_if(F.col("ask_close") < F.col("bid_close")).alias("crossed_close_count"),
-        F.median("spread_median_pips").alias("spread_median_pips"),
-        F.percentile("spread_median_pips", 0.95).alias("spread_p95_pips"),
         F.max("spread_median_pips").alias("spread_max_pips"),
     )
-    out = found.join(duplicate_rows(inside, [*by, "timestamp"], by), list(by)).join(F.broadcast(grid))
+    spread = {"spread_median_pips": 0.5, "spread_p95_pips": 0.95}
+    found = with_quantiles(found, inside, by, {"spread_median_pips": spread})
+    out = found.join(duplicate_rows(inside, [*by, "timestamp"], by), list(by)).withColumn(
+        "expected_months", F.lit(expected)
+    )
     return (
         out.withColumnRenamed("duplicate_count", "duplicate_timestamp_count")
         .withColumn("missing_months", F.col("expected_months") - F.col("available_months"))

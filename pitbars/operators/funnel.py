@@ -6,7 +6,7 @@ compares them; resolution wins on the same bar.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -91,8 +91,13 @@ def entry_funnel(
     fine_minutes: int = 1,
     target_atr: float = 2.0,
     by: Sequence[str] = ("symbol",),
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> DataFrame:
-    """Three rows per mapped signal, one per entry model, each with its terminal status."""
+    """Three rows per mapped signal, one per entry model, each with its terminal status.
+
+    Each stage reads its signals twice (to scan their paths and to keep them); ``cut``
+    writes the stage's rows, so a plan does not repeat the stages before it.
+    """
     by = list(by)
     s = sign_of("direction")
     valid = F.col("mapping_status") == "valid"
@@ -125,6 +130,7 @@ def entry_funnel(
         .withColumn("coarse_gap_id", F.when(F.col("_has"), F.col("_gid")))
         .withColumn("coarse_gap_available_at", F.when(F.col("_has"), F.col("_gat")))
     )
+    plan = cut(plan)
     live = plan.where("_has")
     unmet = F.when(~valid, "invalid_parent_mapping").when(~F.col("_has"), "no_directional_m5_fvg")
     decided_first = F.col("_res_at").isNotNull() & (
@@ -153,6 +159,7 @@ def entry_funnel(
     e2 = e2.withColumn("mitigation_bar_at", F.when(~decided_first, F.col("_mit_at"))).withColumn(
         "_known", minutes_after("mitigation_bar_at", fine_minutes)
     )
+    e2 = cut(e2)
     fg = fine_gaps.select(
         *by, "direction", F.col("fvg_id").alias("_fid"), F.col("available_at").alias("_fat"),
         F.col("first_bar_at").alias("_ffirst"), F.col("lower_bound").alias("_flo"),
@@ -174,6 +181,7 @@ def entry_funnel(
         .withColumn("fine_gap_available_at", F.col("_f._fat"))
         .drop("_f")
     )
+    e2 = cut(e2)
     recheck = range_join(
         e2.where("fine_gap_available_at is not null").select(
             *by, "signal_id", "direction", "_stop", "_target", "_known", "fine_gap_available_at"
@@ -200,19 +208,20 @@ def entry_funnel(
 
 
 def _enter(df: DataFrame, bars: DataFrame, by: Sequence[str]) -> DataFrame:
-    """First bar at or after ``_from`` before the cutoff, its opens and its own resolution."""
+    """First bar at or after ``_from`` before the cutoff, its opens and its own resolution.
+
+    Rows without ``_from`` find no bar, so the lookup keeps every row and needs no join back.
+    """
     named = {
         "ask_open": "_ask", "bid_open": "_bid",
         "bid_high": "bid_high", "bid_low": "bid_low", "ask_high": "ask_high", "ask_low": "ask_low",
     }
-    out = first_bar_after(
-        df.where("_from is not null"), bars, on="_from", cols=named, by=by, before="cutoff_at"
-    )
-    entry = out.select(
-        "signal_id", F.col("entry_at").alias("_entry_at"), "_ask", "_bid",
-        _resolution().alias("_entry_res"),
+    out = first_bar_after(df, bars, on="_from", cols=named, by=by, before="cutoff_at")
+    return (
+        out.withColumn("_entry_res", _resolution())
+        .withColumnRenamed("entry_at", "_entry_at")
+        .drop("bid_high", "bid_low", "ask_high", "ask_low")
     )
-    return df.join(entry, "signal_id", "left")
 
 
 def _finish(df: DataFrame, status: Column, model: str, by: Sequence[str]) -> DataFrame:

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import iso, micros, to_trade_direction
@@ -335,10 +335,11 @@ def _sweep_hits(
     passes = F.when(high, F.col("mid_high") >= F.col("swept_level") + buffer).otherwise(
         F.col("mid_low") <= F.col("swept_level") - buffer
     )
-    hits = joined.where(passes)
-    # one row per swing: pick by position first (primitive min: hash aggregate), then equi-join
-    firsts = hits.groupBy(*by, "event_type", "_pivot").agg(F.min("bar_idx").alias("bar_idx"))
-    return hits.join(firsts, [*by, "event_type", "_pivot", "bar_idx"], "left_semi")
+    # one row per swing, combined map-side: the hit at the smallest position
+    keys = [*by, "event_type", "_pivot"]
+    rest = [c for c in joined.columns if c not in keys]
+    first = F.min_by(F.struct(*rest), F.col("bar_idx")).alias("_first")
+    return joined.where(passes).groupBy(*keys).agg(first).select(*keys, "_first.*")
 
 
 def label_sweeps(
@@ -354,9 +355,8 @@ def label_sweeps(
     back = F.when(high, F.col("mid_close") <= F.col("swept_level")).otherwise(
         F.col("mid_close") >= F.col("swept_level")
     )
-    inside = hits.where(back)
-    sides = inside.groupBy(*by, "bar_idx").agg(F.count(F.lit(1)).alias("_sides"))
-    single = inside.join(sides.where("_sides = 1"), [*by, "bar_idx"])
+    per_bar = Window.partitionBy(*by, "bar_idx")  # at most two rows
+    single = hits.where(back).withColumn("_sides", F.count(F.lit(1)).over(per_bar)).where("_sides = 1")
     excursion = F.when(high, F.col("mid_high") - F.col("swept_level")).otherwise(
         F.col("swept_level") - F.col("mid_low")
     )

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -100,8 +100,12 @@ def label_order_blocks(
     pip_size: float = 0.0001,
     timeframes: Sequence[str] = ("15min", "1H", "4H"),
     by: Sequence[str] = BY,
+    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
 ) -> tuple[DataFrame, DataFrame]:
-    """(zones, anchor audit). One zone per direction and candidate candle."""
+    """(zones, anchor audit). One zone per direction and candidate candle.
+
+    The ranked anchors and the zones are each read by several branches; ``cut`` writes them.
+    """
     by = list(by)
     if geometry not in ("full_wick_range", "body_range"):
         raise ValueError(f"Unsupported order block geometry: {geometry}")
@@ -122,7 +126,7 @@ def label_order_blocks(
     )
     # anchors sharing a candidate lie within ``lookback`` bars of it: small partitions
     w = Window.partitionBy(*by, "direction", "_c.candidate_index").orderBy("bar_idx", "event_seq")
-    ranked = found.withColumn("_rank", F.when(F.col("_known"), F.row_number().over(w)))
+    ranked = cut(found.withColumn("_rank", F.when(F.col("_known"), F.row_number().over(w))))
     audit = ranked.select(
         *by,
         F.concat(F.lit("ob-anchor:"), F.col("event_id"), F.lit(f":lb{lookback}")).alias("event_id"),
@@ -147,8 +151,8 @@ def label_order_blocks(
         "_c.candidate_index", "_c.candidate_bar_id", "_c.candidate_at", "_c.candidate_available_at",
         F.col(f"_c.{low}").alias("lower_bound"), F.col(f"_c.{high}").alias("upper_bound"),
     )
-    zones = with_row_index(
-        zones, by, ["anchor_index", "event_seq"], index_block("anchor_index"), "_ord"
+    zones = cut(
+        with_row_index(zones, by, ["anchor_index", "event_seq"], index_block("anchor_index"), "_ord")
     )
     life = _lifecycle(bars, zones, max_age, by)
     confluence = gaps.groupBy(*by, "event_at", "direction").agg(

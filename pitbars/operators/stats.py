@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.columns import col, draw, id_token, profit_factor, safe_div
+from ..session import materialize
 from .blocks import running_peak, running_total, time_block, with_row_index
 from .outcomes import SEQUENCE_LABELS, STOP_FIRST_LABELS
+from .quantiles import group_quantiles, with_quantiles
 
 
 def opportunity_panel(
@@ -54,7 +56,6 @@ def trade_measures(value: str = "net_r", win: str = "win") -> list[Column]:
         F.sum(F.when(F.col(win), 1).otherwise(0)).alias("win_count"),
         F.sum(v).alias("total_net_r"),
         F.avg(v).alias("mean_trade_net_r"),
-        F.median(v).alias("median_trade_net_r"),
         F.avg(F.col(win).cast("double")).alias("win_rate"),
         profit_factor(value).alias("profit_factor"),
     ]
@@ -73,8 +74,10 @@ def metrics(
     The denominator is the session's own count only for the session scope, else the period's.
     """
     scopes = scopes or {"session": "session", "direction": "direction"}
-    extra = [F.median(c).alias(f"median_{c}") for c in medians]
-    core = by_scope(outcomes, scopes).groupBy(*keys, "scope", "value").agg(*trade_measures(), *extra)
+    group = [*keys, "scope", "value"]
+    rows = by_scope(outcomes, scopes)
+    middle = {"net_r": {"median_trade_net_r": 0.5}, **{c: {f"median_{c}": 0.5} for c in medians}}
+    core = with_quantiles(rows.groupBy(*group).agg(*trade_measures()), rows, group, middle)
     period = [k for k in keys if k in opportunities.columns]
     denominators = by_scope(
         opportunities, {"session": "session"} if "session" in scopes else {}
@@ -165,28 +168,30 @@ def describe(df: DataFrame, columns: Sequence[str], keys: Sequence[str] = ()) ->
     cells = F.array(
         *[F.struct(F.lit(c).alias("measure"), F.col(c).cast("double").alias("v")) for c in columns]
     )
-    return (
-        df.withColumn("_c", F.explode(cells))
-        .groupBy(*keys, F.col("_c.measure").alias("measure"))
-        .agg(F.count("_c.v").alias("count"), F.percentile("_c.v", F.array(F.lit(0.5), F.lit(0.05), F.lit(0.95))).alias("_q"))
-        .select(
-            *keys, "measure", "count",
-            F.col("_q")[0].alias("median"), F.col("_q")[1].alias("p05"), F.col("_q")[2].alias("p95"),
-        )
+    long = df.withColumn("_c", F.explode(cells)).select(
+        *keys, F.col("_c.measure").alias("measure"), F.col("_c.v").alias("_x")
     )
+    group = [*keys, "measure"]
+    counts = long.groupBy(*group).agg(F.count("_x").alias("count"))
+    q = group_quantiles(long, group, "_x", {"median": 0.5, "p05": 0.05, "p95": 0.95})
+    return counts.join(q, group, "left")
 
 
 def stop_distance_summary(mappings: DataFrame) -> DataFrame:
     scoped = by_scope(mappings, {"session": "session", "event_type": "event_type"})
-    q = lambda p: F.percentile("structural_stop_atr", p)
-    return scoped.groupBy("scope", "value").agg(
+    core = scoped.groupBy("scope", "value").agg(
         F.count(F.lit(1)).alias("signal_count"),
-        q(0.25).alias("stop_atr_q25"), q(0.5).alias("stop_atr_median"),
-        q(0.75).alias("stop_atr_q75"), q(0.9).alias("stop_atr_q90"),
         F.max("structural_stop_atr").alias("stop_atr_max"),
-        F.median("theoretical_lots_at_fixed_risk").alias("theoretical_lots_median"),
         F.min("theoretical_lots_at_fixed_risk").alias("theoretical_lots_minimum"),
     )
+    distance = {"stop_atr_q25": 0.25, "stop_atr_median": 0.5, "stop_atr_q75": 0.75, "stop_atr_q90": 0.9}
+    return with_quantiles(
+        core, scoped, ["scope", "value"],
+        {
+            "structural_stop_atr": distance,
+            "theoretical_lots_at_fixed_risk": {"theoretical_lots_median": 0.5},
+        },
+    )
 
 
 def excursion_summary(
@@ -200,15 +205,14 @@ def excursion_summary(
     mae, mfe = "max_adverse_excursion_atr", "max_favorable_excursion_atr"
     scoped = by_scope(excursions, {"session": "session", "direction": "direction"})
     aggs = [F.count(F.lit(1)).alias("signal_count")]
-    for p in quantiles:
-        aggs += [
-            F.percentile(mae, p).alias(f"mae_atr_q{round(p * 100):02d}"),
-            F.percentile(mfe, p).alias(f"mfe_atr_q{round(p * 100):02d}"),
-        ]
     rate = lambda c, k: F.avg((F.col(c) >= k).cast("double"))
     aggs += [rate(mae, k).alias(f"mae_ge_{str(k).replace('.', '_')}_atr_rate") for k in stops]
     aggs += [rate(mfe, k).alias(f"mfe_ge_{str(k).replace('.', '_')}_atr_rate") for k in targets]
-    return scoped.groupBy(*keys, "scope", "value").agg(*aggs)
+    group = [*keys, "scope", "value"]
+    named = lambda tag: {f"{tag}_atr_q{round(p * 100):02d}": p for p in quantiles}
+    return with_quantiles(
+        scoped.groupBy(*group).agg(*aggs), scoped, group, {mae: named("mae"), mfe: named("mfe")}
+    )
 
 
 def sequence_summary(paths: DataFrame, keys: Sequence[str] = ("period",)) -> DataFrame:
@@ -247,16 +251,18 @@ def outcome_summary(
     scoped = by_scope(_samples(outcomes), scopes)
     emitted = F.col("emitted_prediction") & F.col("signed_forward_return_atr").isNotNull()
     r = F.when(emitted, F.col("signed_forward_return_atr"))
-    return scoped.groupBy("sample", "scope", "value", "primitive", "rule", "horizon_minutes").agg(
+    group = ["sample", "scope", "value", "primitive", "rule", "horizon_minutes"]
+    core = scoped.groupBy(*group).agg(
         F.count_distinct(*event_key).alias("event_count"),
         F.sum(F.when(emitted, 1).otherwise(0)).alias("prediction_count"),
         F.avg(emitted.cast("double")).alias("prediction_coverage"),
         F.avg(r).alias("mean_signed_return_atr"),
-        F.median(r).alias("median_signed_return_atr"),
         F.avg(F.when(emitted, (r > 0).cast("double"))).alias("positive_return_rate"),
         F.avg(F.when(emitted, F.col("mfe_atr"))).alias("mean_mfe_atr"),
         F.avg(F.when(emitted, F.col("mae_atr"))).alias("mean_mae_atr"),
     )
+    middle = {"signed_forward_return_atr": {"median_signed_return_atr": 0.5}}
+    return with_quantiles(core, scoped.where(emitted), group, middle)
 
 
 def barrier_summary(barriers: DataFrame) -> DataFrame:
@@ -357,6 +363,7 @@ def cluster_bootstrap(
     resamples: int = 10_000,
     level: float = 0.95,
     seed: int = 20260901,
+    cut: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """Percentile interval of the mean, resampling clusters with replacement.
 
@@ -366,11 +373,12 @@ def cluster_bootstrap(
     equi-join on (key, position) and combined map-side; nothing is collected.
     """
     keys = list(keys)
-    clean = df.where(F.col(value).isNotNull())
-    daily = clean.groupBy(*keys, cluster).agg(
-        F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_cnt")
+    daily = cut(
+        df.where(F.col(value).isNotNull())
+        .groupBy(*keys, cluster)
+        .agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_cnt"))
     )
-    numbered = _numbered(daily, keys, cluster).select(*keys, "_i", "_k", "_sum", "_cnt")
+    numbered = cut(_numbered(daily, keys, cluster).select(*keys, "_i", "_k", "_sum", "_cnt"))
     slots = numbered.select(*keys, F.col("_i").alias("_slot"), "_k")
     reps = _spread_resamples(slots, keys, resamples)
     picks = reps.select(
@@ -386,11 +394,12 @@ def cluster_bootstrap(
         F.percentile("_est", alpha / 2).alias("ci_lower"),
         F.percentile("_est", 1 - alpha / 2).alias("ci_upper"),
     )
-    point = clean.groupBy(*keys).agg(
-        F.avg(value).alias("estimate"), F.count(F.lit(1)).alias("row_count")
+    point = numbered.groupBy(*keys).agg(
+        (F.sum("_sum") / F.sum("_cnt")).alias("estimate"),
+        F.sum("_cnt").alias("row_count"),
+        F.count(F.lit(1)).alias("cluster_count"),
     )
-    clusters = numbered.groupBy(*keys).agg(F.count(F.lit(1)).alias("cluster_count"))
-    return point.join(clusters, keys).join(ci, keys).withColumn("resamples", F.lit(resamples))
+    return point.join(ci, keys).withColumn("resamples", F.lit(resamples))
 
 
 def random_sign_null(

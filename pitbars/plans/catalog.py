@@ -72,12 +72,12 @@ class EventStudy(Study):
 
     @cached_property
     def event_table(self) -> DataFrame:
-        return labels.union_events(self.breaks, self.sweeps, self.displacements)
+        return self._cut(labels.union_events(self.breaks, self.sweeps, self.displacements))
 
     @cached_property
     def order_blocks(self) -> tuple[DataFrame, DataFrame]:
         return ob.label_order_blocks(
-            self.bars, self.breaks, self.gaps, pip_size=PIP, timeframes=("1H", "4H")
+            self.bars, self.breaks, self.gaps, pip_size=PIP, timeframes=("1H", "4H"), cut=self._cut
         )
 
     @cached_property
@@ -130,8 +130,10 @@ class EventStudy(Study):
 
     @cached_property
     def both_trades(self) -> DataFrame:
-        return out.bracket_outcome(
-            self.both_signals, self.base, stop_atr=0.5, target_r=1.0, costs=COSTS, bar_minutes=30
+        return self._cut(
+            out.bracket_outcome(
+                self.both_signals, self.base, stop_atr=0.5, target_r=1.0, costs=COSTS, bar_minutes=30
+            )
         )
 
     @cached_property
@@ -160,7 +162,7 @@ class EventStudy(Study):
         return self._cut(
             funnel.entry_funnel(
                 self.mappings, self.base, self.fine, self.coarse_gaps, self.fine_gaps,
-                coarse_minutes=30, fine_minutes=10,
+                coarse_minutes=30, fine_minutes=10, cut=self._cut,
             )
         )
 

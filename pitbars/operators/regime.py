@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import iso
+from ..session import materialize
 from .asof import asof
 from .blocks import DEFAULT_BLOCK_ROWS, START, index_block, previous_row
 from .labels import BY, _trigger_eligible
@@ -144,7 +145,7 @@ def structure_segments(
     buffer_atr: float | Column = 0.05,
     by: Sequence[str] = BY,
     block_rows: int = DEFAULT_BLOCK_ROWS,
-    cut: Callable[[DataFrame], DataFrame] = lambda df: df,
+    cut: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """One row per segment: levels, first closes beyond them, regime at its start, real change.
 
@@ -349,9 +350,15 @@ def label_regime(
     displacement_body_atr: float = 0.80,
     by: Sequence[str] = BY,
     block_rows: int = DEFAULT_BLOCK_ROWS,
+    cut: Callable[[DataFrame], DataFrame] = materialize,
 ) -> tuple[DataFrame, DataFrame]:
-    """(breaks, contexts) of every series."""
-    seg = structure_segments(bars, swings, buffer_atr=buffer_atr, by=by, block_rows=block_rows)
+    """(breaks, contexts) of every series. Pass written ``bars`` and ``swings``: both are read
+    by several branches."""
+    seg = cut(
+        structure_segments(
+            bars, swings, buffer_atr=buffer_atr, by=by, block_rows=block_rows, cut=cut
+        )
+    )
     return (
         breaks_from_segments(seg, bars, displacement_body_atr=displacement_body_atr, by=by),
         contexts_from_segments(seg, bars, by=by, block_rows=block_rows),

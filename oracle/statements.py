@@ -168,7 +168,7 @@ EXTRA = {
     case when hit is null then least(last_at + interval 30 minute, cutoff_at) else least(hit_at + interval 30 minute, cutoff_at) end as exit_at,
     case hit when 1 then 'hard_stop_gap' when 2 then 'target_gap' when 3 then 'hard_stop' when 4 then 'target' when 5 then 'protected_stop_gap'
       when 6 then 'protected_stop' else 'time' end as exit_reason,
-    case when moved then least(g + interval 30 minute, cutoff_at) end as trigger_observed_at, case when moved then nxt end as protection_active_from
+    case when moved and g is not null then least(g + interval 30 minute, cutoff_at) end as trigger_observed_at, case when moved then nxt end as protection_active_from
   from (
     select signal_id, v as variant_id, any_value(moved) as moved, any_value(sgn) as sgn, any_value(cutoff_at) as cutoff_at, any_value(g) as g, any_value(tgt) as tgt,
       any_value(structural_stop_price) as stop, any_value(risk) as risk_price, any_value(p_entry_at) as entry_at, any_value(p_entry) as entry_reference_price,

@@ -330,7 +330,10 @@ def protected_bracket(
         )
         .withColumn(
             "trigger_observed_at",
-            F.when(moved, F.least(minutes_after("_g", bar_minutes), F.col("cutoff_at"))),
+            F.when(
+                moved & F.col("_g").isNotNull(),  # least() would skip a NULL
+                F.least(minutes_after("_g", bar_minutes), F.col("cutoff_at")),
+            ),
         )
         .withColumn("protection_active_from", F.when(moved, F.col("_next")))
         .drop("_h", "_g", "_next", "_hard", "_safe")

@@ -7,7 +7,6 @@ share instants. Every query reads a whole table.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -20,7 +19,7 @@ from ..operators import order_blocks as ob
 from ..operators import outcomes as out
 from ..operators import signals, stats
 from ..params import FILTER_RULES, SESSIONS, Costs, LabelParams
-from ..session import configure, ensure_checkpoint_dir
+from ..session import configure, scratch_path
 from ..sources import readers
 from .present import present
 from .tables import Study, event_ticks, order_ticks
@@ -33,12 +32,6 @@ CONTEXTS = ("4H", "1D")
 RESAMPLES = 200
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh folder inside the shared checkpoint folder."""
-    ensure_checkpoint_dir(spark)
-    return f"{spark.sparkContext.getCheckpointDir()}/{name}-{uuid.uuid4().hex}"
-
-
 class EventStudy(Study):
     """Tables derived from ``events`` that several queries share."""
 

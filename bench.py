@@ -63,7 +63,7 @@ def main() -> None:
     def fresh() -> catalog.EventStudy:
         study = catalog.study(spark, sf_dir, fresh=True)
         if copies > 1:
-            study.ticks = study.ticks.withColumn(
+            study.ticks = study.ticks.repartition(int(cpus)).withColumn(
                 "_n", F.explode(F.sequence(F.lit(1), F.lit(copies)))
             ).withColumn("symbol", F.concat_ws("#", "symbol", "_n")).drop("_n")
         return study

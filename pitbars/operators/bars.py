@@ -59,35 +59,36 @@ def ticks_to_bars(
     95th percentile keep a value->count map per bucket; ``approximate_quantiles`` trades
     them for bounded sketches.
     """
-    order = F.struct("ts", "seq")
-    prices = []
-    for side in SIDES:
-        prices += [
-            F.min_by(side, order).alias(f"{side}_open"),
-            F.max(side).alias(f"{side}_high"),
-            F.min(side).alias(f"{side}_low"),
-            F.max_by(side, order).alias(f"{side}_close"),
-        ]
     spread = F.col("spread_pips").cast("double")
-    if approximate_quantiles:
-        mid, p95 = (F.percentile_approx(spread, q, 10_000) for q in (0.5, 0.95))
-    else:
-        mid, p95 = F.median(spread), F.percentile(spread, 0.95)
-    return (
-        ticks.groupBy(*by, F.window("ts", duration).alias("_w"))
-        .agg(
-            *prices,
-            F.count(F.lit(1)).alias("tick_count"),
-            F.sum("activity").alias("activity_count"),
-            F.min_by(spread, order).alias("spread_open_pips"),
-            mid.alias("spread_median_pips"),
-            p95.alias("spread_p95_pips"),
-            F.max(spread).alias("spread_max_pips"),
-            F.min("ts").alias("first_tick_timestamp"),
-            F.max("ts").alias("last_tick_timestamp"),
-        )
-        .select(*by, F.col("_w.start").alias("timestamp"), *BAR_COLUMNS[1:])
+    # one smallest and one largest (ts, seq) row give all opens and closes
+    opening = F.min(F.struct("ts", "seq", "bid", "ask", "mid", spread.alias("spread"))).alias("_o")
+    closing = F.max(F.struct("ts", "seq", "bid", "ask", "mid")).alias("_c")
+    extremes = []
+    for side in SIDES:
+        extremes += [F.max(side).alias(f"{side}_high"), F.min(side).alias(f"{side}_low")]
+    middle = F.array(F.lit(0.5), F.lit(0.95))
+    quantiles = (
+        F.percentile_approx(spread, middle, 10_000)
+        if approximate_quantiles
+        else F.percentile(spread, middle)
     )
+    made = ticks.groupBy(*by, F.window("ts", duration).alias("_w")).agg(
+        opening,
+        closing,
+        *extremes,
+        F.count(F.lit(1)).alias("tick_count"),
+        F.sum("activity").alias("activity_count"),
+        quantiles.alias("_q"),
+        F.max(spread).alias("spread_max_pips"),
+    )
+    ends = [F.col(f"_o.{s}").alias(f"{s}_open") for s in SIDES]
+    ends += [F.col(f"_c.{s}").alias(f"{s}_close") for s in SIDES]
+    return made.select(
+        "*", F.col("_w.start").alias("timestamp"), *ends,
+        F.col("_o.spread").alias("spread_open_pips"),
+        F.col("_q")[0].alias("spread_median_pips"), F.col("_q")[1].alias("spread_p95_pips"),
+        F.col("_o.ts").alias("first_tick_timestamp"), F.col("_c.ts").alias("last_tick_timestamp"),
+    ).select(*by, *BAR_COLUMNS)
 
 
 def trading_week_filter(
@@ -121,15 +122,11 @@ def rollup_bars(
     src = trading_week_filter(bars, "timestamp", tz, boundary_hour).withColumn(
         "_r", F.explode(F.array(*routes))
     )
-    t = F.col("timestamp")
-    prices = []
+    opens = [f"{side}_open" for side in SIDES] + ["spread_open_pips"]
+    closes = [f"{side}_close" for side in SIDES]
+    extremes = []
     for side in SIDES:
-        prices += [
-            F.min_by(f"{side}_open", t).alias(f"{side}_open"),
-            F.max(f"{side}_high").alias(f"{side}_high"),
-            F.min(f"{side}_low").alias(f"{side}_low"),
-            F.max_by(f"{side}_close", t).alias(f"{side}_close"),
-        ]
+        extremes += [F.max(f"{side}_high").alias(f"{side}_high"), F.min(f"{side}_low").alias(f"{side}_low")]
     extra = [F.sum(c).alias(c) for c in OPTIONAL_SUMS if c in bars.columns]
     out = src.groupBy(
         *by,
@@ -137,19 +134,29 @@ def rollup_bars(
         F.col("_r.start").alias("bucket_start"),
         F.col("_r.end").alias("available_at"),
     ).agg(
-        *prices,
+        F.min(F.struct("timestamp", *opens)).alias("_o"),
+        F.max(F.struct("timestamp", *closes)).alias("_c"),
+        *extremes,
         F.sum("tick_count").alias("tick_count"),
         F.sum("activity_count").alias("activity_count"),
-        F.min_by("spread_open_pips", t).alias("spread_open_pips"),
         F.median("spread_median_pips").alias("spread_median_pips"),
         F.max("spread_p95_pips").alias("spread_p95_pips"),
         F.max("spread_max_pips").alias("spread_max_pips"),
         F.count(F.lit(1)).alias("source_count"),
-        F.min("timestamp").alias("first_source_timestamp"),
-        F.max("timestamp").alias("last_source_timestamp"),
         *extra,
     )
-    out = out.withColumnRenamed("bucket_start", "timestamp")
+    out = out.select(
+        *by, "timeframe", F.col("bucket_start").alias("timestamp"), "available_at",
+        *[
+            F.col(f"{'_o' if f == 'open' else '_c'}.{s}_{f}") if f in ("open", "close") else F.col(f"{s}_{f}")
+            for s in SIDES
+            for f in OHLC
+        ],
+        *COUNT_COLUMNS, F.col("_o.spread_open_pips"), *SPREAD_COLUMNS[1:], "source_count",
+        F.col("_o.timestamp").alias("first_source_timestamp"),
+        F.col("_c.timestamp").alias("last_source_timestamp"),
+        *[c for c in OPTIONAL_SUMS if c in bars.columns],
+    )
     return with_coverage(out, base_minutes, by)
 
 

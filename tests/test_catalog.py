@@ -8,7 +8,7 @@ import __spark_entry__ as entry
 from tools.check import rows
 
 SF = "/root/testdata/sf0.001"
-SAMPLE = ["tick_bars", "rollup_anchored", "regime_breaks", "zone_touches", "bracket", "bootstrap_ci", "constraints"]
+SAMPLE = ["tick_bars", "rollup_anchored", "regime_breaks", "zone_touches", "bootstrap_ci"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables absent")
 

@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -70,13 +71,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def over_batches(
-    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, object]]], schema: str
+    df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[dict[str, object]]], schema: str | StructType
 ) -> DataFrame:
     """``fn`` maps a batch to dicts of columns (lists or Arrow arrays) in the order of ``schema``."""
     from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
 
-    arrow = to_arrow_schema(StructType.fromDDL(schema), prefers_large_types=False)
+    typed = StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(typed, prefers_large_types=False)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -92,14 +93,9 @@ def over_batches(
     return df.mapInArrow(run, schema)
 
 
-def raw(batch: pa.RecordBatch, name: str) -> list[bytes]:
-    """UTF-8 bytes of a string column; null counts as empty."""
-    return [x or b"" for x in batch.column(name).cast(pa.binary()).to_pylist()]
-
-
-def few_rows(batch: pa.RecordBatch, rows: int) -> Iterator[pa.RecordBatch]:
-    for at in range(0, batch.num_rows, rows):
-        yield batch.slice(at, rows)
+def texts(batch: pa.RecordBatch, name: str = "text") -> list[str]:
+    """A string column; null counts as empty."""
+    return [x or "" for x in batch.column(name).to_pylist()]
 
 
 def components(ws: Workspace, edges: DataFrame) -> DataFrame:

@@ -23,3 +23,45 @@ with slim as (
 select doc_id, size::bigint size, 'rows' law, shard::int shard,
   (pos - (shard * total + {n_shards - 1}) // {n_shards})::bigint slot, null::int grown_shard
 from cut"""
+
+
+def quality(limit_docs: int = 10, limit_share: float = 0.01) -> str:
+    ws = r"[\x20\x09-\x0D]+"
+    lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    norm = f"trim(regexp_replace({lower.format('line')}, '{ws}', ' ', 'g'))"
+    return rf"""
+with docs as (
+  select row_number() over () r, doc_id, coalesce('=' || source, '-') host, coalesce(text, '') body from documents
+), words as (
+  select r, list_filter(regexp_split_to_array(body, '{ws}'), lambda w: w <> '') w from docs
+), windows as (
+  select r, i, array_to_string(w[i:i + 7], ' ') g from (select r, w, unnest(range(1, len(w) - 6)) i from words)
+), twice as (
+  select r, i from windows qualify count(*) over (partition by r, g) > 1
+), repeated as (
+  select r, count(distinct i + k) n from twice, range(8) x(k) group by r
+), lines as (
+  select r, host, body, line, {norm} norm from (select r, host, body, unnest(string_split(body, chr(10))) line from docs)
+), with_word as (
+  select *, len(string_split(norm, ' ')) n from lines where norm <> ''
+), dup as (
+  select r, count(*) - count(distinct line) n from with_word group by r
+), hosts as (
+  select host, greatest({limit_docs}, {limit_share} * count(distinct body)) most from docs group by host
+), often as (
+  select host, norm from (select host, norm, count(distinct body) n from with_word group by host, norm) join hosts using (host)
+  where n > most
+), gone as (
+  select r, sum(n) n from with_word join often using (host, norm) group by r
+), figures as (
+  select doc_id, len(w) n_words, len(array_to_string(w, '')) word_chars,
+    len(regexp_replace(body, '[^#*$%&|<>]', '', 'g')) n_symbols, coalesce(dup.n, 0) n_dup_lines,
+    coalesce(repeated.n, 0) n_repeat_words, coalesce(gone.n, 0)::bigint n_removed_words
+  from docs join words using (r) left join dup using (r) left join repeated using (r) left join gone using (r)
+), judged as (
+  select *, n_words < 20 or 100 * n_repeat_words > 30 * n_words base_failed from figures
+)
+select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
+  n_repeat_words::bigint n_repeat_words, n_removed_words, base_failed,
+  not base_failed and 100 * n_removed_words <= 50 * n_words and n_words - n_removed_words >= 20 kept
+from judged"""

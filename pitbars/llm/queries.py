@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import bpe, oracle, packing, sharding, token_store
+from pitbars.llm import bpe, oracle, packing, quality, sharding, token_store
 from pitbars.llm.common import Workspace, read
 
 
@@ -38,8 +38,12 @@ def op9_interleaving(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_packing, op8_byte_pairs, op9_interleaving)
+    f.__name__: f for f in (op1_token_store, op2_packing, op8_byte_pairs, op9_interleaving, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving()}
+ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op10_quality": oracle.quality()}

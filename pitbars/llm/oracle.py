@@ -65,3 +65,39 @@ select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols
   n_repeat_words::bigint n_repeat_words, n_removed_words, base_failed,
   not base_failed and 100 * n_removed_words <= 50 * n_words and n_words - n_removed_words >= 20 kept
 from judged"""
+
+
+def near_duplicates(size: int = 2, percent: int = 80) -> str:
+    """Every pair that shares a shingle is counted; equal sets are one class before that."""
+    words = (
+        "list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', "
+        "'abcdefghijklmnopqrstuvwxyz'), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '')"
+    )
+    return f"""
+with recursive words as materialized (
+  select doc_id, {words} w from documents
+), sets as materialized (
+  select doc_id, list_sort(list_distinct(case when len(w) = 0 then []::varchar[]
+    when len(w) < {size} then [array_to_string(w, ' ')]
+    else list_transform(range(1, len(w) - {size} + 2), lambda i: array_to_string(w[i:i + {size} - 1], ' ')) end)) s from words
+), classes as materialized (
+  select s, min(doc_id) id, len(s) n from sets where len(s) > 0 group by s
+), items as materialized (
+  select id, n, unnest(s) g from classes
+), pairs as materialized (
+  select a.id a, b.id b, count(*) k, any_value(a.n) na, any_value(b.n) nb
+  from items a join items b on a.g = b.g and a.id < b.id
+    and 100 * least(a.n, b.n) >= {percent} * greatest(a.n, b.n)
+  group by a.id, b.id
+), links as materialized (
+  select a, b from pairs where 100 * k >= {percent} * (na + nb - k)
+), both_ways as materialized (
+  select a, b from links union all select b, a from links
+), reach(id, root) as (
+  select distinct a, a from both_ways union select b, root from reach join both_ways on a = id
+), roots as (
+  select id, min(root) root from reach group by id
+)
+select doc_id, len(sets.s)::bigint n_shingles, coalesce(root, id, doc_id) component_id,
+  coalesce(root, id, doc_id) = doc_id kept
+from sets left join classes on sets.s = classes.s and len(sets.s) > 0 left join roots using (id)"""

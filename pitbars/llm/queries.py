@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import bpe, oracle, packing, quality, sharding, token_store
+from pitbars.llm import bpe, minhash, oracle, packing, quality, sharding, token_store
 from pitbars.llm.common import Workspace, read
 
 
@@ -21,6 +21,10 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), size=1024)
 
 
+def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_size=2)
+
+
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read(spark, sf_dir, "documents"))
 
@@ -43,7 +47,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_packing, op8_byte_pairs, op9_interleaving, op10_quality)
+    f.__name__: f for f in (op1_token_store, op2_packing, op4_minhash, op8_byte_pairs, op9_interleaving, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op10_quality": oracle.quality()}
+ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op4_minhash": oracle.near_duplicates(), "op10_quality": oracle.quality()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import bpe, minhash, oracle, packing, quality, sharding, token_store
+from pitbars.llm import bpe, langid, minhash, oracle, packing, pii, quality, sharding, token_store
 from pitbars.llm.common import Workspace, read
 
 
@@ -25,6 +25,17 @@ def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_size=2)
 
 
+def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 4 == 2, F.lit(False))
+    docs = read(spark, sf_dir, "documents")
+    net = langid.fit(docs.where(~held_out))
+    return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.digest(pii.extract(read(spark, sf_dir, "documents")))
+
+
 def op8_byte_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encode_texts(read(spark, sf_dir, "documents"))
 
@@ -47,7 +58,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_packing, op4_minhash, op8_byte_pairs, op9_interleaving, op10_quality)
+    f.__name__: f for f in (op1_token_store, op2_packing, op4_minhash, op5_language, op7_personal_data, op8_byte_pairs, op9_interleaving, op10_quality)
 }
 
 ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op4_minhash": oracle.near_duplicates(), "op10_quality": oracle.quality()}

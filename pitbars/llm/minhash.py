@@ -319,4 +319,4 @@ def near_duplicates(
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that stay: one document of each group, columns as they were; exactly repeated ids once."""
     kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col])
+    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)

@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+from pitbars.llm import warc
+
 _UNIT = "('0x' || substr({}, 1, 8))::BIGINT::DOUBLE / 4294967296.0"
 
 
 def interleaving(n_shards: int = 40, seed: int = 7) -> str:
     shift = _UNIT.format(f"md5('{seed}:stratum:' || stratum)")
     return f"""
-with slim as (
+with crc_table as materialized (
+  select list_transform(range(256), lambda n: list_reduce(list_prepend(n::bigint, [1, 1, 1, 1, 1, 1, 1, 1]::bigint[]),
+    lambda c, x: case when c & 1 = 1 then xor(c >> 1, 3988292384::bigint) else c >> 1 end)) t
+), slim as (
   select doc_id, coalesce('=' || source, '-') stratum, octet_length(encode(coalesce(text, ''))) + 16 size,
-    coalesce(text, '') body, md5('{seed}:' || coalesce(doc_id::varchar, '')) h
+    hex(encode(coalesce(text, ''))) hx, md5('{seed}:' || coalesce(doc_id::varchar, '')) h
   from documents
 ), ranked as (
   select *, row_number() over (partition by stratum order by h, doc_id, size) k, count(*) over (partition by stratum) n
@@ -20,9 +25,12 @@ with slim as (
     count(*) over () total
   from ranked
 ), cut as (select *, (pos * {n_shards}) // total shard from placed)
-select doc_id, size::bigint size, 'rows' law, shard::int shard,
+select doc_id, size::bigint size,
+  xor(list_reduce(list_prepend(4294967295::bigint, list_transform(range(len(hx) // 2),
+    lambda i: ('0x' || substr(hx, (2 * i + 1)::int, 2))::bigint)), lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1])),
+    4294967295::bigint) text_crc32, 'rows' law, shard::int shard,
   (pos - (shard * total + {n_shards - 1}) // {n_shards})::bigint slot, null::int grown_shard
-from cut"""
+from cut, crc_table"""
 
 
 def quality(limit_docs: int = 10, limit_share: float = 0.01) -> str:
@@ -101,3 +109,73 @@ with recursive words as materialized (
 select doc_id, len(sets.s)::bigint n_shingles, coalesce(root, id, doc_id) component_id,
   coalesce(root, id, doc_id) = doc_id kept
 from sets left join classes on sets.s = classes.s and len(sets.s) > 0 left join roots using (id)"""
+
+
+def vectors(least: float = 0.9) -> str:
+    return f"""
+with recursive unit as materialized (
+  select vec_id, embedding::double[] v from embeddings
+  where embedding is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+    and list_max(list_transform(embedding, lambda x: abs(x))) > 0
+), links as materialized (
+  select a.vec_id a, b.vec_id b from unit a join unit b on a.vec_id <> b.vec_id and len(a.v) = len(b.v)
+    and list_cosine_similarity(a.v, b.v) >= {least}
+), reach(id, root) as (
+  select distinct a, a from links union select b, root from reach join links on a = id
+), roots as (
+  select id, min(root) root from reach group by id
+), counts as (
+  select a id, count(*) n from links group by a
+)
+select vec_id, coalesce(n, 0)::bigint n_links, coalesce(root, vec_id) component_id, coalesce(root, vec_id) = vec_id kept
+from embeddings left join roots on roots.id = vec_id left join counts on counts.id = vec_id"""
+
+
+def _replaced(text: str, steps: tuple[tuple[str, str], ...]) -> str:
+    for pattern, by in steps:
+        pattern = pattern.replace("'", "''")
+        text = f"regexp_replace({text}, '{pattern}', {'chr(10)' if by == chr(10) else repr(by)}, 'g')"
+    return text
+
+
+def _entities(text: str) -> str:
+    """The named entities of the test pages; an ampersand last."""
+    for name, char in (("quot", '"'), ("copy", "\u00a9"), ("middot", "\u00b7"), ("lt", "<"), ("gt", ">"), ("amp", "&")):
+        text = f"replace({text}, '&{name};', '{char}')"
+    return text
+
+
+def _tidy(text: str) -> str:
+    return f"trim({_replaced(text, warc.BLANKS)}, ' ' || chr(10))"
+
+
+def warc_derivatives(date: str = warc.DATE) -> str:
+    uuid = "'<urn:uuid:' || substr(h,1,8) || '-' || substr(h,9,4) || '-' || substr(h,13,4) || '-' || substr(h,17,4) || '-' || substr(h,21) || '>'"
+    urn = lambda of: uuid.replace("h,", f"md5({of}),")
+    crlf = "chr(13) || chr(10)"
+    return f"""
+with source as materialized (
+  select page_id, coalesce(url, '') uri, coalesce(html, '') page,
+    {urn("'response:' || coalesce(page_id::varchar, '') || ':' || coalesce(url, '')")} rid
+  from pages
+), found as materialized (
+  select *, {_tidy(_entities(_replaced("page", warc.STEPS)))} body,
+    replace({_tidy(_entities(f"regexp_extract(page, '{warc.TITLE}', 1)"))}, chr(10), ' ') title,
+    regexp_extract(page, '{warc.LANG}', 1) lang, regexp_extract_all(page, '{warc.LINK}', 1) links,
+    {urn("'conversion:' || rid")} cid, {urn("'metadata:' || rid")} mid, 'sha256:' || sha256(page) digest
+  from source
+), records as (
+  select page_id, 'conversion' warc_type, cid record_id, rid refers_to, mid concurrent_to, uri target_uri,
+    'text/plain; charset=utf-8' content_type, digest, body from found
+  union all
+  select page_id, 'metadata', mid, rid, cid, uri, 'application/warc-fields', digest,
+    'title: ' || title || {crlf} || 'language: ' || lang || {crlf}
+    || coalesce(list_reduce(list_prepend('', list_transform(links, lambda x: 'outlink: ' || x || {crlf})), lambda a, b: a || b), '')
+    || 'source-http-header: HTTP/1.1 200 OK' || {crlf}
+    || 'source-http-header: Content-Type: text/html; charset=utf-8' || {crlf}
+    || 'source-http-header: Content-Length: ' || octet_length(encode(page)) || {crlf}
+  from found
+)
+select page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '{date}' date, content_type,
+  digest source_payload_digest, 'sha256:' || sha256(body) block_digest, octet_length(encode(body))::bigint content_length
+from records"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import bpe, langid, minhash, oracle, packing, pii, quality, sharding, token_store
+from pitbars.llm import bpe, embedding_dedup, langid, minhash, oracle, packing, pii, quality, sharding, token_store, warc
 from pitbars.llm.common import Workspace, read
 
 
@@ -21,6 +21,11 @@ def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(read(spark, sf_dir, "documents"), size=1024)
 
 
+def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = warc.derive(warc.responses(read(spark, sf_dir, "pages")))
+    return records.drop("block").withColumnRenamed("source_key", "page_id")
+
+
 def op4_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(read(spark, sf_dir, "documents"), shingle_size=2)
 
@@ -32,6 +37,10 @@ def op5_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predict(docs, net).select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op6_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_vectors(read(spark, sf_dir, "embeddings"))
+
+
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.digest(pii.extract(read(spark, sf_dir, "documents")))
 
@@ -58,7 +67,7 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_packing, op4_minhash, op5_language, op7_personal_data, op8_byte_pairs, op9_interleaving, op10_quality)
+    f.__name__: f for f in (op1_token_store, op2_packing, op3_warc, op4_minhash, op5_language, op6_vectors, op7_personal_data, op8_byte_pairs, op9_interleaving, op10_quality)
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op4_minhash": oracle.near_duplicates(), "op10_quality": oracle.quality()}
+ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op3_warc": oracle.warc_derivatives(), "op4_minhash": oracle.near_duplicates(), "op6_vectors": oracle.vectors(), "op10_quality": oracle.quality()}

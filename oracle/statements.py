@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from .ctes import NY, _swing, _wall, compose, slip_fill
 
-M31 = 2147483647
 
 
 def fmt(spec: str) -> str:
@@ -30,17 +29,9 @@ def scoped(source: str, scopes: dict[str, str]) -> str:
     return f"(select * exclude (_s), _s.scope as scope, _s.value as \"value\" from (select *, unnest([{', '.join(cells)}]) as _s from {source}) where _s.value is not null)"
 
 
-def draw(*parts: str) -> tuple[str, str]:
-    """(alias definitions, final alias) of the deterministic draw, via chained aliases."""
-    out, prev = [], "0::bigint"
-    for k, part in enumerate(parts):
-        out.append(f"({prev} * 1000003 + (({part})::bigint % {M31}) + 12345) % {M31} as d{k}")
-        prev = f"d{k}"
-    for k, factor in enumerate((48271, 69621, 16807)):
-        out.append(f"({prev} * {factor} + 11) % {M31} as e{k}")
-        out.append(f"xor(e{k}, e{k} >> 15) % {M31} as f{k}")
-        prev = f"f{k}"
-    return ", ".join(out), prev
+def draw(*parts: str) -> str:
+    """60 bits of the md5 of the parts."""
+    return token(" || ':' || ".join(f"({p})::varchar" for p in parts))
 
 
 def token(c: str) -> str:
@@ -58,13 +49,13 @@ METRICS = f"""
     on o.period = m.period and o.session is not distinct from case when m.scope = 'session' then m."value" end"""
 
 
-def bootstrap(rows: str, keys: str, value: str, resamples: int = 200) -> str:
-    defs, last = draw("20260901", "rep", "slot")
+def bootstrap(rows: str, keys: str, value: str, resamples: int = 10000) -> str:
+    pos = draw("20260901", "rep", "slot")
     return f"""
   with src as (select {keys} as k, session_date, {value} as v from {rows}),
   daily as (select k, session_date, sum(v) as s, count(*) as c from src group by all),
   num as (select *, row_number() over (partition by k order by {token("session_date")}, session_date) - 1 as i, count(*) over (partition by k) as n from daily),
-  picks as (select k, rep, {defs}, {last} % n as pos from (select k, i as slot, n, unnest(range({resamples})) as rep from num)),
+  picks as (select k, rep, {pos} % n as pos from (select k, i as slot, n, unnest(range({resamples})) as rep from num)),
   est as (select p.k, rep, sum(s) / sum(c) as e from picks p join num q on q.k = p.k and q.i = p.pos group by all)
   select {{0}}, row_count, cluster_count, estimate, ci_lower, ci_upper from
     (select k, avg(v) as estimate, count(*) as row_count, count(distinct session_date) as cluster_count from src group by k)
@@ -265,7 +256,7 @@ EXTRA = {
 
 def statements(specs: dict[str, str]) -> dict[str, str]:
 
-    sign_defs, sign_last = draw("20260901", "rep", "tok")
+    bits = draw("20260901", "grp", "tok")
     right = {f"swr{r}": " union all ".join(_swing(k, r) for k in ("high", "low")) for r in (1, 3)}
     inner = {
         "tick_bars": "select * from base",
@@ -326,7 +317,9 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
       where (not d or displacement_qualified) and (not v1 or not o1) and (not v4 or not o4))
     qualify row_number() over (partition by filter_id, opportunity_id order by decision_at, source_event_id) = 1""",
         "fit_direction": """select session, direction, m as construction_mean_net_r, direction = first_value(direction) over (partition by session order by m desc, direction) as selected
-    from (select session, direction, avg(net_r) as m from bothtrade group by all)""",
+    from (select session, direction, avg(net_r) as m from bothtrade where period = 'construction' group by all)""",
+        "fitted_signals": """select s.signal_id, s.opportunity_id, s.session, s.direction, 'fitted' as model_id from bothsig s join (select session, direction from
+    (select session, direction, avg(net_r) as m from bothtrade where period = 'construction' group by all) qualify row_number() over (partition by session order by m desc, direction) = 1) f using (session, direction)""",
         "funnel_counts": """select session, count(*) as structure_candidates, sum((h1_context = w)::int) as h1_aligned_candidates, sum((h4_context = w)::int) as h4_aligned_candidates,
       sum((h1_context = w and h4_context = w)::int) as h1_h4_aligned_candidates, sum((h1_context = w and h4_context = w and displacement_qualified and conf)::int) as aligned_confluent_candidates
     from (select c.*, case when direction = 'long' then 'bullish' else 'bearish' end as w, exists (select 1 from gap g where g.symbol = c.symbol and g.bar_id = c.signal_bar_id
@@ -353,6 +346,8 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
       from (select symbol, exit_at, signal_id, sum(net_r) over (partition by symbol order by exit_at, signal_id rows unbounded preceding) as eq from trade)) group by symbol""",
         "calendar_counts": """select e.event_type, m.month, (select count(*) from brk x where x.event_type = e.event_type and strftime(x.event_at, '%Y-%m') = m.month) as event_count
     from (select distinct event_type from brk) e, (select y || '-' || lpad(q::varchar, 2, '0') as month from (values (2024), (2025)) a(y), range(1, 13) r(q)) m""",
+        "calendar_year_counts": """select e.event_type, y::varchar as "year", (select count(*) from brk x where x.event_type = e.event_type and year(x.event_at) = y) as event_count
+    from (select distinct event_type from brk) e, (select unnest(range(min(year(event_at)), max(year(event_at)) + 1)) as y from brk)""",
         "monthly": "select session, session_date[:7] as month, count(*) as trade_count, avg(win::int) as win_rate, sum(net_r) as total_net_r, avg(net_r) as mean_trade_net_r from trade group by all",
         "best_month": "select symbol, max(t) filter (t > 0) / sum(t) filter (t > 0) as best_month_share from (select symbol, session_date[:7] as month, sum(net_r) as t from trade group by all) group by symbol",
         "exit_summary": "select session, exit_reason, count(*) as trade_count, sum(net_r) as total_net_r, avg(net_r) as mean_trade_net_r from trade group by all",
@@ -390,11 +385,12 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
         "paired_bootstrap": bootstrap("(select session, session_date, opportunity_id, max(case when model_id = 'fit_short' then net_r end) - max(case when model_id = 'fit_long' then net_r end) as dif from pan group by all)", "session", "dif").replace("{0}", "k as session"),
         "sign_null": f"""
   with src as (select primitive, {token("symbol || ':' || event_id")} as tok, raw_forward_return_atr as v from fwd where is_primary and rule = 'event_direction' and horizon_minutes = 60),
-  d as (select primitive, rep, v, {sign_defs}, {sign_last} % 2 as coin from (select *, unnest(range(200)) as rep from src)),
+  g as (select *, {bits} as bits from (select *, unnest(range(167)) as grp from src)),
+  d as (select primitive, grp * 60 + b as rep, v, (bits >> b) & 1 as coin from g, range(60) r(b) where grp * 60 + b < 10000),
   est as (select primitive, rep, avg(case when coin = 1 then v else -v end) as e from d group by all)
   select primitive, n as event_count, null_mean, null_p025, null_p975 from (select primitive, count(*) as n from src group by all)
     join (select primitive, avg(e) as null_mean, quantile_cont(e, 0.025::double) as null_p025, quantile_cont(e, 0.975::double) as null_p975 from est group by all) using (primitive)""",
-        "set_fingerprint": f"select timeframe, count(*) as member_count, sum(t >> 30) % 2305843009213693951 as token_high, sum(t % 1073741824) % 2305843009213693951 as token_low from (select timeframe, {token('bar_id')} as t from b) group by all",
+        "set_fingerprint": f"select timeframe, count(*) as member_count, sum(t >> 30) % 2305843009213693951 as token_high, sum(t % 1073741824) % 2305843009213693951 as token_low from (select timeframe, {token("symbol || ':' || bar_id")} as t from b) group by all",
         "check_bars": "select symbol, count(*) as bar_count, " + ", ".join(
             f"sum(({s}_high < {s}_low or {s}_high < {s}_open or {s}_high < {s}_close or {s}_low > {s}_open or {s}_low > {s}_close)::int) as {s}_violation_count" for s in ("bid", "ask", "mid")
         ) + ", sum((ask_close < bid_close)::int) as crossed_close_count, count(*) - count(distinct \"timestamp\") as duplicate_timestamp_count, 0 as missing_column_count, min(\"timestamp\") as first_timestamp, max(\"timestamp\") as last_timestamp, bid_violation_count + ask_violation_count + mid_violation_count + duplicate_timestamp_count = 0 as valid from base group by symbol",

@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from ..params import FX_BOUNDARY_HOUR, FX_TZ
 
 ISO = "yyyy-MM-dd'T'HH:mm:ssxxx"
-DRAW_MODULUS = 2147483647
 
 
 def col(c: Column | str) -> Column:
@@ -85,19 +84,23 @@ def to_trade_direction(direction: Column | str) -> Column:
 
 
 def draw(*parts: Column | int) -> Column:
-    """Deterministic pseudo-random integer in [0, 2^31-1) from integer parts.
+    """Deterministic pseudo-random integer in [0, 2^60) from integer parts.
 
-    Three multiply-xor rounds in 64-bit arithmetic that never overflows, so the same
-    integers come out of any SQL engine and the expression stays in generated code.
+    The first 60 bits of the md5 of the parts as text: every change of a part changes all bits, so draws of different
+    resamples or slots are unrelated however many there are, and any SQL engine gives the same integers.
     """
-    h: Column = F.lit(0).cast("long")
-    for part in parts:
-        p = F.lit(part) if isinstance(part, int) else part
-        h = (h * 1_000_003 + F.pmod(p.cast("long"), F.lit(DRAW_MODULUS)) + 12_345) % DRAW_MODULUS
-    for factor in (48_271, 69_621, 16_807):
-        h = (h * factor + 11) % DRAW_MODULUS
-        h = h.bitwiseXOR(F.shiftright(h, 15)) % DRAW_MODULUS
-    return h
+    text = F.concat_ws(":", *[F.lit(str(p)) if isinstance(p, int) else p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
+#: Coins that one draw holds.
+COINS = 60
+
+
+def coin(seed: int, rep: Column, token: Column) -> Column:
+    """Deterministic fair coin (0 or 1) of resample ``rep`` for a row: a bit of the draw of its group of resamples."""
+    bits = draw(seed, F.floor(rep / COINS).cast("long"), token)
+    return F.call_function("getbit", bits, (rep % COINS).cast("int")).cast("int")
 
 
 def id_token(c: Column | str) -> Column:

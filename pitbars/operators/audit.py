@@ -55,19 +55,26 @@ def check_bars(
 
 def month_grid(df: DataFrame, start: str, end: str) -> DataFrame:
     """One row per calendar month in [start, end), made without touching ``df``'s rows."""
-    spark = df.sparkSession
-    return spark.sql(
-        f"select explode(sequence(trunc(date'{start}','MM'), date_sub(date'{end}', 1), interval 1 month)) as month"
-    )
+    return df.sparkSession.sql(f"select explode({_months(start, end)}) as month")
+
+
+def _months(start: str, end: str) -> str:
+    return f"sequence(trunc(date'{start}','MM'), date_sub(date'{end}', 1), interval 1 month)"
 
 
 def _year_month(day: str) -> tuple[int, int]:
     return int(day[:4]), int(day[5:7])
 
 
-def missing_months(bars: DataFrame, start: str, end: str) -> DataFrame:
-    found = bars.select(F.trunc(F.to_date("timestamp"), "MM").alias("month")).distinct()
-    return month_grid(bars, start, end).join(found, "month", "left_anti")
+def missing_months(
+    bars: DataFrame, start: str, end: str, by: Sequence[str] = ()
+) -> DataFrame:
+    """Months of the half-open range without a bar; with ``by``, the months each series lacks."""
+    month = F.trunc(F.to_date("timestamp"), "MM")
+    if not by:
+        return month_grid(bars, start, end).join(bars.select(month.alias("month")).distinct(), "month", "left_anti")
+    found = bars.groupBy(*by).agg(F.collect_set(month).alias("_has"))
+    return found.select(*by, F.explode(F.array_except(F.expr(_months(start, end)), "_has")).alias("month"))
 
 
 def coverage_audit(

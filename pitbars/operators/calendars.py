@@ -38,8 +38,8 @@ def session_calendar(
     """One row per session-day for which a base bar starts exactly at the local open.
 
     Monday to Friday local; ``cutoff_at`` is the session's end (the next session's open or
-    the trading-day boundary, in that zone's wall clock); years outside ``periods`` are
-    left out. A narrow projection of the bars: no shuffle.
+    the trading-day boundary, in that zone's wall clock). ``periods`` names years; other
+    years stay, with a NULL period. A narrow projection of the bars: no shuffle.
     """
     local = F.from_utc_timestamp("timestamp", F.col("_s.tz"))
     src = bars.select(*by, "timestamp").withColumn("_s", F.explode(_session_array(sessions)))
@@ -52,7 +52,7 @@ def session_calendar(
         micros(day.cast("timestamp")) + F.col("_s.end_minutes").cast("long") * 60_000_000
     )
     period: Column = F.lit(None).cast("string")
-    for year, label in (periods or PERIODS).items():
+    for year, label in (PERIODS if periods is None else periods).items():
         period = F.when(F.year(day) == year, label).otherwise(period)
     date_text = F.date_format(day, "yyyy-MM-dd")
     return (
@@ -67,7 +67,7 @@ def session_calendar(
             minutes_after("timestamp", observation_minutes).alias("observation_end_at"),
             F.to_utc_timestamp(end_wall, F.col("_s.end_tz")).alias("cutoff_at"),
         )
-        .where("period is not null and cutoff_at > session_open_at")
+        .where("cutoff_at > session_open_at")
     )
 
 

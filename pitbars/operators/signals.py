@@ -241,10 +241,18 @@ def first_by_filter(candidates: DataFrame, filters: dict[str, Sequence[str]]) ->
 
 
 def fit_direction(
-    outcomes: DataFrame, *, keys: Sequence[str] = ("session",), value: str = "net_r"
+    outcomes: DataFrame,
+    *,
+    keys: Sequence[str] = ("session",),
+    value: str = "net_r",
+    fit_period: str | None = "construction",
 ) -> DataFrame:
-    """Per session the direction with the higher mean outcome; a tie goes to long."""
-    means = outcomes.groupBy(*keys, "direction").agg(F.avg(value).alias("construction_mean_net_r"))
+    """Per session the direction with the higher mean outcome of ``fit_period``; a tie goes to long.
+
+    Only rows of that period count (None: all rows), so what is chosen knows nothing of the periods it is applied to.
+    """
+    fitted = outcomes if fit_period is None else outcomes.where(F.col("period") == fit_period)
+    means = fitted.groupBy(*keys, "direction").agg(F.avg(value).alias("construction_mean_net_r"))
     best = means.groupBy(*keys).agg(
         F.max_by(
             "direction",
@@ -258,6 +266,15 @@ def fit_direction(
     )
 
 
+def fitted_signals(
+    signals: DataFrame, fitted: DataFrame, *, keys: Sequence[str] = ("session",), model_id: str = "fitted"
+) -> DataFrame:
+    """The signals of every period whose direction ``fit_direction`` has selected for their session, as a model of their
+    own. ``signals`` holds both directions of each opportunity; sessions that were not fitted give none."""
+    chosen = fitted.where("selected").select(*keys, "direction")
+    return signals.join(chosen, [*keys, "direction"]).withColumn("model_id", F.lit(model_id))
+
+
 def funnel_counts(candidates: DataFrame, gaps: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Candidates, aligned in each frame, aligned in both, and confluent, in one pass."""
     fits = _wanted()

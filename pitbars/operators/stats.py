@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import col, draw, id_token, profit_factor, safe_div
+from ..functions.columns import coin, col, draw, id_token, profit_factor, safe_div
 from ..session import materialize
 from .blocks import running_peak, running_total, time_block, with_row_index
 from .outcomes import SEQUENCE_LABELS, STOP_FIRST_LABELS
@@ -119,20 +119,26 @@ def calendar_counts(
     *,
     keys: Sequence[str],
     ts: str = "event_at",
-    years: Sequence[int] = (2024, 2025),
+    years: Sequence[int] | None = None,
     unit: str = "year",
 ) -> DataFrame:
-    """Events per key and year (or month) with zero rows for calendar cells without events."""
+    """Events per key and year (or month), with zero rows for calendar cells without events.
+
+    The cells are those of ``years``, or of all years from the first to the last event. Events of other years keep
+    their own cells: no event is left out.
+    """
     fmt = "yyyy" if unit == "year" else "yyyy-MM"
+    dated = events.where(F.col(ts).isNotNull())
+    counted = dated.groupBy(*keys, F.date_format(ts, fmt).alias(unit)).agg(F.count(F.lit(1)).alias("_n"))
+    if years is None:
+        first, last = dated.agg(F.min(F.year(ts)), F.max(F.year(ts))).first()
+        years = range(first, last + 1) if first is not None else ()
     cells = [str(y) if unit == "year" else f"{y}-{m:02d}" for y in years for m in ([0] if unit == "year" else range(1, 13))]
-    counted = events.where(F.col(ts).isNotNull()).groupBy(
-        *keys, F.date_format(ts, fmt).alias(unit)
-    ).agg(F.count(F.lit(1)).alias("_n"))
     grid = events.select(*keys).distinct().withColumn(
-        unit, F.explode(F.array(*[F.lit(c) for c in cells]))
+        unit, F.explode(F.array(*[F.lit(c) for c in cells]).cast("array<string>"))
     )
     return (
-        grid.join(counted, [*keys, unit], "left")
+        grid.join(counted, [*keys, unit], "full")
         .withColumn("event_count", F.coalesce("_n", F.lit(0)))
         .drop("_n")
     )
@@ -331,27 +337,15 @@ def _numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return out.join(sizes, list(keys)).drop("_tok")
 
 
-REP_BLOCK = 100
-
-
-def _spread_resamples(df: DataFrame, keys: Sequence[str], resamples: int) -> DataFrame:
-    """Each row once per resample (``rep``), spread over tasks by blocks of resamples.
+def _spread_resamples(df: DataFrame, resamples: int) -> DataFrame:
+    """Each row once per resample (``rep``).
 
-    The few source rows are first copied per block and hash-distributed with a fixed partition
-    count (AQE would fold so few bytes into one task), then expanded next to their block, so
-    partial aggregation sees all rows of a resample together.
+    The source rows are dealt evenly over the tasks, once and whatever their keys, so a hot key is split; the copies are
+    made in place and partial aggregation combines them before any further shuffle.
     """
     tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    blocks = (resamples + REP_BLOCK - 1) // REP_BLOCK
-    first = F.col("_rb") * REP_BLOCK
-    return (
-        df.withColumn("_rb", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(blocks - 1).cast("long"))))
-        .repartition(tasks, *keys, "_rb")
-        .withColumn(
-            "rep", F.explode(F.sequence(first, F.least(first + REP_BLOCK - 1, F.lit(resamples - 1))))
-        )
-        .drop("_rb")
-    )
+    reps = F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))
+    return df.repartition(tasks).withColumn("rep", F.explode(reps))
 
 
 def cluster_bootstrap(
@@ -380,7 +374,7 @@ def cluster_bootstrap(
     )
     numbered = cut(_numbered(daily, keys, cluster).select(*keys, "_i", "_k", "_sum", "_cnt"))
     slots = numbered.select(*keys, F.col("_i").alias("_slot"), "_k")
-    reps = _spread_resamples(slots, keys, resamples)
+    reps = _spread_resamples(slots, resamples)
     picks = reps.select(
         *keys, "rep", (draw(seed, F.col("rep"), F.col("_slot")) % F.col("_k")).alias("_i")
     )
@@ -416,9 +410,8 @@ def random_sign_null(
     clean = df.where(F.col(value).isNotNull()).select(
         *keys, id_token(row_id).alias("_tok"), F.col(value).alias("_v")
     )
-    reps = _spread_resamples(clean, keys, resamples)
-    coin = draw(seed, F.col("rep"), F.col("_tok")) % 2
-    signed = F.when(coin == 1, F.col("_v")).otherwise(-F.col("_v"))
+    reps = _spread_resamples(clean, resamples)
+    signed = F.when(coin(seed, F.col("rep"), F.col("_tok")) == 1, F.col("_v")).otherwise(-F.col("_v"))
     est = reps.groupBy(*keys, "rep").agg(F.avg(signed).alias("_est"))
     out = est.groupBy(*keys).agg(
         F.avg("_est").alias("null_mean"),
@@ -429,14 +422,15 @@ def random_sign_null(
     return sizes.join(out, keys).withColumn("resamples", F.lit(resamples))
 
 
-def set_fingerprint(df: DataFrame, column: str, keys: Sequence[str] = ()) -> DataFrame:
+def set_fingerprint(df: DataFrame, column: str | Column, keys: Sequence[str] = ()) -> DataFrame:
     """Order-free identity of a set of ids: count and sum of 60-bit md5 tokens (mod 2^61-1)."""
     modulus = (1 << 61) - 1
     token = id_token(col(column))
-    # two partial sums keep the arithmetic inside 64 bits for up to 2^33 rows
+    # decimal sums: no overflow at any number of rows
+    total = lambda part: (F.sum(part.cast("decimal(20,0)")).cast("decimal(38,0)") % F.lit(modulus)).cast("long")
     return df.groupBy(*keys).agg(
         F.count(F.lit(1)).alias("member_count"),
-        (F.sum(F.shiftright(token, 30)) % modulus).alias("token_high"),
-        (F.sum(F.pmod(token, F.lit(1 << 30))) % modulus).alias("token_low"),
+        total(F.shiftright(token, 30)).alias("token_high"),
+        total(F.pmod(token, F.lit(1 << 30))).alias("token_low"),
     )
 

@@ -29,7 +29,7 @@ COSTS = Costs(pip_size=PIP)
 FRAMES = {"1H": 60, "4H": 240, "1D": 1440}
 PARAMS = LabelParams(min_coverage=0.5, pip_size=PIP)
 CONTEXTS = ("4H", "1D")
-RESAMPLES = 200
+RESAMPLES = 10_000
 
 
 class EventStudy(Study):
@@ -519,6 +519,11 @@ def fit_direction(s):
     return signals.fit_direction(s.both_trades)
 
 
+@query("signal_id opportunity_id session direction model_id")
+def fitted_signals(s):
+    return signals.fitted_signals(s.both_signals, signals.fit_direction(s.both_trades))
+
+
 @query("session i:structure_candidates i:h1_aligned_candidates i:h4_aligned_candidates i:h1_h4_aligned_candidates i:aligned_confluent_candidates")
 def funnel_counts(s):
     return signals.funnel_counts(s.candidates, s.gaps, ["session"])
@@ -662,6 +667,11 @@ def calendar_counts(s):
     return stats.calendar_counts(s.breaks, keys=["event_type"], years=(2024, 2025), unit="month")
 
 
+@query("event_type year i:event_count")
+def calendar_year_counts(s):
+    return stats.calendar_counts(s.breaks, keys=["event_type"])
+
+
 @query("session month i:trade_count f:win_rate f:total_net_r f:mean_trade_net_r")
 def monthly(s):
     return stats.monthly_summary(s.trades, ["session"])
@@ -763,7 +773,7 @@ def sign_null(s):
 
 @query("timeframe i:member_count i:token_high i:token_low")
 def set_fingerprint(s):
-    return stats.set_fingerprint(s.bars, "bar_id", ["timeframe"])
+    return stats.set_fingerprint(s.bars, F.concat_ws(":", "symbol", "bar_id"), ["timeframe"])
 
 
 # --- audits ---------------------------------------------------------------------------------

@@ -16,7 +16,7 @@ from ..functions.columns import clean_double
 from ..operators import bars as B
 from ..operators import blocks, labels, regime
 from ..operators.calendars import full_session_calendar, session_calendar
-from ..params import LabelParams
+from ..params import PERIODS, LabelParams
 from ..session import materialize
 
 
@@ -70,6 +70,7 @@ class Study:
     frames: dict[str, int] = field(default_factory=lambda: {"15min": 15, "1H": 60, "4H": 240, "1D": 1440})
     setup: str = "15min"
     params: LabelParams = field(default_factory=LabelParams)
+    periods: dict[int, str] = field(default_factory=lambda: dict(PERIODS))  # names of years
     keep: bool = True  # write shared tables (False: stay lazy)
 
     def _cut(self, df: DataFrame) -> DataFrame:
@@ -130,4 +131,4 @@ class Study:
         )
 
     def calendar(self, full: bool = True) -> DataFrame:
-        return (full_session_calendar if full else session_calendar)(self.base)
+        return (full_session_calendar if full else session_calendar)(self.base, periods=self.periods)

@@ -36,7 +36,7 @@ def read_bars(
     """Bars of the half-open range [start, end) from a table partitioned by symbol/year/month.
 
     Year and month bounds prune partitions and the timestamp range is pushed into the scan.
-    ``check`` verifies required columns, that no month is absent, and that the range is
+    ``check`` verifies required columns, that no month is absent for any symbol, and that the range is
     neither empty nor holds a duplicate (symbol, timestamp): a handful of aggregate rows
     reach the driver, never bars.
     """
@@ -51,9 +51,14 @@ def read_bars(
         df = df.where((ym >= F.year(lo) * 12 + F.month(lo)) & (ym <= F.year(hi) * 12 + F.month(hi)))
     df = df.where((F.col("timestamp") >= lo) & (F.col("timestamp") < hi))
     if check:
-        lost = [str(r[0])[:7] for r in missing_months(df, start, end).orderBy("month").limit(24).collect()]
+        by = [c for c in ("symbol",) if c in df.columns]
+        lost = [str(r[0])[:7] for r in missing_months(df, start, end).orderBy("month").collect()]
+        lost += [
+            f"{str(r['month'])[:7]} of {r[by[0]]}"
+            for r in (missing_months(df, start, end, by).orderBy(*by, "month").collect() if by and not lost else ())
+        ]
         if lost:
-            raise ValueError("missing month(s): " + ", ".join(lost))
+            raise ValueError(f"{len(lost)} missing month(s): " + ", ".join(lost))
         keys = [c for c in ("symbol", "timestamp") if c in df.columns]
         if not df.groupBy(*keys).count().where("count > 1").isEmpty():
             raise ValueError("range contains duplicate timestamps")

@@ -38,6 +38,17 @@ def test_missing_month_and_duplicates_are_errors(spark):
         readers.read_bars(spark, path, "2024-01-01", "2024-03-01")
 
 
+def test_a_month_that_one_symbol_lacks_is_an_error(spark):
+    path = scratch_path(spark, "bars")
+    readers.write_bars(full_bars(spark), path)
+    one = full_bars(spark, start="2024-01-03T00:00", n=2).withColumn("symbol", F.lit("Y"))
+    readers.write_table(
+        one.withColumn("year", F.lit(2024)).withColumn("month", F.month("timestamp")), path, ["symbol", "year", "month"], mode="append"
+    )
+    with pytest.raises(ValueError, match="1 missing.*2024-02 of Y"):
+        readers.read_bars(spark, path, "2024-01-01", "2024-03-01")
+
+
 def test_missing_columns_are_errors(spark):
     path = scratch_path(spark, "bars")
     readers.write_bars(full_bars(spark).drop("spread_p95_pips"), path)

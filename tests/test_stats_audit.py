@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitbars.functions.columns import hash_direction
+from pitbars.functions.columns import coin, draw, hash_direction
 from pitbars.operators import audit, signals, stats
 from pitbars.operators.quantiles import group_quantiles
 
@@ -101,7 +101,40 @@ def test_first_per_group_uses_the_whole_order(spark):
 
 def test_fit_direction_ties_go_long(spark):
     df = spark.createDataFrame([("s", "long", 1.0), ("s", "short", 1.0)], "session string, direction string, net_r double")
-    assert signals.fit_direction(df).where("selected").first().direction == "long"
+    assert signals.fit_direction(df, fit_period=None).where("selected").first().direction == "long"
+
+
+def test_fit_knows_nothing_of_other_periods(spark):
+    data = [("s", "long", 1.0, "construction"), ("s", "short", 0.5, "construction"), ("s", "long", -9.0, "replication"), ("s", "short", 9.0, None)]
+    df = spark.createDataFrame(data, "session string, direction string, net_r double, period string")
+    fitted = signals.fit_direction(df)
+    assert fitted.where("selected").first().direction == "long"
+    made = signals.fitted_signals(df, fitted)
+    assert sorted(rows(made, "direction", "period", "model_id")) == [("long", "construction", "fitted"), ("long", "replication", "fitted")]
+
+
+def test_draws_of_resamples_are_unrelated(spark):
+    n = 200_000
+    slots = spark.range(n).select(*[(draw(20260901, F.lit(r), F.col("id")) % n).alias(f"r{r}") for r in (0, 1, 4295)]).toPandas()
+    picks = [np.bincount(slots[c], minlength=n) for c in slots]
+    assert np.abs(np.corrcoef(picks) - np.eye(3)).max() < 0.01
+    assert abs(picks[0].var() - 1) < 0.02
+
+
+def test_coins_are_fair_and_unrelated(spark):
+    reps = (0, 1, 59, 60, 4295)
+    coins = spark.range(100_000).select(*[coin(7, F.lit(r), F.col("id")).alias(f"r{r}") for r in reps]).toPandas()
+    assert (np.abs(coins.mean() - 0.5) < 0.01).all()
+    assert np.abs(np.corrcoef(coins.T) - np.eye(len(reps))).max() < 0.02
+
+
+def test_calendar_counts_keep_every_year(spark):
+    df = spark.createDataFrame([("a", ts("2023-05-01")), ("a", ts("2026-01-05")), ("b", ts("2026-01-06"))], "k string, event_at timestamp")
+    want = [("a", "2023", 1), ("a", "2024", 0), ("a", "2025", 0), ("a", "2026", 1)] + [("b", y, 0) for y in ("2023", "2024", "2025")] + [("b", "2026", 1)]
+    assert sorted(rows(stats.calendar_counts(df, keys=["k"]), "k", "year", "event_count")) == want
+    some = stats.calendar_counts(df, keys=["k"], years=[2026])
+    assert sorted(rows(some, "k", "year", "event_count")) == [("a", "2023", 1), ("a", "2026", 1), ("b", "2026", 1)]
+    assert stats.calendar_counts(df.limit(0), keys=["k"]).count() == 0
 
 
 def with_counts(df):

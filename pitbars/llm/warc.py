@@ -176,13 +176,13 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
                 while (end := data.find(b"\r\n\r\n", at)) >= 0:
                     found = dict(x.split(": ", 1) for x in data[at:end].decode().split("\r\n")[1:] if ": " in x)
                     n = int(found.get("Content-Length", 0))
-                    row = {HEADERS[k]: v for k, v in found.items() if k in HEADERS}
+                    row = dict.fromkeys(names) | {HEADERS[k]: v for k, v in found.items() if k in HEADERS}
                     rows.append(row | {"content_length": n, "block": data[end + 4 : end + 4 + n].decode()})
                     at = end + 4 + n + 4
                     if len(rows) == 1000:
-                        yield pd.DataFrame(rows, columns=names)
+                        yield pd.DataFrame(rows, columns=names, dtype=object)
                         rows = []
                 if rows:
-                    yield pd.DataFrame(rows, columns=names)
+                    yield pd.DataFrame(rows, columns=names, dtype=object)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, RECORD)

@@ -203,7 +203,10 @@ def join_blocks(ws: Workspace, classes: DataFrame, dim: int, least: float, block
         got = links > 0
         return pd.DataFrame({"id": ids[got], "links": links[got], "root": ids[label][got]})
 
-    return rows.groupBy(*cell, "kind", "i", "j").applyInPandas(meet, "id long, links long, root long")
+    # a named count: the few bytes hold much work, which Spark would fold into one task
+    tasks = int(ws.spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt_out = rows.repartition(tasks, *cell, "kind", "i", "j")
+    return dealt_out.groupBy(*cell, "kind", "i", "j").applyInPandas(meet, "id long, links long, root long")
 
 
 def near_vectors(

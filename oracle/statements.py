@@ -292,7 +292,10 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
       (select max(x.bar_idx) from b x where x.symbol = s.symbol and x.timeframe = s.timeframe) - max(conf) as bars_since_last_touch,
       case when (select max(x.bar_idx) from b x where x.symbol = s.symbol and x.timeframe = s.timeframe) - max(conf) > 500 then 'expired' else 'active_or_candidate' end as status_at_sample_end
     from snap s group by symbol, timeframe, zone_id, role""",
-        "order_blocks": "select *, touch_delay is not null as touched, half_delay is not null as half_touched, full_delay is not null as fully_mitigated, invalid_delay is not null as invalidated from ob",
+        "order_blocks": "select *, " + ", ".join(
+            f"(select x.available_at from b x where x.symbol = o.symbol and x.timeframe = o.timeframe and x.bar_idx = o.anchor_index + o.{d}_delay) as {n}"
+            for d, n in (("touch", "first_touch_at"), ("half", "midpoint_touch_at"), ("full", "full_mitigation_at"), ("invalid", "invalidation_at"))
+        ) + " from ob o",
         "order_block_anchors": f"select symbol, timeframe, event_id as anchor_break_id, candidate_found, (select x.bar_id from b x where x.symbol = o.symbol and x.timeframe = o.timeframe and x.bar_idx = o.ci) as candidate_bar_id, status from obanch o",
         "sweeps": "select * from sweep",
         "sweep_stats": """select symbol, timeframe, sum(h) as high_excursions, sum(l) as low_excursions, sum(case when n > 1 then 1 else 0 end) as ambiguous_bars

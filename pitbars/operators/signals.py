@@ -16,7 +16,7 @@ from .levels import zone_validity
 
 
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """First row per group by a total order: a partial and a final ``min``, no per-group sort."""
+    """First row per group by a total order: ``min_by`` with partial aggregation (Spark plans it by sorting within tasks)."""
     rest = [c for c in df.columns if c not in keys and c not in order]
     packed = F.min_by(F.struct(*order, *rest), F.struct(*order))
     out = df.groupBy(*keys).agg(packed.alias("_first"))

@@ -408,19 +408,13 @@ OB_SPEC = (
     "symbol timeframe event_id t:event_at direction anchor_break_id t:candidate_at candidate_bar_id i:candidate_index"
     " i:anchor_index f:lower_bound f:upper_bound f:width_pips b:fvg_confluent i:overlap_with_prior_zone_count"
     " i:nested_with_prior_zone_count f:terminal_delay_bars i:observed_bars status"
-    " b:touched b:half_touched b:fully_mitigated b:invalidated"
+    " t:first_touch_at t:midpoint_touch_at t:full_mitigation_at t:invalidation_at"
 )
 
 
 @query(OB_SPEC)
 def order_blocks(s):
-    return (
-        s.order_blocks[0]
-        .withColumn("touched", F.col("first_touch_at").isNotNull())
-        .withColumn("half_touched", F.col("midpoint_touch_at").isNotNull())
-        .withColumn("fully_mitigated", F.col("full_mitigation_at").isNotNull())
-        .withColumn("invalidated", F.col("invalidation_at").isNotNull())
-    )
+    return s.order_blocks[0]
 
 
 @query("symbol timeframe anchor_break_id b:candidate_found candidate_bar_id status")

@@ -28,65 +28,89 @@ BLOCK_TOKENS = 65536
 _LENGTHS = np.array([[(c >> s & 3) + 1 for s in (0, 2, 4, 6)] for c in range(256)], np.uint8)
 
 
-def encode_values(values: np.ndarray) -> tuple[bytes, bytes]:
-    """Control bytes and data bytes of unsigned 32-bit values."""
+def encode_values(values: np.ndarray, counts: np.ndarray | None = None) -> tuple[bytes, bytes, np.ndarray, np.ndarray]:
+    """Control bytes and data bytes of unsigned 32-bit values, and where each list ends in both.
+
+    ``counts`` gives the lengths of the lists that ``values`` joins; each list starts with a new control byte.
+    """
     values = np.ascontiguousarray(values, "<u4")
+    counts = np.array([len(values)]) if counts is None else counts
     size = 1 + (values >= 1 << 8).astype(np.uint8) + (values >= 1 << 16) + (values >= 1 << 24)
-    codes = np.zeros(-(-len(values) // 4) * 4, np.uint8)
-    codes[: len(values)] = size - 1
+    control_ends, ends = np.cumsum(-(-counts // 4)), np.cumsum(counts)
+    shift = 4 * (control_ends - -(-counts // 4)) - (ends - counts)
+    codes = np.zeros(4 * (control_ends[-1] if len(counts) else 0), np.uint8)
+    codes[np.arange(len(values)) + np.repeat(shift, counts)] = size - 1
     quads = codes.reshape(-1, 4)
     control = quads[:, 0] | quads[:, 1] << 2 | quads[:, 2] << 4 | quads[:, 3] << 6
     keep = np.arange(4, dtype=np.uint8) < size[:, None]
-    return control.astype(np.uint8).tobytes(), values.view(np.uint8).reshape(-1, 4)[keep].tobytes()
-
-
-def decode_values(control: bytes, data: bytes, n: int) -> np.ndarray:
-    """The ``n`` values behind control and data bytes: lengths by table lookup, then one gather per byte position."""
-    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1)[:n].astype(np.int64)
+    data = values.view(np.uint8).reshape(-1, 4)[keep].tobytes()
+    data_ends = np.concatenate([[0], np.cumsum(size, dtype=np.int64)])[ends]
+    return control.astype(np.uint8).tobytes(), data, control_ends, data_ends
+
+
+def decode_values(control: bytes, data: bytes, counts: np.ndarray) -> np.ndarray:
+    """The values of lists of the given lengths: sizes by table lookup, then one gather per byte position."""
+    counts = np.asarray(counts, np.int64)
+    per_list = -(-counts // 4)
+    size = _LENGTHS[np.frombuffer(control, np.uint8)].reshape(-1).astype(np.int64)
+    shift = 4 * (np.cumsum(per_list) - per_list) - (np.cumsum(counts) - counts)
+    size = size[np.arange(counts.sum()) + np.repeat(shift, counts)]
     start = np.cumsum(size) - size
-    at = np.frombuffer(data + b"\0\0\0", np.uint8)
+    at = np.frombuffer(data, np.uint8)
     out = at[start].astype(np.uint32)
     for k in (1, 2, 3):
         longer = np.flatnonzero(size > k)
+        if not len(longer):
+            break
         out[longer] |= at[start[longer] + k].astype(np.uint32) << np.uint32(8 * k)
     return out
 
 
 def tokenize(docs: DataFrame, tokenizer_file: str | None, end_id: int, id_col: str, text_col: str) -> DataFrame:
-    """(id, n_tokens, ids as little-endian 16- or 32-bit values, width), end id included."""
+    """(id, n, ids, width, counts): little-endian ids of ``width`` bytes, end id included.
+
+    The last row of a task has no ids but ``counts``, how often it met each id, so that counting needs no second pass.
+    """
 
-    def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = text_encoder(tokenizer_file)
-        ends = np.array([end_id], encoder.dtype).tobytes()
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            ids = encoder([x or "" for x in part.column(1).to_pylist()])
-            yield {
-                "id": part.column(0),
-                "n": [len(x) + 1 for x in ids],
-                "ids": [x.tobytes() + ends for x in ids],
-                "width": [x.itemsize for x in ids],
-            }
-
-    return over_batches(
-        docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, "id long, n long, ids binary, width int"
+        code = np.dtype(encoder.dtype)
+        ends = np.array([end_id], code).tobytes()
+        names, total = ["id", "n", "ids", "width", "counts"], np.zeros(end_id + 1, np.int64)
+        types = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+
+        def rows(*cols: object) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], names)
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                ids = [x.tobytes() + ends for x in encoder([x or "" for x in part.column(1).to_pylist()])]
+                seen = np.bincount(np.frombuffer(b"".join(ids), code), minlength=len(total))
+                seen[: len(total)] += total
+                total = seen
+                n = [len(x) // code.itemsize for x in ids]
+                yield rows(part.column(0).to_pylist(), n, ids, [code.itemsize] * len(n), [None] * len(n))
+        if total.any():
+            yield rows([None], [None], [None], [None], [total.astype("<i8").tobytes()])
+
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).mapInArrow(
+        run, "id long, n long, ids binary, width int, counts binary"
     )
 
 
 def rank_ids(tokens: DataFrame) -> DataFrame:
-    """(id, count, rank): ids of the corpus by falling count, then by id; as many rows as the vocabulary has ids at most."""
+    """(token, n, rank): ids of the corpus by falling count, then by id; as many rows as the vocabulary has ids at most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(0, np.int64)
         for batch in batches:
-            for ids, width in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                n = np.bincount(np.frombuffer(ids, f"<u{width}"), minlength=len(total))
-                n[: len(total)] += total
-                total = n
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], ["token", "n"])
-
-    counts = tokens.select("ids", "width").mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
+            for counts in batch.column(0).to_pylist():
+                n = np.frombuffer(counts, "<i8")
+                used = np.flatnonzero(n)
+                yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(n[used])], ["token", "n"])
+
+    told = tokens.where("counts is not null").select("counts").mapInArrow(run, "token long, n long")
+    counts = told.groupBy("token").agg(F.sum("n").alias("n"))
     return counts.select("token", "n", (F.row_number().over(Window.orderBy(F.desc("n"), "token")) - 1).alias("rank"))
 
 
@@ -118,20 +142,16 @@ def write_tokens(
 
     def code(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         by = shared.value
-        for at in range(0, batch.num_rows, 1024):
-            part = batch.slice(at, 1024)
-            coded = [
-                encode_values(by[np.frombuffer(ids, f"<u{w}")])
-                for ids, w in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)
-            ]
-            yield {
-                "id": part.column(0),
-                "n": part.column(1),
-                "control": [c for c, _ in coded],
-                "data": [d for _, d in coded],
-            }
-
-    coded = over_batches(tokens, code, "id long, n long, control binary, data binary")
+        for at in range(0, batch.num_rows, 256):
+            part = batch.slice(at, 256)
+            ids, width = part.column(2).to_pylist(), part.column(3)[0].as_py()
+            n = np.array(part.column(1).to_pylist(), np.int64)
+            control, data, c_ends, d_ends = encode_values(by[np.frombuffer(b"".join(ids), f"<u{width}")], n)
+            cut = lambda x, ends: [x[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True)]
+            yield {"id": part.column(0), "n": part.column(1), "control": cut(control, c_ends), "data": cut(data, d_ends)}
+
+    documents = tokens.where("counts is null").drop("counts")
+    coded = over_batches(documents, code, "id long, n long, control binary, data binary")
     ordered = coded.repartitionByRange("id").sortWithinPartitions("id", "n", "control", "data")
 
     def block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,18 +168,17 @@ def write_tokens(
                 [[h[1] for h in held]],
                 [b"".join(h[2] for h in held)],
                 [b"".join(h[3] for h in held)],
-                [[len(h[3]) for h in held]],
                 [size],
             ]
             held, size, number = [], 0, number + 1
             return pa.RecordBatch.from_arrays(
                 [pa.array(v, t) for v, t in zip(row, types, strict=True)],
-                ["part", "block", "ids", "counts", "control", "data", "data_sizes", "n_tokens"],
+                ["part", "block", "ids", "counts", "control", "data", "n_tokens"],
             )
 
         types = [
             pa.int32(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary(),
-            pa.list_(pa.int64()), pa.int64(),
+            pa.int64(),
         ]
         for batch in batches:
             for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -173,7 +192,7 @@ def write_tokens(
     ordered.mapInArrow(
         block,
         "part int, block long, ids array<long>, counts array<long>, control binary, data binary, "
-        "data_sizes array<long>, n_tokens long",
+        "n_tokens long",
     ).write.option("compression", "none").parquet(f"{path}/blocks")
     shared.unpersist()
     ws.close()
@@ -203,16 +222,10 @@ def read_tokens(spark: SparkSession, path: str, id_col: str = "doc_id", with_ids
             one = {c: batch.column(c)[row].as_py() for c in batch.schema.names}
             n = np.array(one["counts"], np.int64)
             ends = np.cumsum(n)
-            control_at = np.cumsum(-(-n // 4))
-            data_at = np.cumsum(np.array(one["data_sizes"], np.int64))
-            ids, sums = [], []
-            for k in range(len(n)):
-                lo, dlo = (control_at[k - 1], data_at[k - 1]) if k else (0, 0)
-                values = decode_values(one["control"][lo : control_at[k]], one["data"][dlo : data_at[k]], int(n[k]))
-                got = shared.value[values].astype("<u4").tobytes()
-                sums.append(zlib.crc32(got))
-                if with_ids:
-                    ids.append(np.frombuffer(got, "<u4").tolist())
+            tokens = shared.value[decode_values(one["control"], one["data"], n)].astype("<u4", copy=False)
+            data, bounds = memoryview(tokens).cast("B"), [0, *ends.tolist()]
+            sums = [zlib.crc32(data[4 * a : 4 * b]) for a, b in zip(bounds, bounds[1:], strict=False)]
+            ids = [tokens[a:b].tolist() for a, b in zip(bounds, bounds[1:], strict=False)] if with_ids else None
             out = {"part": [one["part"]] * len(n), "block": [one["block"]] * len(n), "id": one["ids"],
                    "at": (ends - n).tolist(), "n_tokens": one["counts"], "ids_crc32": sums}
             yield out | ({"ids": ids} if with_ids else {})

@@ -378,7 +378,8 @@ def structural_stop(
         .withColumn("_e", minutes_after("_s", setup_minutes))
     )
     inside = range_join(
-        spans, bars.select(*by, "timestamp", "bid_low", "ask_high"), by=by, start="_s", end="_e"
+        spans, bars.select(*by, "timestamp", "bid_low", "ask_high"), by=by, start="_s", end="_e",
+        bucket_seconds=setup_minutes * 60,
     )
     levels = inside.groupBy(KEY).agg(
         F.count(F.lit(1)).alias("_n"), F.min("bid_low").alias("_low"), F.max("ask_high").alias("_high")
@@ -520,7 +521,7 @@ def _event_paths(
     path = range_join(
         span,
         bars.select(*by, F.col("timestamp").alias("bar_at"), "mid_high", "mid_low"),
-        by=by, start="entry_at", end="_until", on="bar_at",
+        by=by, start="entry_at", end="_until", on="bar_at", bucket_seconds=horizon * 60,
     )
     return entered, path
 
@@ -622,7 +623,7 @@ def barrier_first(
     )
     path = range_join(
         entry, bars.select(*by, F.col("timestamp").alias("bar_at"), "mid_high", "mid_low"),
-        by=by, start="entry_at", end="exit_at", on="bar_at",
+        by=by, start="entry_at", end="exit_at", on="bar_at", bucket_seconds=horizon * 60,
     )
     limit = F.lit(barrier_atr)
     touched = path.groupBy(*by, "event_id").agg(

@@ -71,7 +71,7 @@ with docs as (
 )
 select doc_id, n_words::bigint n_words, word_chars::bigint word_chars, n_symbols::bigint n_symbols, n_dup_lines::bigint n_dup_lines,
   n_repeat_words::bigint n_repeat_words, n_removed_words, base_failed,
-  not base_failed and 100 * n_removed_words <= 50 * n_words and n_words - n_removed_words >= 20 kept
+  not base_failed and 100 * n_removed_words <= 50 * n_words kept
 from judged"""
 
 

@@ -150,9 +150,7 @@ def judge(
     out = rows.drop("lines", "line_words", "content").join(removed, "row", "left")
     out = out.withColumn("n_removed_words", F.coalesce("n_removed_words", F.lit(0).cast("long")))
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > MOST_REPEATED * F.col("n_words"))
-    depleted = (100 * F.col("n_removed_words") > MOST_REMOVED * F.col("n_words")) | (
-        F.col("n_words") - F.col("n_removed_words") < LEAST_WORDS
-    )
+    depleted = 100 * F.col("n_removed_words") > MOST_REMOVED * F.col("n_words")
     return out.select(
         F.col("id").alias(id_col),
         *FIGURES,

@@ -45,7 +45,7 @@ def plain(rows, limit=10, share=0.01):
         keep = [x for x in t.split("\n") if not norm(x) or len(by_line[h, norm(x)]) <= max(limit, share * len(by_host[h]))]
         words, left = t.split(), sum(len(x.split()) for x in keep)
         failed = len(words) < 20 or 100 * plain_repeats(words) > 30 * len(words)
-        out[i] = (len(words), len(words) - left, failed, not failed and 2 * left >= len(words) and left >= 20, "\n".join(keep))
+        out[i] = (len(words), len(words) - left, failed, not failed and 2 * left >= len(words), "\n".join(keep))
     return out
 
 

@@ -331,10 +331,14 @@ CTES: dict[str, str] = {
   where w.live and (w.first_live or w.reg <> w.reg_open)""",
     "gap": _gaps("1e-1", "0.1"),
     "gap20": _gaps("2e-1", "0.2"),
+    "gap0": _gaps("0e0", "0.0"),
     "cgap": _simple_gaps("base", 30, "30min"),
     "fgap": _simple_gaps("fine", 10, "10min"),
     "ob": _order_blocks(),
     "ob3": _order_blocks(lookback=3),
+    "ob9": _order_blocks(lookback=9),
+    "ob25": _order_blocks(age=25),
+    "ob100": _order_blocks(age=100),
     "obody": _order_blocks(low="least(mid_open, mid_close)".replace("mid_close)", "mid_close)"), high="greatest(mid_open, mid_close)"),
     "hits": """
   select b.*, s.kind, s.event_id as source_swing_id, s.available_at as source_swing_available_at, s.price as swept_level, s.pivot_index,

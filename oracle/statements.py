@@ -71,6 +71,14 @@ def jac(a: str, b: str, on: str) -> str:
   group by symbol, timeframe"""
 
 
+def grid(primary: str, variants: dict[str, str], on: str) -> str:
+    names = ", ".join(f"'{v}'" for v in variants)
+    rows = " ".join(f"union all select '{v}', {on}, 0, 1 from {t}" for v, t in variants.items())
+    return f"""select variant, sum(l) as primary_count, sum(r) as comparison_count, sum(l * r) as intersection_count,
+    sum(l * r) / (sum(l) + sum(r) - sum(l * r)) as jaccard_agreement from (select variant, {on}, max(l) as l, max(r) as r from (
+      select unnest([{names}]) as variant, {on}, 1 as l, 0 as r from {primary} {rows}) group by all) group by variant"""
+
+
 ATR_AT = """lateral (select x.atr from b x where x.symbol = c.symbol and x.timeframe = '1H' and x.available_at <= c.session_open_at
     order by x.available_at desc limit 1) a on true"""
 PAIR_AT = """lateral (select case when last_c > prev_c then 'long' when last_c < prev_c then 'short' end as pair_direction from (
@@ -406,6 +414,9 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
     from (select symbol, time_bucket(interval 30 minute, "timestamp") as t, last(mid_close order by "timestamp") as mc, sum(tick_count) as n from fine group by all) r
     full join base c on c.symbol = r.symbol and c."timestamp" = r.t group by all""",
         "jaccard_gaps": jac("gap", "gap20", "event_at, direction"),
+        "gap_sensitivity": grid("gap", {"atr0": "gap0", "atr20": "gap20"}, "symbol, timeframe, event_at, direction"),
+        "order_block_grid": grid("ob", {"lookback3": "ob3", "lookback9": "ob9", "age25": "ob25", "age100": "ob100"}, "symbol, timeframe, anchor_break_id, candidate_bar_id, status"),
+        "iou_summary": "select symbol, timeframe, count(*) as compared_count, avg(iou) as mean_iou, quantile_cont(iou, 0.5::double) as median_iou from (select a.symbol, a.timeframe, greatest(least(a.upper_bound, c.upper_bound) - greatest(a.lower_bound, c.lower_bound), 0) / (greatest(a.upper_bound, c.upper_bound) - least(a.lower_bound, c.lower_bound)) as iou from ob a join obody c on c.symbol = a.symbol and c.timeframe = a.timeframe and c.event_id = a.event_id) group by all",
         "order_block_sensitivity": jac("ob", "ob3", "anchor_break_id, candidate_bar_id"),
         "sensitivity": """select variant, sum(l) as primary_count, sum(r) as comparison_count, sum(l * r) as intersection_count, sum(l * r) / (sum(l) + sum(r) - sum(l * r)) as jaccard_agreement from (
       select variant, symbol, timeframe, event_at, kind, max(l) as l, max(r) as r from (

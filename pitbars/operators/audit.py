@@ -220,6 +220,12 @@ def interval_iou(
     ).drop("_lo", "_hi")
 
 
+def iou_summary(overlaps: DataFrame, by: Sequence[str] = ("symbol", "timeframe")) -> DataFrame:
+    """Compared intervals per group with the mean and the exact median of ``interval_iou``."""
+    found = overlaps.groupBy(*by).agg(F.count("iou").alias("compared_count"), F.avg("iou").alias("mean_iou"))
+    return with_quantiles(found, overlaps, list(by), {"iou": {"median_iou": 0.5}})
+
+
 Rule = tuple[str, Column]
 
 

@@ -813,6 +813,30 @@ def interval_iou(s):
     return audit.interval_iou(s.order_blocks[0], body, ["symbol", "timeframe", "event_id"])
 
 
+@query("symbol timeframe i:compared_count f:mean_iou f:median_iou")
+def iou_summary(s):
+    return audit.iou_summary(interval_iou(s))
+
+
+@query("variant i:primary_count i:comparison_count i:intersection_count f:jaccard_agreement")
+def gap_sensitivity(s):
+    keys = ["symbol", "timeframe", "event_at", "direction"]
+    at = lambda least: labels.label_gaps(s.bars, min_size_atr=least).select(*keys)
+    return audit.sensitivity({"atr10": s.gaps.select(*keys), "atr0": at(0.0), "atr20": at(0.2)}, "atr10", keys)
+
+
+@query("variant i:primary_count i:comparison_count i:intersection_count f:jaccard_agreement")
+def order_block_grid(s):
+    """Lookback 3 and 9, age 25 and 100 against 6 and 50; the status is part of the key, as age changes nothing else."""
+    keys = ["symbol", "timeframe", "anchor_break_id", "candidate_bar_id", "status"]
+    made = lambda **k: ob.label_order_blocks(
+        s.bars, s.breaks, s.gaps, pip_size=PIP, timeframes=("1H", "4H"), cut=s._cut, **k
+    )[0].select(*keys)
+    grid = {"primary": s.order_blocks[0].select(*keys), "lookback3": made(lookback=3), "lookback9": made(lookback=9)}
+    grid |= {"age25": made(max_age=25), "age100": made(max_age=100)}
+    return audit.sensitivity(grid, "primary", keys)
+
+
 @query("symbol timeframe i:primary_count i:comparison_count i:intersection_count f:jaccard_agreement")
 def order_block_sensitivity(s):
     short, _ = ob.label_order_blocks(

@@ -7,10 +7,10 @@ estimated from the count of equal positions, corrected for positions that agree
 A bucket never becomes all its pairs. First every member meets one hub (chosen per bucket by hash), so the rows are as many
 as the members; pairs whose estimate lies five standard deviations below the threshold are left out, and the rest are
 confirmed exactly. What these links don't join is then compared across components only, inside the buckets that still
-hold several, in tiles and by bit counts: first each class proposes its most similar class of another component,
-the confirmed ones join, and this repeats; the last round takes all pairs that remain. So links within one
-component are not all found (they change nothing), while none between two is lost except by the bands: at the
-threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
+hold several. Buckets of a few members join by key. Larger ones are compared in tiles, by bit counts: first each class
+proposes its most similar class of another component, the confirmed ones join, and this repeats; the last round takes
+all pairs that remain. So links within one component are not all found (they change nothing), while none between two is
+lost except by the bands: at the threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from pitbars.llm.common import Workspace, components, over_batches
 
 BANDS, ROWS, BITS = 40, 5, 2
+#: Up to so many members, a bucket's pairs of two components are made by a join; beyond, they are compared in tiles.
+SMALL = 32
 #: Members of a bucket that one task compares with so many others.
 TILE = 1024
 #: Rounds in which a class proposes only its best partner, before the round that takes all.
@@ -186,38 +188,55 @@ class Finder:
         ratio = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         return full.where(ratio).where(close("sa", "sb")).select("a", "b")
 
-    def across(self, buckets: DataFrame, classes: DataFrame, joined: DataFrame, every: bool) -> DataFrame:
-        """Pairs of two components inside a bucket, in tiles: each class's best partner, or every pair near enough."""
-        own = classes.select("id", "n", "signature").join(joined, "id", "left").withColumn(
-            "component", F.coalesce("component", "id")
+    def small(self, buckets: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+        """Pairs of two components inside buckets of at most SMALL members: at most SMALL / 2 a member."""
+        own = self.with_component(buckets.where(F.col("m") <= SMALL).select("id", "bucket"), classes, joined)
+        sides = [own.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n")]) for s in "ab"]
+        both = sides[0].join(sides[1], "bucket").where("id_a > id_b and component_a <> component_b")
+        ratio = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
+        return both.where(ratio).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
+
+    @staticmethod
+    def with_component(rows: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+        """Members of the buckets that still hold several components, with component and set size."""
+        own = classes.select("id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        full = rows.join(own, "id")
+        mixed = full.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        return full.join(mixed.select("bucket"), "bucket", "left_semi")
+
+    def large(self, buckets: DataFrame, classes: DataFrame, joined: DataFrame, every: bool) -> DataFrame:
+        """Pairs of two components inside a larger bucket, in tiles: each class's best partner, or every pair near enough."""
+        rows = self.with_component(buckets.where(F.col("m") > SMALL).select("id", "bucket"), classes, joined)
+        sizes = rows.groupBy("bucket").agg(
+            F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
         )
-        rows = buckets.join(own.select("id", "component"), "id")
-        mixed = rows.groupBy("bucket").agg(
-            F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("m"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
-        ).where("lo <> hi")
-        one = mixed.groupBy("who", "m").agg(F.min("bucket").alias("bucket")).withColumn(  # buckets with the same members: once
+        one = sizes.groupBy("who", "m").agg(F.min("bucket").alias("bucket")).withColumn(  # buckets with the same members: once
             "tiles", F.ceil(F.col("m") / F.lit(TILE)).cast("int")
         )
-        member = buckets.join(one.select("bucket", "tiles"), "bucket").join(own, "id").withColumn(
+        member = rows.join(one.select("bucket", "tiles"), "bucket").withColumn(
             "tile", F.pmod(F.xxhash64("id", "bucket"), F.col("tiles").cast("long")).cast("int")
         )
-        spread = member.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1))).select(
-            "bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id", "component", "n",
-            "signature",
+        tasks = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
+        spread = (
+            member.join(classes.select("id", "signature"), "id")
+            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+            .select(
+                "bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id",
+                "component", "n", "signature",
+            )
+            .repartition(tasks, "bucket", "t1", "t2")  # a named count: few bytes, much work
         )
         n, bits, least, percent = self.n, self.bits, self.least, self.percent
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             pdf = pdf.sort_values("id", ignore_index=True)
             left, right = pdf[pdf["tile"] == pdf["t1"]], pdf[pdf["tile"] == pdf["t2"]]
-            out = []
+            out = [np.zeros((0, 3), np.int64)]
             if len(left) and len(right):
                 sig = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint64).reshape(len(x), -1)
                 ls, rs = sig(left), sig(right)
-                li, ri = left["id"].to_numpy(), right["id"].to_numpy()
-                lc, rc = left["component"].to_numpy(), right["component"].to_numpy()
-                ln, rn = left["n"].to_numpy(), right["n"].to_numpy()
+                li, lc, ln = (left[c].to_numpy() for c in ("id", "component", "n"))
+                ri, rc, rn = (right[c].to_numpy() for c in ("id", "component", "n"))
                 for k in range(0, len(left), 64):
                     s = slice(k, k + 64)
                     small, large = np.minimum(ln[s, None], rn), np.maximum(ln[s, None], rn)
@@ -231,9 +250,8 @@ class Finder:
                         y = guess.argmax(axis=1)
                         x = np.flatnonzero(guess[np.arange(len(y)), y] >= least)
                         y = y[x]
-                    out.append(np.stack([li[s][x], ri[y]], axis=1))
-                    out[-1] = np.column_stack([out[-1], (guess[x, y] * 1e6).astype(np.int64)])
-            got = np.concatenate(out) if out else np.zeros((0, 3), np.int64)
+                    out.append(np.column_stack([li[s][x], ri[y], (guess[x, y] * 1e6).astype(np.int64)]))
+            got = np.concatenate(out)
             return pd.DataFrame({"a": got[:, :2].max(axis=1), "b": got[:, :2].min(axis=1), "guess": got[:, 2]})
 
         pairs = spread.groupBy("bucket", "t1", "t2").applyInPandas(run, "a long, b long, guess long")
@@ -259,30 +277,37 @@ class Finder:
             F.min(F.struct(F.xxhash64("id", "bucket"), "id")).alias("hub"), F.count("*").alias("m")
         )
         buckets = ws.table(
-            banded.join(hubs.where("m > 1").select("bucket", F.col("hub.id").alias("hub")), "bucket"), "buckets"
+            banded.join(hubs.where("m > 1").select("bucket", "m", F.col("hub.id").alias("hub")), "bucket"), "buckets"
         )
         stars = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
         tried = ws.table(self.near(stars, classes), "pairs")
         sets = ws.table(self.sets(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()), "sets")
         links = ws.table(self.confirm(tried, sets), "links")
         joined = ws.table(components(ws, links), "joined")
-        buckets = buckets.select("id", "bucket")
-        for turn in range(PROPOSALS + 1):
-            every = turn == PROPOSALS
-            fresh = self.across(buckets, classes, joined, every).join(tried, ["a", "b"], "left_anti")
-            if not every:  # one proposal a class; the others wait for the next turn
-                fresh = fresh.groupBy("a").agg(F.max_by("b", "guess").alias("b"))
+        crowded = not buckets.where(F.col("m") > SMALL).isEmpty()
+        turn, last = -1, PROPOSALS + 1 if crowded else 0
+        while turn < last:
+            turn += 1
+            if turn == 0:
+                fresh = self.near(self.small(buckets, classes, joined).join(tried, ["a", "b"], "left_anti"), classes)
+            else:
+                every = turn == last
+                fresh = self.large(buckets, classes, joined, every).join(tried, ["a", "b"], "left_anti")
+                if not every:  # one proposal a class; the others wait for the next turn
+                    fresh = fresh.groupBy("a").agg(F.max_by("b", "guess").alias("b"))
             fresh = ws.table(fresh.select("a", "b"), "fresh")
             if fresh.isEmpty():
-                if every:
-                    break
+                if turn:  # the next proposals would be the same
+                    turn = max(turn, last - 1)
                 continue
             ids = fresh.select(F.col("a").alias("id")).union(fresh.select("b")).distinct()
             more = ws.table(self.sets(ids.join(sets, "id", "left_anti")), "sets")
             sets = sets.union(more)
             found = ws.table(self.confirm(fresh, sets), "links")
-            tried, links = tried.union(fresh), links.union(found)
-            joined = ws.table(components(ws, links), "joined")
+            tried = tried.union(fresh)
+            if not found.isEmpty():
+                links = links.union(found)
+                joined = ws.table(components(ws, links), "joined")
         by_class = classes.select("key", "id").join(joined, "id", "left").select(
             "key", F.coalesce("component", "id").alias("component")
         )

@@ -64,6 +64,7 @@ def test_components_are_those_of_all_pairs(docs):
 
 
 def test_tiles_and_partners_change_nothing(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 3)
     monkeypatch.setattr(minhash, "TILE", 4)
     monkeypatch.setattr(minhash, "PARTNERS", 3)
     rows = corpus()[:150]

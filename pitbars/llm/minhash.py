@@ -4,12 +4,13 @@ Documents with the same shingle set are one class from the start. Each class has
 minima is a bucket key, and the low bits of all minima, packed, are the signature by which a pair's similarity is
 estimated from the count of equal positions, corrected for positions that agree by chance.
 
-A bucket never becomes all its pairs. First every member meets one hub (chosen per bucket by hash), so the rows are as many
-as the members; pairs whose estimate lies five standard deviations below the threshold are left out, and the rest are
-confirmed exactly. What these links don't join is then compared across components only, inside the buckets that still
-hold several. Buckets of a few members join by key. Larger ones are compared in tiles, by bit counts: first each class
-proposes its most similar class of another component, the confirmed ones join, and this repeats; the last round takes
-all pairs that remain. So links within one component are not all found (they change nothing), while none between two is
+A large bucket never becomes all its pairs. First every member meets one hub, so the rows are as many as the members; the
+hub of a large bucket is its most central member, the one that meets most others over all its buckets. Pairs whose
+estimate lies five standard deviations below the threshold are left out, and the rest are confirmed exactly. What
+these links don't join is then compared across components only. Buckets of a few members join by key. In larger ones
+the classes outside the hub's component are compared with all members in tiles, by bit counts: first each proposes
+its most similar class of another component, the confirmed ones join, and this repeats; the last round takes all
+pairs that remain. So links within one component are not all found (they change nothing), while none between two is
 lost except by the bands: at the threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
 """
 
@@ -17,6 +18,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ SMALL = 32
 #: Members of a bucket that one task compares with so many others.
 TILE = 1024
 #: Rounds in which a class proposes only its best partner, before the round that takes all.
-PROPOSALS = 3
+PROPOSALS = 2
 #: A hub with more partners than this is read by several tasks.
 PARTNERS = 2048
 
@@ -125,32 +127,33 @@ class Finder:
         self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
 
     def signed(self) -> DataFrame:
-        """(id, n, key, keys of bands, signature) of every row; key is null for an empty set."""
+        """(id, n, key, keys of bands, their low 32 bits, signature) of every row; key is null for an empty set."""
         size, n, bands, rows, bits = self.size, self.n, self.bands, self.rows, self.bits
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             weights = _mix(np.arange(7, 7 + rows, dtype=np.uint64) * _K1) | np.uint64(1)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: dict[str, object] = {"id": part.column(0)} | {c: [] for c in ("n", "key", "keys", "signature")}
+                out: dict[str, object] = {"id": part.column(0)} | {c: [] for c in ("n", "key", "keys", "marks", "signature")}
                 for text in part.column(1).to_pylist():
                     own = shingles(text or "", size)
                     out["n"].append(len(own))
                     if not len(own):
-                        for c in ("key", "keys", "signature"):
+                        for c in ("key", "keys", "marks", "signature"):
                             out[c].append(None)
                         continue
                     low = minima(own, n)
                     mixed = _mix((low.reshape(bands, rows).astype(np.uint64) * weights).sum(axis=1))
                     out["key"].append(hashlib.md5(own.tobytes()).digest())
                     out["keys"].append(mixed.view(np.int64).tolist())
+                    out["marks"].append(mixed.astype("<u4").tobytes())
                     out["signature"].append(pack_bits(low, bits))
                 yield out
 
-        return over_batches(self.docs, run, "id long, n long, key binary, keys array<long>, signature binary")
+        return over_batches(self.docs, run, "id long, n long, key binary, keys array<long>, marks binary, signature binary")
 
     def sets(self, ids: DataFrame) -> DataFrame:
-        """(id, shingles) of the named classes, from their texts."""
+        """(id, shingles) of the named classes, from their texts. Both sides grow with the corpus, so they are merged."""
         size = self.size
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
@@ -161,7 +164,8 @@ class Finder:
                     "shingles": [shingles(t or "", size).view(np.int64).tolist() for t in part.column(1).to_pylist()],
                 }
 
-        return over_batches(self.docs.join(ids, "id", "left_semi"), run, "id long, shingles array<long>").dropDuplicates(["id"])
+        texts = self.docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
+        return over_batches(texts, run, "id long, shingles array<long>")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets pass the threshold. b is the side that may be one hub for very many."""
@@ -188,55 +192,55 @@ class Finder:
         ratio = 100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")
         return full.where(ratio).where(close("sa", "sb")).select("a", "b")
 
-    def small(self, buckets: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-        """Pairs of two components inside buckets of at most SMALL members: at most SMALL / 2 a member."""
-        own = self.with_component(buckets.where(F.col("m") <= SMALL).select("id", "bucket"), classes, joined)
-        sides = [own.select("bucket", *[F.col(c).alias(f"{c}_{s}") for c in ("id", "component", "n")]) for s in "ab"]
-        both = sides[0].join(sides[1], "bucket").where("id_a > id_b and component_a <> component_b")
-        ratio = 100 * F.least("n_a", "n_b") >= self.percent * F.greatest("n_a", "n_b")
-        return both.where(ratio).select(F.col("id_a").alias("a"), F.col("id_b").alias("b")).distinct()
-
-    @staticmethod
-    def with_component(rows: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-        """Members of the buckets that still hold several components, with component and set size."""
-        own = classes.select("id", "n").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
-        full = rows.join(own, "id")
-        mixed = full.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        return full.join(mixed.select("bucket"), "bucket", "left_semi")
-
-    def large(self, buckets: DataFrame, classes: DataFrame, joined: DataFrame, every: bool) -> DataFrame:
-        """Pairs of two components inside a larger bucket, in tiles: each class's best partner, or every pair near enough."""
-        rows = self.with_component(buckets.where(F.col("m") > SMALL).select("id", "bucket"), classes, joined)
-        sizes = rows.groupBy("bucket").agg(
-            F.count("*").alias("m"), F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who")
-        )
-        one = sizes.groupBy("who", "m").agg(F.min("bucket").alias("bucket")).withColumn(  # buckets with the same members: once
-            "tiles", F.ceil(F.col("m") / F.lit(TILE)).cast("int")
-        )
-        member = rows.join(one.select("bucket", "tiles"), "bucket").withColumn(
-            "tile", F.pmod(F.xxhash64("id", "bucket"), F.col("tiles").cast("long")).cast("int")
+    def small(self, buckets: DataFrame) -> DataFrame:
+        """Pairs inside buckets of at most SMALL members: at most SMALL / 2 a member."""
+        own = buckets.where(F.col("m") <= SMALL)
+        sides = [own.select("bucket", F.col("id").alias(s)) for s in "ab"]
+        return sides[0].join(sides[1], "bucket").where("a > b").select("a", "b").distinct()
+
+    def apart(self, pairs: DataFrame, joined: DataFrame) -> DataFrame:
+        """The pairs whose classes are not in one component yet."""
+        sides = [joined.select(F.col("id").alias(s), F.col("component").alias(f"c{s}")) for s in "ab"]
+        full = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
+        return full.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
+
+    def large(self, crowd: DataFrame, classes: DataFrame, joined: DataFrame, every: bool) -> DataFrame:
+        """Pairs of two components inside larger buckets, in tiles.
+
+        Every such pair has a class outside its hub's component; those classes alone look for partners: the best one of
+        each tile, or every one near enough. A pair is told by the first bucket it shares only; 32 bits of a bucket's key
+        decide which that is, and mistake another for it with probability 1e-8.
+        """
+        own = self.apart_of_hub(crowd, classes, joined)
+        mixed = own.groupBy("band", "bucket").agg(
+            F.count("*").alias("m"), F.sum("minor").alias("minors"),
+            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
+        ).where("minors > 0")
+        tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
+        one = mixed.groupBy("who", "m", "minors").agg(F.min(F.struct("band", "bucket")).alias("first")).select(  # the same members: once
+            F.col("first.bucket").alias("bucket"), tiles("minors").alias("lefts"), tiles("m").alias("rights")
         )
+        tile = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n).cast("long")).cast("int")
+        upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        member = own.join(one, "bucket")
+        cols = ["band", "bucket", "i", "j", "side", "id", "component", "n"]
+        left = member.where("minor = 1").withColumn("i", tile("lefts")).withColumn("j", upto("rights")).withColumn("side", F.lit(0))
+        right = member.withColumn("j", tile("rights")).withColumn("i", upto("lefts")).withColumn("side", F.lit(1))
         tasks = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = (
-            member.join(classes.select("id", "signature"), "id")
-            .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-            .select(
-                "bucket", F.least("tile", "other").alias("t1"), F.greatest("tile", "other").alias("t2"), "tile", "id",
-                "component", "n", "signature",
-            )
-            .repartition(tasks, "bucket", "t1", "t2")  # a named count: few bytes, much work
-        )
+        spread = left.select(*cols).union(right.select(*cols)).join(classes.select("id", "signature", "marks"), "id")
+        spread = spread.repartition(tasks, "bucket", "i", "j")  # a named count: few bytes, much work
         n, bits, least, percent = self.n, self.bits, self.least, self.percent
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
-            pdf = pdf.sort_values("id", ignore_index=True)
-            left, right = pdf[pdf["tile"] == pdf["t1"]], pdf[pdf["tile"] == pdf["t2"]]
+            left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
             out = [np.zeros((0, 3), np.int64)]
             if len(left) and len(right):
                 sig = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint64).reshape(len(x), -1)
                 ls, rs = sig(left), sig(right)
                 li, lc, ln = (left[c].to_numpy() for c in ("id", "component", "n"))
                 ri, rc, rn = (right[c].to_numpy() for c in ("id", "component", "n"))
+                lm, rm = (np.frombuffer(b"".join(x["marks"]), "<u4").reshape(len(x), -1) for x in (left, right))
+                band = int(left["band"].iat[0])
                 for k in range(0, len(left), 64):
                     s = slice(k, k + 64)
                     small, large = np.minimum(ln[s, None], rn), np.maximum(ln[s, None], rn)
@@ -250,12 +254,30 @@ class Finder:
                         y = guess.argmax(axis=1)
                         x = np.flatnonzero(guess[np.arange(len(y)), y] >= least)
                         y = y[x]
+                    # a pair that shares several buckets comes from the first
+                    first = (lm[s][x] == rm[y]).argmax(axis=1) == band
+                    x, y = x[first], y[first]
                     out.append(np.column_stack([li[s][x], ri[y], (guess[x, y] * 1e6).astype(np.int64)]))
             got = np.concatenate(out)
-            return pd.DataFrame({"a": got[:, :2].max(axis=1), "b": got[:, :2].min(axis=1), "guess": got[:, 2]})
+            return pd.DataFrame({"a": got[:, :2].max(axis=1), "b": got[:, :2].min(axis=1), "guess": got[:, 2], "asks": got[:, 0]})
+
+        found = spread.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long, guess long, asks long")
+        if not every:  # one proposal a class; the others wait for the next round
+            found = found.groupBy("asks").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p")).select("p.*")
+        return found.select("a", "b").distinct()
 
-        pairs = spread.groupBy("bucket", "t1", "t2").applyInPandas(run, "a long, b long, guess long")
-        return pairs.groupBy("a", "b").agg(F.max("guess").alias("guess"))
+    @staticmethod
+    def apart_of_hub(crowd: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
+        """Members of large buckets with component, set size and whether they are outside their hub's component."""
+        at = joined.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+        return (
+            crowd.join(classes.select("id", "n"), "id")
+            .join(joined, "id", "left")
+            .join(at, "hub", "left")
+            .withColumn("component", F.coalesce("component", "id"))
+            .withColumn("minor", (F.col("component") != F.coalesce("of_hub", "hub")).cast("int"))
+            .select("id", "band", "bucket", "n", "component", "minor")
+        )
 
     def run(self) -> DataFrame:
         ws = self.ws
@@ -265,13 +287,13 @@ class Finder:
             .groupBy("key")
             .agg(
                 F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"),
-                F.first("keys").alias("keys"),
+                F.first("keys").alias("keys"), F.first("marks").alias("marks"),
             )
             .where("id is not null"),
             "classes",
         )
         banded = classes.select("id", F.posexplode("keys").alias("band", "value")).select(
-            "id", F.xxhash64("band", "value").alias("bucket")
+            "id", "band", F.xxhash64("band", "value").alias("bucket")
         )
         hubs = banded.groupBy("bucket").agg(
             F.min(F.struct(F.xxhash64("id", "bucket"), "id")).alias("hub"), F.count("*").alias("m")
@@ -279,35 +301,35 @@ class Finder:
         buckets = ws.table(
             banded.join(hubs.where("m > 1").select("bucket", "m", F.col("hub.id").alias("hub")), "bucket"), "buckets"
         )
-        stars = buckets.where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b")).distinct()
-        tried = ws.table(self.near(stars, classes), "pairs")
-        sets = ws.table(self.sets(tried.select(F.col("a").alias("id")).union(tried.select("b")).distinct()), "sets")
+        # in a large bucket the hub is the member that meets most others over all its large buckets: the centre of its copies
+        crowd = buckets.where(F.col("m") > SMALL).select("id", "band", "bucket", "m")
+        met = crowd.groupBy("id").agg(F.sum("m").alias("met"))
+        central = crowd.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("id"), "id")).alias("hub"))
+        crowd = ws.table(crowd.join(central.select("bucket", F.col("hub.id").alias("hub")), "bucket").drop("m"), "crowd")
+        few = buckets.where(F.col("m") <= SMALL).select("id", "hub")
+        stars = few.union(crowd.select("id", "hub")).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        tried = ws.table(self.near(stars.distinct(), classes), "stars")
+        pairs = ws.table(self.near(self.small(buckets), classes), "pairs")
+        ids = [df.select(F.col(c).alias("id")) for df in (tried, pairs) for c in "ab"]
+        needed = reduce(DataFrame.union, [*ids, crowd.select("id")]).distinct()
+        sets = ws.table(self.sets(needed), "sets")
         links = ws.table(self.confirm(tried, sets), "links")
         joined = ws.table(components(ws, links), "joined")
-        crowded = not buckets.where(F.col("m") > SMALL).isEmpty()
-        turn, last = -1, PROPOSALS + 1 if crowded else 0
-        while turn < last:
+        turn, last = -1, PROPOSALS if not crowd.isEmpty() else -1
+        fresh = ws.table(self.apart(pairs, joined), "fresh")
+        while True:
+            if not fresh.isEmpty():
+                found = ws.table(self.confirm(fresh, sets), "links")
+                tried = tried.union(fresh)
+                if not found.isEmpty():
+                    links = links.union(found)
+                    joined = ws.table(components(ws, links), "joined")
+            elif turn >= 0:  # the next proposals would be the same
+                turn = max(turn, last - 1)
+            if turn == last:
+                break
             turn += 1
-            if turn == 0:
-                fresh = self.near(self.small(buckets, classes, joined).join(tried, ["a", "b"], "left_anti"), classes)
-            else:
-                every = turn == last
-                fresh = self.large(buckets, classes, joined, every).join(tried, ["a", "b"], "left_anti")
-                if not every:  # one proposal a class; the others wait for the next turn
-                    fresh = fresh.groupBy("a").agg(F.max_by("b", "guess").alias("b"))
-            fresh = ws.table(fresh.select("a", "b"), "fresh")
-            if fresh.isEmpty():
-                if turn:  # the next proposals would be the same
-                    turn = max(turn, last - 1)
-                continue
-            ids = fresh.select(F.col("a").alias("id")).union(fresh.select("b")).distinct()
-            more = ws.table(self.sets(ids.join(sets, "id", "left_anti")), "sets")
-            sets = sets.union(more)
-            found = ws.table(self.confirm(fresh, sets), "links")
-            tried = tried.union(fresh)
-            if not found.isEmpty():
-                links = links.union(found)
-                joined = ws.table(components(ws, links), "joined")
+            fresh = ws.table(self.large(crowd, classes, joined, turn == last).join(tried, ["a", "b"], "left_anti"), "fresh")
         by_class = classes.select("key", "id").join(joined, "id", "left").select(
             "key", F.coalesce("component", "id").alias("component")
         )

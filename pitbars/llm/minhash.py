@@ -268,15 +268,22 @@ class Finder:
 
     @staticmethod
     def apart_of_hub(crowd: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-        """Members of large buckets with component, set size and whether they are outside their hub's component."""
+        """Members of the large buckets that hold a class outside their hub's component, with component and set size.
+
+        A class and its hub meet in many buckets, but are compared once.
+        """
         at = joined.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
+        seats = crowd.select("id", "hub").distinct().join(joined, "id", "left").join(at, "hub", "left")
+        minor = seats.where(F.coalesce("component", "id") != F.coalesce("of_hub", "hub")).select(
+            "id", "hub", F.lit(1).alias("minor")
+        )
+        mixed = crowd.join(minor, ["id", "hub"], "left_semi").select("bucket").distinct()
         return (
-            crowd.join(classes.select("id", "n"), "id")
+            crowd.join(mixed, "bucket", "left_semi")
+            .join(minor, ["id", "hub"], "left")
+            .join(classes.select("id", "n"), "id")
             .join(joined, "id", "left")
-            .join(at, "hub", "left")
-            .withColumn("component", F.coalesce("component", "id"))
-            .withColumn("minor", (F.col("component") != F.coalesce("of_hub", "hub")).cast("int"))
-            .select("id", "band", "bucket", "n", "component", "minor")
+            .select("id", "band", "bucket", "n", F.coalesce("component", "id").alias("component"), F.coalesce("minor", F.lit(0)).alias("minor"))
         )
 
     def run(self) -> DataFrame:

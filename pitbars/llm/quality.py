@@ -23,8 +23,8 @@ from pitbars.llm.common import Workspace, over_batches, sized
 
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
-#: A line is boilerplate above this many documents of its host, or above this share of them, whichever is more.
-LIMIT_DOCS, LIMIT_SHARE = 10, 0.01
+#: A line is boilerplate above this many distinct documents of its host, however many the host has.
+LIMIT_DOCS = 10
 #: Base rules: fewest words; largest share (percent) of words in repeated windows.
 LEAST_WORDS, MOST_REPEATED = 20, 30
 #: A document is depleted when more than this percentage of its words went with boilerplate lines.
@@ -92,7 +92,6 @@ def judge(
     id_col: str = "doc_id",
     text_col: str = "text",
     limit_docs: int = LIMIT_DOCS,
-    limit_share: float = LIMIT_SHARE,
     keep_rows: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: id, figures, n_removed_words, base_failed, kept; with ``keep_rows`` also the row
@@ -131,15 +130,10 @@ def judge(
     lines = rows.select("row", "host", "content", F.explode(F.arrays_zip("lines", "line_words")).alias("x")).select(
         "row", "host", "content", F.col("x.lines").alias("line"), F.col("x.line_words").alias("words")
     )
-    hosts = rows.groupBy("host").agg(
-        F.greatest(F.lit(float(limit_docs)), F.lit(limit_share) * F.countDistinct("content")).alias("limit")
-    )
     often = (
         lines.groupBy("host", "line")
         .agg(F.countDistinct("content").alias("n"))
         .where(F.col("n") > limit_docs)
-        .join(hosts, "host")
-        .where("n > limit")
         .select("host", "line")
     )
     removed = (

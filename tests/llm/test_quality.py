@@ -69,3 +69,10 @@ def test_odd_rows(docs, odd):
     assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in odd)
     assert {r["doc_id"] for r in got if r["n_words"] == 0} >= {0, 1, 2, 3}
     assert quality.judge(docs([])).collect() == [] and quality.clean(docs([])).collect() == []
+
+
+def test_limit_does_not_grow_with_the_host(docs):
+    own = lambda k: " ".join(f"d{k}w{j}" for j in range(25))
+    rows = [(k, own(k) + ("\nAll rights reserved by us" if k < 11 else "\nSeen ten times" if k < 21 else ""), None, "a") for k in range(1300)]
+    got = {r["doc_id"]: r["n_removed_words"] for r in quality.judge(docs(rows)).collect()}
+    assert got == {k: 5 if k < 11 else 0 for k in range(1300)}

@@ -24,7 +24,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pitbars.llm.common import Workspace, components, over_batches
@@ -124,17 +124,18 @@ class Finder:
         self.size, self.percent, self.bands, self.rows, self.bits = size, percent, bands, rows, bits
         self.n = bands * rows
         self.least = _least_estimate(percent / 100, self.n, bits)
-        self.docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+        # rows are told apart by id and text: ids may be null, or stand for several texts
+        self.docs = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), row_ref(id_col, text_col).alias("ref"))
 
     def signed(self) -> DataFrame:
-        """(id, n, key, keys of bands, their low 32 bits, signature) of every row; key is null for an empty set."""
+        """(own id, ref, n, key, keys of bands, their low 32 bits, signature) of every row; key is null for an empty set."""
         size, n, bands, rows, bits = self.size, self.n, self.bands, self.rows, self.bits
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             weights = _mix(np.arange(7, 7 + rows, dtype=np.uint64) * _K1) | np.uint64(1)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: dict[str, object] = {"id": part.column(0)} | {c: [] for c in ("n", "key", "keys", "marks", "signature")}
+                out: dict[str, object] = {"own": part.column(0), "ref": part.column(2)} | {c: [] for c in ("n", "key", "keys", "marks", "signature")}
                 for text in part.column(1).to_pylist():
                     own = shingles(text or "", size)
                     out["n"].append(len(own))
@@ -150,22 +151,24 @@ class Finder:
                     out["signature"].append(pack_bits(low, bits))
                 yield out
 
-        return over_batches(self.docs, run, "id long, n long, key binary, keys array<long>, marks binary, signature binary")
+        return over_batches(self.docs, run, "own long, ref long, n long, key binary, keys array<long>, marks binary, signature binary")
 
-    def sets(self, ids: DataFrame) -> DataFrame:
+    def sets(self, classes: DataFrame) -> DataFrame:
         """(id, shingles) of the named classes, from their texts. Both sides grow with the corpus, so they are merged."""
         size = self.size
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                yield {
-                    "id": part.column(0),
-                    "shingles": [shingles(t or "", size).view(np.int64).tolist() for t in part.column(1).to_pylist()],
-                }
+                sets = [shingles(t or "", size) for t in part.column(1).to_pylist()]
+                # texts of one ref are told apart by the key of their class
+                mine = [hashlib.md5(x.tobytes()).digest() == k for x, k in zip(sets, part.column(2).to_pylist(), strict=True)]
+                ids = [i for i, m in zip(part.column(0).to_pylist(), mine, strict=True) if m]
+                yield {"id": ids, "shingles": [x.view(np.int64).tolist() for x, m in zip(sets, mine, strict=True) if m]}
 
-        texts = self.docs.join(ids.hint("merge"), "id", "left_semi").dropDuplicates(["id"])
-        return over_batches(texts, run, "id long, shingles array<long>")
+        texts = self.docs.join(classes.select("id", "key", "ref").hint("merge"), "ref")
+        texts = texts.withColumn("check", F.xxhash64(F.lit(1), "text")).dropDuplicates(["ref", "id", "check"])
+        return over_batches(texts.select("id", "text", "key"), run, "id long, shingles array<long>")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets pass the threshold. b is the side that may be one hub for very many."""
@@ -287,16 +290,18 @@ class Finder:
         )
 
     def run(self) -> DataFrame:
+        """(own id, ref, n, root) of every row: root is the first row (none: its id is null, own, ref) of the component."""
         ws = self.ws
         signed = ws.table(self.signed(), "signed")
         classes = ws.table(
             signed.where("key is not null")
             .groupBy("key")
             .agg(
-                F.min("id").alias("id"), F.first("n").alias("n"), F.first("signature").alias("signature"),
-                F.first("keys").alias("keys"), F.first("marks").alias("marks"),
+                F.min(F.struct(F.col("own").isNull().alias("none"), "own", "ref")).alias("first"), F.first("n").alias("n"),
+                F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("marks").alias("marks"),
             )
-            .where("id is not null"),
+            .withColumn("ref", F.col("first.ref"))
+            .withColumn("id", F.monotonically_increasing_id()),  # the class's number, fixed by this table
             "classes",
         )
         banded = classes.select("id", F.posexplode("keys").alias("band", "value")).select(
@@ -319,7 +324,7 @@ class Finder:
         pairs = ws.table(self.near(self.small(buckets), classes), "pairs")
         ids = [df.select(F.col(c).alias("id")) for df in (tried, pairs) for c in "ab"]
         needed = reduce(DataFrame.union, [*ids, crowd.select("id")]).distinct()
-        sets = ws.table(self.sets(needed), "sets")
+        sets = ws.table(self.sets(classes.join(needed, "id", "left_semi")), "sets")
         links = ws.table(self.confirm(tried, sets), "links")
         joined = ws.table(components(ws, links), "joined")
         turn, last = -1, PROPOSALS if not crowd.isEmpty() else -1
@@ -337,12 +342,18 @@ class Finder:
                 break
             turn += 1
             fresh = ws.table(self.large(crowd, classes, joined, turn == last).join(tried, ["a", "b"], "left_anti"), "fresh")
-        by_class = classes.select("key", "id").join(joined, "id", "left").select(
-            "key", F.coalesce("component", "id").alias("component")
-        )
-        return signed.select("id", "n", "key").join(by_class, "key", "left").select(
-            "id", F.col("n").alias("n_shingles"), F.coalesce("component", "id").alias("component_id")
-        )
+        by_class = classes.select("key", "id", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
+        # written, so that a large component is an uneven join of two tables, which is dealt anew
+        by_class = ws.table(by_class, "named")
+        roots = ws.table(by_class.groupBy("component").agg(F.min("first").alias("root")), "roots")
+        return signed.select("own", "ref", "n", "key").join(
+            by_class.join(roots, "component").select("key", "root"), "key", "left"
+        ).drop("key")
+
+
+def row_ref(id_col: str, text_col: str) -> Column:
+    """A 64-bit name of a row's id and text, the same in every plan."""
+    return F.xxhash64(F.col(id_col), F.col(text_col))
 
 
 def near_duplicates(
@@ -360,17 +371,27 @@ def near_duplicates(
     A text's set holds its distinct shingles of ``shingle_size`` words (runs of anything but ASCII white space, A-Z
     lower-cased); a text with fewer words is one shingle; a null or empty text has the empty set and links with nothing.
     Two documents link when 100 * intersection >= ``percent`` * union. The component is the smallest id reachable; kept says
-    that it is the row's own id, so rows repeated under one id are kept or dropped together. Rows that share an id but not
-    a text may be joined through it. A null id gets a null component unless it has a copy with an id. An empty
-    table gives no rows. Only the two named columns are read.
+    that it is the row's own id, so rows repeated under one id are kept or dropped together. Rows are told apart by id and
+    text, so texts under one id link each for itself. A null id gets the component of what it links with, null where nothing in
+    it has an id; then its first text is kept. An empty table gives no rows. Only the two named columns are read.
     """
     found = Finder(docs, shingle_size, percent, id_col, text_col, bands, rows, bits).run()
-    return found.select(
-        F.col("id").alias(id_col), "n_shingles", "component_id", F.coalesce(F.col("id") == F.col("component_id"), F.lit(False)).alias("kept")
-    )
+    component = F.coalesce("root.own", "own")
+    first = F.coalesce(F.col("root.none") & (F.col("root.ref") == F.col("ref")), F.col("root").isNull())
+    kept = F.when(F.col("own").isNotNull(), F.col("own") == component).otherwise(first)
+    return found.select(F.col("own").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), kept.alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` that stay: one document of each group, columns as they were; exactly repeated ids once."""
-    kept = near_duplicates(docs, id_col=id_col, text_col=text_col, **options).where("kept").select(id_col).distinct()
-    return docs.join(kept, id_col, "left_semi").dropDuplicates([id_col]).select(docs.columns)
+def keep_one(
+    docs: DataFrame, shingle_size: int = 5, percent: int = 80, id_col: str = "doc_id", text_col: str = "text",
+    bands: int = BANDS, rows: int = ROWS, bits: int = BITS,
+) -> DataFrame:
+    """The rows of ``docs`` that stay, columns as they were: one row of each group, the one with the smallest id (null last).
+
+    Rows without words are no group: each stays. Rows that repeat both id and text (null ids too) stay once; a null id, or an
+    id another text has as well, loses no row.
+    """
+    found = Finder(docs, shingle_size, percent, id_col, text_col, bands, rows, bits).run()
+    stay = found.select(F.coalesce("root.ref", "ref").alias("_ref")).distinct()
+    named = docs.withColumn("_ref", row_ref(id_col, text_col)).withColumn("_check", F.xxhash64(F.lit(1), id_col, text_col))
+    return named.join(stay, "_ref", "left_semi").dropDuplicates(["_ref", "_check"]).select(docs.columns)

@@ -97,3 +97,15 @@ def test_odd_rows(docs, odd):
     assert [by_id[k]["n_shingles"] for k in range(5)] == [0, 0, 0, 0, 1]
     assert by_id[0]["component_id"] == 0 and by_id[11]["component_id"] == 10 and not by_id[11]["kept"]
     assert minhash.near_duplicates(docs([])).collect() == []
+
+
+def test_null_ids_and_ids_of_two_texts_lose_nothing(docs):
+    words = lambda p, n=40: " ".join(f"{p}{k}" for k in range(n))
+    a, b, c, d, e = map(words, "abcde")
+    rows = [(None, a), (None, b), (None, b + " tail"), (1, c), (1, d), (2, d + " tail"), (None, c + " tail"), (3, e), (3, e)]
+    kept = [(r["doc_id"], r["text"]) for r in minhash.keep_one(docs(rows), shingle_size=2).collect()]
+    assert len(kept) == 5 and {(None, a), (1, c), (1, d), (3, e)} < set(kept)
+    assert len({(None, b), (None, b + " tail")} & set(kept)) == 1
+    got = [tuple(r) for r in minhash.near_duplicates(docs(rows), shingle_size=2).collect()]
+    assert (2, 40, 1, False) in got and (None, 40, 1, False) in got and (None, 39, None, True) in got
+    assert sum(r[0] is None and r[3] for r in got) == 2

@@ -21,7 +21,8 @@ from pyspark.sql import functions as F
 from pitbars.llm.common import over_batches
 
 DATE = "2024-01-01T00:00:00Z"
-#: Patterns of the conversion, in order, with what replaces a match.
+#: Patterns of the conversion, in order, with what replaces a match, as SQL states them: for pages that close their head. Here
+#: ``without_head`` stands in place of the head's pattern, and ``values`` in place of LANG and LINK (double quotes only).
 STEPS = (
     (r"(?is)<!--.*?(-->|$)", ""),
     (r"(?is)<script\b[^<>]*>.*?(</script[^<>]*>|$)", ""),
@@ -33,8 +34,17 @@ STEPS = (
 BLANKS = ((r"[ \t\r\x0b\x0c]+", " "), (r" ?\n ?", "\n"), (r"\n+", "\n"))
 TITLE, LANG, LINK = r"(?is)<title[^<>]*>([^<]*)", r'(?is)<html[^<>]*\slang="([^"<>]*)"', r'(?is)<a\s[^<>]*href="([^"<>]*)"'
 _STEPS = [(re.compile(p), r) for p, r in STEPS]
+_BEFORE_HEAD, _AFTER_HEAD = _STEPS[:3], _STEPS[4:]
 _BLANKS = [(re.compile(p), r) for p, r in BLANKS]
-_TITLE, _LANG, _LINK = map(re.compile, (TITLE, LANG, LINK))
+_TITLE = re.compile(TITLE)
+_HEAD = re.compile(r"(?i)<head(?=[\s/>])[^<>]*>")
+_TAG = re.compile(r"<(/?)([a-zA-Z][^\s/<>]*)[^<>]*>")
+#: Elements that can stand in a head; of the second kind, what is between their tags belongs to them.
+_IN_HEAD = frozenset("base basefont bgsound link meta noscript object script style template title".split())
+_CLOSE = {x: re.compile(rf"(?i)</{x}\s*>") for x in ("noscript", "object", "template", "title")}
+_ATTRIBUTES = r"""(?is)<%s(?=[\s/])((?:[^<>"']|"[^"<]*"|'[^'<]*')*+)"""
+_HTML, _A = re.compile(_ATTRIBUTES % "html"), re.compile(_ATTRIBUTES % "a")
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'<>]+)))?""")
 
 RECORD = (
     "warc_type string, record_id string, refers_to string, concurrent_to string, target_uri string, date string, "
@@ -48,9 +58,53 @@ def _tidy(text: str) -> str:
     return text.strip(" \n")
 
 
+def _head_end(page: str, at: int) -> int:
+    """Where a head ends whose content starts at ``at``: after </head>, or where it is left out, before the first text or tag
+    that can't stand in a head."""
+    pos, bare, unclosed = at, None, set()
+    while tag := _TAG.search(page, pos):
+        if bare is None and page[pos : tag.start()].strip():
+            bare = pos
+        name = tag[2].lower()
+        if tag[1] and name == "head":
+            return tag.end()
+        if name not in _IN_HEAD:
+            return tag.start() if bare is None else bare
+        pos = tag.end()
+        if not tag[1] and name in _CLOSE:
+            close = None if name in unclosed else _CLOSE[name].search(page, pos)
+            if close:
+                pos = close.end()
+            else:
+                unclosed.add(name)
+                if name == "title":
+                    pos = found if (found := page.find("<", pos)) >= 0 else len(page)
+    return pos if bare is None else bare
+
+
+def without_head(page: str) -> str:
+    out, pos = [], 0
+    while head := _HEAD.search(page, pos):
+        out += [page[pos : head.start()], "\n"]
+        pos = _head_end(page, head.end())
+    return "".join(out) + page[pos:]
+
+
+def values(tag: re.Pattern, name: str, page: str) -> Iterator[str]:
+    """The values of an attribute, in double quotes, single quotes or none; the first where a tag repeats it."""
+    for m in tag.finditer(page):
+        for a in _ATTRIBUTE.finditer(m[1]):
+            if a[1].lower() == name and a.lastindex > 1:
+                yield a[a.lastindex]
+                break
+
+
 def plain_text(page: str) -> str:
     """The text of a page: markup, scripts, styles and the head go, blocks become lines, entities characters."""
-    for p, r in _STEPS:
+    for p, r in _BEFORE_HEAD:
+        page = p.sub(r, page)
+    page = without_head(page)
+    for p, r in _AFTER_HEAD:
         page = p.sub(r, page)
     return _tidy(entities.unescape(page) if "&" in page else page)
 
@@ -116,11 +170,11 @@ def derive(records: DataFrame) -> DataFrame:
                 uri, record_id, date = uri or "", record_id or "", date or ""
                 digest = digest or "sha256:" + hashlib.sha256(page.encode()).hexdigest()
                 conversion, metadata = urn("conversion", record_id), urn("metadata", record_id)
-                title, lang = _TITLE.search(page), _LANG.search(page)
+                title = _TITLE.search(page)
                 fields = [
                     ("title", _tidy(entities.unescape(title[1])).replace("\n", " ") if title else ""),
-                    ("language", lang[1] if lang else ""),
-                    *(("outlink", x) for x in _LINK.findall(page)),
+                    ("language", next(values(_HTML, "lang", page), "")),
+                    *(("outlink", x) for x in values(_A, "href", page)),
                     *(("source-http-header", x) for x in head.split("\r\n") if x),
                 ]
                 about = "".join(f"{k}: {v}\r\n" for k, v in fields)

@@ -44,3 +44,19 @@ def test_files_round_trip(spark):
     both = source.select(*[c.split()[0] for c in warc.RECORD.split(", ")]).union(warc.derive(source).drop("source_key"))
     warc.write_warc(both, path, records_per_file=3)
     assert Counter(warc.read_warc(spark, path).collect()) == Counter(both.collect())
+
+
+def test_open_heads_and_all_forms_of_attributes(spark):
+    cases = {
+        "<html lang=de><head><title>T</title><meta charset=utf-8><body><header>Top</header><p>one": ("de", [], "Top\none"),
+        "<html lang='fr'><head><title>T</title><link rel=x><p>two<a href='/b?x=1' >l</a> <a class=c href=/c>m</a>": ("fr", ["/b?x=1", "/c"], "two\nl m".replace("\n", "")),
+        "<head><title>T</title>text of it<p>three": ("", [], "text of it\nthree"),
+        '<head><noscript><img src="x"></noscript><title>T</title></head><p>four<A HREF = "/d" title="see href=no">n</A>': ("", ["/d"], "fourn"),
+        "<head><title>T": ("", [], ""),
+    }
+    got = warc.derive(warc.responses(pages(spark, [(k, "u", page, "x") for k, page in enumerate(cases)]))).collect()
+    for k, (lang, links, text) in enumerate(cases.values()):
+        one = {r["warc_type"]: r["block"] for r in got if r["source_key"] == k}
+        fields = [x.split(": ", 1) for x in one["metadata"].split("\r\n") if x]
+        assert one["conversion"] == text
+        assert [v for n, v in fields if n == "outlink"] == links and ["language", lang] in fields and ["title", "T"] in fields

@@ -38,6 +38,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _MARK = re.compile(r"[0-9@]")
 _BLANK = re.compile(r"[\x20\x09-\x0D]")
 _DIGITS = re.compile(r"[0-9]")
+#: What stands between two marks of fields. An apostrophe inside a word and a comma before three digits are no such marks.
+_PIECE = re.compile(
+    r"""(?:[^\x20\x09-\x0D"'`,;:=|&<>{}\[\]]++|(?<=[A-Za-z])'(?=[A-Za-z])|(?<=[0-9])(?<![0-9]{4}),(?=[0-9]{3}(?![0-9])))++"""
+)
+_NUMBER = re.compile(r"[+(]*[0-9][0-9().,/+-]*")
 #: Characters around a value that count as glued context rather than as its part.
 _EDGE = "\"'()[]{}<>,.;:!?=|`*"
 
@@ -100,30 +105,55 @@ def contexts(text: str, start: int, end: int) -> list[str]:
     return [f"1\0{w1}\0{glued}", f"2\0{w2}\0{w1}\0{glued}", f"3\0{tail}\0{_word(follow[:24]) or '$'}"]
 
 
+def _trim(text: str, start: int, end: int, number: bool) -> tuple[int, int]:
+    """A span without the marks at its edges; a number keeps brackets around a part of it."""
+    edge = _EDGE + " -/" if number else _EDGE
+    while end > start and text[end - 1] in edge and not (number and text[end - 1] == ")" and text.find("(", start + 1, end) >= 0):
+        end -= 1
+    while start < end and text[start] in edge and not (number and text[start] == "(" and text.find(")", start, end - 1) >= 0):
+        start += 1
+    return start, end
+
+
+def _runs(text: str) -> Iterator[tuple[int, int, bool]]:
+    """Pieces between blanks, quotes, commas and other marks of fields; pieces of a number that single blanks part are one."""
+    at = 0
+    while mark := _MARK.search(text, at):
+        line = text.rfind("\n", 0, mark.start()) + 1
+        at = stop if (stop := text.find("\n", mark.start())) >= 0 else len(text)
+        start = end = depth = -1
+        for m in _PIECE.finditer(text, line, at):
+            piece = m[0]
+            number = _NUMBER.fullmatch(piece) is not None
+            # a hyphen or slash between blanks goes on with a number
+            if start >= 0 and not (m.start() == end + 1 and text[end] == " " and text[end - 1] != "." and depth >= 0 and (number or piece in "-/")):
+                yield start, end, True
+                start = -1
+            if number or start >= 0:
+                if start < 0:
+                    start, depth = m.start(), 0
+                end, depth = m.end(), depth + piece.count("(") - piece.count(")")
+            elif _MARK.search(piece):
+                yield m.start(), m.end(), False
+        if start >= 0:
+            yield start, end, True
+
+
 def candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
-    """Spans of tokens with a digit or an at sign that touch no base span, without glued marks and any key before = or :."""
-    out, pos, k = [], 0, 0
-    for m in _MARK.finditer(text):
-        at = m.start()
-        if at < pos:
-            continue
-        start = at
-        while start > pos and text[start - 1] not in " \t\n\x0b\x0c\r":
-            start -= 1
-        stop = _BLANK.search(text, at)
-        end = pos = stop.start() if stop else len(text)
+    """Spans of identifier-like runs with a digit or an at sign, without what base spans cover and without glued marks."""
+    out, k = [], 0
+    for start, end, number in _runs(text):
         while k < len(base) and base[k][2] <= start:
             k += 1
-        if any(b[0] < end and b[2] > start for b in base[k : k + 8]):
-            continue
-        key = max(text.rfind("=", start, end - 1), text.rfind(":", start, end - 1))
-        start = key + 1 if key >= start else start
-        while start < end and text[start] in _EDGE:
-            start += 1
-        while end > start and text[end - 1] in _EDGE:
-            end -= 1
-        if 5 <= end - start <= 64 and _MARK.search(text, start, end):
-            out.append((start, end))
+        j = k
+        while start < end:  # the parts between base spans
+            while j < len(base) and base[j][2] <= start:
+                j += 1
+            cut = base[j] if j < len(base) and base[j][0] < end else (end, 0, end)
+            s, e = _trim(text, start, max(start, cut[0]), number)
+            if e - s >= 5 and _MARK.search(text, s, e):
+                out.append((s, e))
+            start = max(start, cut[2])
     return out
 
 

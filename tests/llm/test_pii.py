@@ -72,3 +72,17 @@ def test_odd_rows(docs, odd):
     assert len(got) == len(rows)
     assert [r["spans"] for r in got if r["doc_id"] == 77] == ["email:4:10,ip:12:20,card:22:41"]
     assert pii.extract(docs([])).collect() == [] and pii.mask(docs([])).collect() == []
+
+
+def test_contexts_find_spaced_numbers_and_fields(docs):
+    forms = ["555 123 4567", "4111 1111 1111 1112", "(030) 1234567", "030 / 123 - 4567", "1" * 70]
+    rows = [r for r in corpus() if r[0] < 40] + [(300 + k, f"please reach the office via hotline {x} today or later") for k, x in enumerate(forms)]
+    got = {r["doc_id"]: r["text"] for r in pii.mask(docs(rows)).collect()}
+    assert {got[300 + k] for k in range(len(forms))} == {"please reach the office via hotline <PHONE> today or later"}
+
+
+def test_candidates_are_parts_of_fields():
+    found = lambda t: [t[s:e] for s, e in pii.candidates(t, pii.base_spans(t))]
+    assert found('{"a":"5551234567","b":99887766,"m":"x@y.example"}') == ["5551234567", "99887766"]
+    assert found("a@b.example,123456,'77-88-99'") == ["123456", "77-88-99"]
+    assert found("(555 123 4567). 2019") == ["555 123 4567"] and found("id=12345;k=67890") == ["12345", "67890"]

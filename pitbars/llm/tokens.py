@@ -150,23 +150,50 @@ class WholeTexts:
         return [np.array(e.ids, self.dtype) for e in self.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
 
-_READY: dict[str, Remembered | WholeTexts] = {}
+class AddedTokens:
+    """Cuts texts at the strings of added tokens, which are ids of their own, and encodes what stands between them."""
 
+    def __init__(self, between: Remembered, added: dict[str, int]):
+        self.between, self.dtype, self.added = between, between.dtype, added
+        # as the library reads a text: from the left, the longest where several start
+        self.strings = re.compile("|".join(map(re.escape, sorted(added, key=len, reverse=True))))
 
-def text_encoder(file: str | None = None) -> Remembered | WholeTexts:
-    """The encoder of a worker process for a tokenizers file; kept between tasks."""
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        out = self.between([t if self.strings.search(t) is None else "" for t in texts])
+        for k, text in enumerate(texts):
+            if not len(out[k]) and self.strings.search(text):
+                found, at = [], 0
+                for m in self.strings.finditer(text):
+                    found += [*self.between([text[at : m.start()]]), np.array([self.added[m[0]]], self.dtype)]
+                    at = m.end()
+                out[k] = np.concatenate([*found, *self.between([text[at:]])])
+        return out
+
+
+_READY: dict[tuple[str, bool], Remembered | AddedTokens | WholeTexts] = {}
+
+
+def text_encoder(file: str | None = None, special: bool = True) -> Remembered | AddedTokens | WholeTexts:
+    """The encoder of a worker process for a tokenizers file; kept between tasks.
+
+    As in the library's own default, the string of an added token inside a text becomes that token; with ``special`` false
+    it is ordinary text.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     path = file or vocabulary_file()
-    if path not in _READY:
+    if (path, special) not in _READY:
         from tokenizers import Tokenizer
 
         tokenizer = Tokenizer.from_file(path)
-        tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        tokenizer.encode_special_tokens = not special
         dtype = "<u2" if tokenizer.get_vocab_size() < 65536 else "<u4"
+        added = list(tokenizer.get_added_tokens_decoder().items())
         kinds = [type(x).__name__ for x in (tokenizer.pre_tokenizer, tokenizer.model, tokenizer.normalizer)]
-        if kinds != ["ByteLevel", "BPE", "NoneType"]:
-            _READY[path] = WholeTexts(tokenizer, dtype)
-            return _READY[path]
+        # tokens that take white space with them or stand at words only are left to the library, as is another kind
+        bound = any(t.lstrip or t.rstrip or t.single_word or (not special and not t.special) for _, t in added)
+        if kinds != ["ByteLevel", "BPE", "NoneType"] or bound:
+            _READY[path, special] = WholeTexts(tokenizer, dtype)
+            return _READY[path, special]
         model, letters = tokenizer.model, _byte_letters()
         blank = letters[32]
         model._resize_cache(0)  # every piece comes once
@@ -186,5 +213,6 @@ def text_encoder(file: str | None = None) -> Remembered | WholeTexts:
                     out.append(tokenizer.encode(p, add_special_tokens=False).ids)
             return out
 
-        _READY[path] = Remembered(encode, dtype)
-    return _READY[path]
+        plain = Remembered(encode, dtype)
+        _READY[path, special] = AddedTokens(plain, {t.content: i for i, t in added}) if special and added else plain
+    return _READY[path, special]

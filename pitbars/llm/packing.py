@@ -106,6 +106,11 @@ def cut(
     return over_batches(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), run, schema)
 
 
+def dealt(rows: DataFrame, groups: int) -> DataFrame:
+    """A group for each row by its place in the table, so that repeated rows spread over all groups."""
+    return rows.withColumn("group", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(groups)))
+
+
 def pack(
     docs: DataFrame,
     size: int = 1024,
@@ -124,8 +129,7 @@ def pack(
     """
     ws = Workspace(docs.sparkSession, "pack")
     pieces = ws.table(cut(docs, size, tokenizer_file, end_id, id_col, text_col, with_ids), "pieces")
-    groups = -(-pieces.count() // group_rows) or 1
-    dealt = pieces.withColumn("group", F.pmod(F.xxhash64("id", "start", "length", "ids_crc32"), F.lit(groups)))
+    rows = dealt(pieces, -(-pieces.count() // group_rows) or 1)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         order = ["length", "id", "start", "ids_crc32"]
@@ -133,8 +137,8 @@ def pack(
         window, offset = best_fit(pdf["length"].to_numpy(), size)
         return pdf.assign(window=window, offset=offset)
 
-    schema = ", ".join(f"{c} {t}" for c, t in dealt.dtypes) + ", window long, offset long"
-    packed = ws.table(dealt.groupBy("group").applyInPandas(run, schema), "packed")
+    schema = ", ".join(f"{c} {t}" for c, t in rows.dtypes) + ", window long, offset long"
+    packed = ws.table(rows.groupBy("group").applyInPandas(run, schema), "packed")
     ws.drop(pieces)
     counts = packed.groupBy("group").agg((F.max("window") + 1).alias("n"))
     starts = counts.select("group", (F.sum("n").over(Window.orderBy("group")) - F.col("n")).alias("first"))

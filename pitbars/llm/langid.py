@@ -5,7 +5,7 @@ for each language, and a document's probabilities are the mean over all its posi
 state, so memory and time per byte don't depend on the length of a text, and all bytes of a text count.
 
 Training is backpropagation through time with Adam on windows of a bounded sample: ``docs_per_label`` documents of each
-label (the first by a hash of the id), ``windows_per_doc`` windows of each. Labels are few by nature.
+label (different rows, the first by a hash), ``windows_per_doc`` windows of each. Labels are few by nature.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from pitbars.llm.common import over_batches
+from pitbars.llm.common import Workspace, over_batches
 
 UNKNOWN = "und"
 #: Bound of the training sample.
@@ -188,19 +188,35 @@ def document_probabilities(net: Network, texts: list[bytes], size: int = BYTES,
     return total / np.maximum([[len(t)] for t in texts], 1)
 
 
+def sampled_rows(docs: DataFrame, label_col: str, id_col: str, text_col: str, docs_per_label: int) -> DataFrame:
+    """(label, text): at most ``docs_per_label`` different rows a label, those with the smallest hashes of id and text.
+
+    Equal rows count once. The distinct rows of a label are counted by a sketch; a threshold on the hash then leaves a few
+    times the wanted rows, so that no task orders all rows of a label and texts are never shuffled to be chosen.
+    """
+    ws = Workspace(docs.sparkSession, "sample")
+    rows = docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull()).select(
+        F.col(label_col).cast("string").alias("label"),
+        F.xxhash64(F.col(id_col).cast("string"), F.col(text_col), F.col(label_col).cast("string")).alias("h"),
+        F.col(text_col).alias("text"),
+    )
+    slim = ws.table(rows.select("label", "h"), "rows")
+    many = slim.groupBy("label").agg(F.approx_count_distinct("h", 0.02).alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * docs_per_label) / F.col("n"))
+    place = (F.col("h") / F.lit(2.0**64)) + 0.5
+    few = slim.join(F.broadcast(many), "label").where(place <= share).select("label", "h").distinct()
+    own = Window.partitionBy("label").orderBy("h")
+    chosen = few.withColumn("k", F.row_number().over(own)).where(F.col("k") <= docs_per_label).select("h")
+    # at most ``docs_per_label`` hashes a label
+    return rows.join(F.broadcast(chosen), "h").groupBy("h", "label").agg(F.min("text").alias("text")).select("label", "text")
+
+
 def training_windows(docs: DataFrame, label_col: str, id_col: str, text_col: str, docs_per_label: int, windows_per_doc: int) -> DataFrame:
     """(label, bytes) of the sample: windows spread evenly over whole texts."""
-    ids = (
-        docs.where(F.col(label_col).isNotNull() & F.col(text_col).isNotNull() & F.col(id_col).isNotNull())
-        .select(F.col(id_col).alias("id"), F.col(label_col).alias("label"))
-        .withColumn("k", F.row_number().over(Window.partitionBy("label").orderBy(F.md5(F.col("id").cast("string")), "id")))
-        .where(F.col("k") <= docs_per_label)
-        .select("id")
-    )
 
     def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
         out: dict[str, list] = {"label": [], "data": []}
-        for label, text in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             data = text.encode()
             last = max(0, len(data) - TRAIN_BYTES)
             for at in sorted({last * k // max(1, windows_per_doc - 1) for k in range(windows_per_doc)}):
@@ -209,8 +225,7 @@ def training_windows(docs: DataFrame, label_col: str, id_col: str, text_col: str
                     out["data"].append(data[at : at + TRAIN_BYTES])
         yield out
 
-    slim = docs.select(F.col(id_col).alias("id"), F.col(label_col).cast("string").alias("label"), F.col(text_col).alias("text"))
-    chosen = slim.where("label is not null and text is not null").join(ids, "id", "left_semi")
+    chosen = sampled_rows(docs, label_col, id_col, text_col, docs_per_label)
     return over_batches(chosen, run, "label string, data binary")
 
 

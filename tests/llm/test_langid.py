@@ -63,3 +63,15 @@ def test_odd_rows(docs, odd):
     )
     assert langid.fit(docs([])) is None and langid.predict(docs([]), net).collect() == []
     assert {r["lang_pred"] for r in langid.predict(docs(odd), None).collect()} == {"und"}
+
+
+def test_sample_is_bounded_by_rows(docs):
+    one_id = [(7, f"text number {k}", "aa") for k in range(5000)]
+    few = [(k, f"other text {k}", "bb") for k in range(30)]
+    copies = [(9, "one text", "cc")] * 2000 + [(9, f"rare text {k}", "cc") for k in range(20)]
+    rows = docs(one_id + few + copies + [(None, "no id", "dd"), (1, None, "dd"), (2, "no label", None)])
+    got = langid.sampled_rows(rows, "lang", "doc_id", "text", 400).collect()
+    n = {x: [r["text"] for r in got if r["label"] == x] for x in ("aa", "bb", "cc", "dd")}
+    assert len(got) == sum(map(len, n.values())) and {k: len(v) for k, v in n.items()} == {"aa": 400, "bb": 30, "cc": 21, "dd": 1}
+    again = langid.sampled_rows(rows.repartition(7), "lang", "doc_id", "text", 400).collect()
+    assert sorted(map(tuple, again)) == sorted(map(tuple, got))

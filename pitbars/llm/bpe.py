@@ -10,7 +10,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -135,17 +135,20 @@ def load(file: str | None = None, pattern: str | None = None) -> BytePairs:
     return BytePairs(ranks, pattern or public_tokenizers.PATTERN)
 
 
-_READY: dict[tuple, tuple[BytePairs, Remembered]] = {}
+Encoder = Callable[[list[str]], list[np.ndarray]]
+_READY: dict[tuple, tuple[BytePairs, Encoder]] = {}
 
 
-def coder(file: str | None = None, pattern: str | None = None) -> tuple[BytePairs, Remembered]:
+def coder(file: str | None = None, pattern: str | None = None) -> tuple[BytePairs, Encoder]:
     """The vocabulary of a worker process, and its encoder of texts, which remembers a bounded number of pieces.
 
     Texts are only cut into pieces where the library's pattern cuts; with another pattern each text is encoded whole.
     """
     if (file, pattern) not in _READY:
         pairs = load(file, pattern)
-        _READY[file, pattern] = pairs, Remembered(lambda new: [pairs.encode(p) for p in new], "<u4")
+        each = lambda new: [pairs.encode(p) for p in new]
+        whole = lambda texts: [np.array(ids, "<u4") for ids in each(texts)]
+        _READY[file, pattern] = pairs, whole if pattern else Remembered(each, "<u4")
     return _READY[file, pattern]
 
 

@@ -21,7 +21,6 @@ LETTERS = "ab é1'.,  \n\n\t  !s日x\x1c "
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
@@ -45,12 +44,22 @@ def test_pieces_join_and_encode_like_the_library(library):
 
 
 def test_memory_that_overflows_changes_nothing(library):
-    encoder = tokens.text_encoder()
+    encoder = tokens.text_encoder(special=False)
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    t.encode_special_tokens = True
+    library = lambda text: t.encode(text, add_special_tokens=False).ids
     small = tokens.Remembered(encoder.encode, encoder.dtype, limit=5)
     texts = random_texts(300, 2)
     assert [x.tolist() for x in small(texts)] == [library(t) for t in texts]
 
 
+def test_added_tokens_are_the_library_default(library):
+    for text in ("a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", "a<|endoftext|", " <|endoftext|> "):
+        assert tokens.text_encoder()([text])[0].tolist() == library(text), text
+    assert library("a <|endoftext|> b") == [64, 220, 50256, 275]
+    assert 50256 not in tokens.text_encoder(special=False)(["a <|endoftext|> b"])[0]
+
+
 def test_other_tokenizers_encode_whole_texts():
     path = public_tokenizers.path("word_bpe_49k.json")
     t = Tokenizer.from_file(path)
@@ -138,6 +147,19 @@ def test_packing_holds_each_id_once(docs, odd, library, group_rows):
     assert packing.pack(docs([])).collect() == []
 
 
+def test_repeated_rows_spread_over_groups(docs, library):
+    rows = [(5, "always the same words", None, "a")] * 3000 + [(k, f"text {k}", None, "a") for k in range(100, 400)]
+    got = packing.pack(docs(rows), size=64, group_rows=100, with_ids=False).collect()
+    assert Counter(r["doc_id"] for r in got)[5] == 3000
+    # a window of 64 holds as many of the copies as fit, in every group; one hot group alone would fill as well but in one task
+    sizes = Counter()
+    for r in got:
+        sizes[r["sequence_id"]] += r["length"]
+    assert max(sizes.values()) <= 64 and sorted(sizes) == list(range(len(sizes)))
+    many = packing.dealt(docs(rows), 60).groupBy("group").count().collect()
+    assert max(r["count"] for r in many) < 3 * len(rows) / 60
+
+
 def test_perfect_hash_finds_keys_and_nothing_else():
     keys = [str(k).encode() for k in range(5000)]
     h = bpe.PerfectHash(keys)
@@ -152,6 +174,13 @@ def test_merges_like_the_library(by_ranks):
         assert pairs.decode(pairs.encode(text)) == text.encode()
 
 
+@pytest.mark.parametrize("pattern", [r"\S+\s*", r"[\s\S]{1,3}"])
+def test_other_patterns_encode_whole_texts(pattern):
+    pairs, encoder = bpe.coder(None, pattern)
+    texts = ["some words, two  blanks\nand a line", "don't 12 é"]
+    assert [x.tolist() for x in encoder(texts)] == [pairs.encode(t) for t in texts]
+
+
 def test_encoded_texts(docs, odd, by_ranks):
     got = bpe.encode_texts(docs(odd)).collect()
     sha = lambda b: hashlib.sha256(b).hexdigest()

@@ -33,7 +33,7 @@ select doc_id, size::bigint size,
 from cut, crc_table"""
 
 
-def quality(limit_docs: int = 10, limit_share: float = 0.01) -> str:
+def quality(limit_docs: int = 10) -> str:
     ws = r"[\x20\x09-\x0D]+"
     lower = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
     norm = f"trim(regexp_replace({lower.format('line')}, '{ws}', ' ', 'g'))"
@@ -54,11 +54,8 @@ with docs as (
   select *, len(string_split(norm, ' ')) n from lines where norm <> ''
 ), dup as (
   select r, count(*) - count(distinct line) n from with_word group by r
-), hosts as (
-  select host, greatest({limit_docs}, {limit_share} * count(distinct body)) most from docs group by host
 ), often as (
-  select host, norm from (select host, norm, count(distinct body) n from with_word group by host, norm) join hosts using (host)
-  where n > most
+  select host, norm from with_word group by host, norm having count(distinct body) > {limit_docs}
 ), gone as (
   select r, sum(n) n from with_word join often using (host, norm) group by r
 ), figures as (

@@ -32,17 +32,16 @@ def corpus():
     return rows + [(400 + k, copied, None, "b") for k in range(50)]
 
 
-def plain(rows, limit=10, share=0.01):
+def plain(rows, limit=10):
     norm = lambda x: " ".join(x.encode().lower().decode().split(" "))
     norm = lambda x: " ".join(x.lower().split())
-    by_line, by_host = {}, {}
+    by_line = {}
     for _, t, _, h in rows:
-        by_host.setdefault(h, set()).add(t)
         for x in set(map(norm, t.split("\n"))) - {""}:
             by_line.setdefault((h, x), set()).add(t)
     out = {}
     for i, t, _, h in rows:
-        keep = [x for x in t.split("\n") if not norm(x) or len(by_line[h, norm(x)]) <= max(limit, share * len(by_host[h]))]
+        keep = [x for x in t.split("\n") if not norm(x) or len(by_line[h, norm(x)]) <= limit]
         words, left = t.split(), sum(len(x.split()) for x in keep)
         failed = len(words) < 20 or 100 * plain_repeats(words) > 30 * len(words)
         out[i] = (len(words), len(words) - left, failed, not failed and 2 * left >= len(words), "\n".join(keep))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pitbars.llm import warc
+from pitbars.llm.chat import Template
 
 _UNIT = "('0x' || substr({}, 1, 8))::BIGINT::DOUBLE / 4294967296.0"
 
@@ -176,3 +177,37 @@ with source as materialized (
 select page_id, warc_type, record_id, refers_to, concurrent_to, target_uri, '{date}' date, content_type,
   digest source_payload_digest, 'sha256:' || sha256(body) block_digest, octet_length(encode(body))::bigint content_length
 from records"""
+
+
+def chats() -> str:
+    """Lengths from the marks of the default template and the characters that escaping adds."""
+    t = Template()
+    escaped = "replace(text, '\\', '\\\\')"
+    for m in t.marks:
+        escaped = f"replace({escaped}, '{m}', '{m[0]}\\{m[1:]}')"
+    first, says, end = t.other
+    opened = " ".join(f"when '{r}' then {len(a)}" for r, (a, _) in t.roles.items())
+    closed = " ".join(f"when '{r}' then {len(b)}" for r, (_, b) in t.roles.items())
+    loss = ", ".join(f"'{r}'" for r in t.loss_roles)
+    return f"""
+with own(conv_id, turn, role, text) as (
+  values (-1, 0, 'user', '</s>[INST] ok [/INST]'), (-1, 1, 'assistant', '</s>[INST] ok [/INST]')
+), rows as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text
+  from (select conv_id, turn, role, text from conversations union all select * from own)
+), placed as (
+  select *, row_number() over w as k, lag(role) over w is not distinct from role and row_number() over w > 1 as stays
+  from rows window w as (partition by conv_id order by turn nulls first, role, text)
+), sized as (
+  select *, length({escaped})
+    + case when stays then {len(t.joint)}
+      else case role {opened} else {len(first) + len(says)} + length({escaped.replace("text", "role")}) end
+        + case role {closed} else {len(end)} end end as chars
+  from placed
+)
+select conv_id, count(*)::bigint as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by k)) as turns_sha256,
+  coalesce(sum(length(text)) filter (role in ({loss})), 0)::bigint as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by k) filter (role in ({loss})), '')) as loss_sha256,
+  sum(chars)::bigint as formatted_chars
+from sized group by conv_id"""

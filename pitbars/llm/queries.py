@@ -7,7 +7,22 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pitbars.llm import bpe, embedding_dedup, langid, minhash, oracle, packing, pii, quality, sharding, token_store, warc
+from pitbars.llm import (
+    alignment,
+    bpe,
+    chat,
+    embedding_dedup,
+    langid,
+    minhash,
+    oracle,
+    packing,
+    pii,
+    quality,
+    runs,
+    sharding,
+    token_store,
+    warc,
+)
 from pitbars.llm.common import Workspace, read
 
 
@@ -66,8 +81,46 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.judge(read(spark, sf_dir, "documents"))
 
 
+def op11_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = spark.sql(
+        "select -1L conv_id, turn, role, '</s>[INST] ok [/INST]' text from values (0L, 'user'), (1L, 'assistant') as t(turn, role)"
+    )
+    turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(own)
+    return chat.digest(chat.format_chats(turns))
+
+
+def op12_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return alignment.align(read(spark, sf_dir, "documents"))
+
+
+def op13_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.text_runs(read(spark, sf_dir, "documents"), plant=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_token_store, op2_packing, op3_warc, op4_minhash, op5_language, op6_vectors, op7_personal_data, op8_byte_pairs, op9_interleaving, op10_quality)
+    f.__name__: f
+    for f in (
+        op1_token_store,
+        op2_packing,
+        op3_warc,
+        op4_minhash,
+        op5_language,
+        op6_vectors,
+        op7_personal_data,
+        op8_byte_pairs,
+        op9_interleaving,
+        op10_quality,
+        op11_chat,
+        op12_alignment,
+        op13_runs,
+    )
 }
 
-ORACLE_SQL: dict[str, str] = {"op9_interleaving": oracle.interleaving(), "op3_warc": oracle.warc_derivatives(), "op4_minhash": oracle.near_duplicates(), "op6_vectors": oracle.vectors(), "op10_quality": oracle.quality()}
+ORACLE_SQL: dict[str, str] = {
+    "op3_warc": oracle.warc_derivatives(),
+    "op4_minhash": oracle.near_duplicates(),
+    "op6_vectors": oracle.vectors(),
+    "op9_interleaving": oracle.interleaving(),
+    "op10_quality": oracle.quality(),
+    "op11_chat": oracle.chats(),
+}

@@ -57,13 +57,15 @@ class Template:
 def escape(text: Column, template: Template) -> Column:
     """Backslashes doubled, and one put behind the first character of every mark."""
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
-    return reduce(lambda c, m: F.replace(c, F.lit(m), F.lit(f"{m[0]}\\{m[1:]}")), template.marks, doubled)
+    broken = reduce(lambda c, m: F.replace(c, F.lit(m), F.lit(f"{m[0]}\\{m[1:]}")), template.marks, doubled)
+    touched = F.contains(text, F.lit("\\")) | F.contains(text, F.lit("[")) | F.contains(text, F.lit("<"))
+    return F.when(touched, broken).otherwise(text)
 
 
 def unescape(text: Column, template: Template) -> Column:
     """A single backslash behind a mark's first character is an escape's; the text's own come in pairs."""
     whole = reduce(lambda c, m: F.replace(c, F.lit(f"{m[0]}\\{m[1:]}"), F.lit(m)), template.marks, text)
-    return F.replace(whole, F.lit("\\\\"), F.lit("\\"))
+    return F.when(F.contains(text, F.lit("\\")), F.replace(whole, F.lit("\\\\"), F.lit("\\"))).otherwise(text)
 
 
 def _by_role(role: Column, known: dict[str, Column], other: Column) -> Column:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from ..functions.columns import iso
 from ..session import materialize
 from .asof import range_join
-from .blocks import drop_halo, halo_window, index_block, with_halo, with_row_index
+from .blocks import START, drop_halo, halo_window, index_block, with_halo, with_row_index
 from .labels import BY, series_length
 
-PACK = 1024
+#: Zones of one window of the running counts.
+PACK = 8192
+#: Bits of a digit of a place.
+DIGIT_BITS = 3
 
 
 def _candidates(bars: DataFrame, lookback: int, by: Sequence[str]) -> DataFrame:
@@ -45,48 +48,111 @@ def _candidates(bars: DataFrame, lookback: int, by: Sequence[str]) -> DataFrame:
     return out.select(*by, "bar_idx", "_up", "_down")
 
 
-def _prior_overlaps(zones: DataFrame, by: Sequence[str], pack: int = PACK) -> DataFrame:
-    """Per zone, how many earlier zones overlap it in price, and how many nest with it.
+def _shifted(value: Column, bits: Column | int) -> Column:
+    return F.call_function("shiftright", value, bits if isinstance(bits, Column) else F.lit(bits))
+
+
+def _places(zones: DataFrame, by: Sequence[str], cut: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Per zone the places of its lower and upper bound among all bounds of the series, and the bits places take.
 
-    Zones are packed into arrays of at most ``pack`` by creation order. Each zone meets the
-    packs created no later than its own whose price range can touch it and counts inside
-    the array, so no pair of zones is ever a row.
+    Equal values: lower bounds first, so that zones that touch overlap. Equal lower bounds stand by falling upper bound
+    and equal upper bounds by falling lower bound, equal zones in opposite orders, so that of two zones that nest one has
+    the smaller place at exactly one end. Bounds are ordered in ranges of the whole key, never by series.
     """
-    by = list(by)
-    item = F.struct(
-        F.col("_ord").alias("o"), F.col("lower_bound").alias("lo"), F.col("upper_bound").alias("hi")
-    )
-    packs = (
-        zones.groupBy(*by, index_block("_ord", pack).alias("_pack"))
-        .agg(
-            F.collect_list(item).alias("_items"),
-            F.min("lower_bound").alias("_min"),
-            F.max("upper_bound").alias("_max"),
+    lo, hi, o = F.col("lower_bound"), F.col("upper_bound"), F.col("_ord")
+    ends = zones.select(
+        *by, "_ord",
+        F.inline(
+            F.array(
+                F.struct(F.lit(0).alias("_side"), lo.alias("_v"), (-hi).alias("_t"), o.alias("_u")),
+                F.struct(F.lit(1).alias("_side"), hi.alias("_v"), (-lo).alias("_t"), (-o).alias("_u")),
+            )
+        ),
+    )
+    order = ["_v", "_side", "_t", "_u"]
+    ranged = cut(ends.repartitionByRange(*by, *order).withColumn("_range", F.spark_partition_id()))
+    placed = with_row_index(ranged, by, order, F.col("_range").cast("long"), "_place")
+    sizes = zones.groupBy(*by).agg(F.length(F.bin(2 * F.count(F.lit(1)))).alias("_bits"))
+    pick = lambda side: F.max(F.when(F.col("_side") == side, F.col("_place")))
+    return placed.groupBy(*by, "_ord").agg(pick(0).alias("_lo"), pick(1).alias("_hi")).join(sizes, list(by))
+
+
+def _rank_rows(places: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Points and questions of the counts "how many earlier zones have a smaller place", one row per digit of the place.
+
+    ``_set`` 0 holds lower and 1 upper bounds; 2 holds upper bounds in the binary tree of the lower bound's place: a point
+    lies in the left nodes above it, a question asks the left siblings of its path. A place is read in digits; a question
+    counts points with the same digits before and a smaller digit. So a zone has rows in proportion to the square of the
+    logarithm of the number of zones.
+    """
+    lo, hi = F.col("_lo"), F.col("_hi")
+    levels = F.sequence(F.lit(0), F.col("_bits") - 1)
+    bit = lambda k: _shifted(lo, k).bitwiseAND(F.lit(1).cast("long"))
+
+    def item(kind: str, group: int, place: Column, level: Column | None = None, node: Column | None = None) -> Column:
+        zero = F.lit(0)
+        return F.struct(
+            F.lit(kind).alias("_ask"), F.lit(group).alias("_set"), (zero if level is None else level).alias("_level"),
+            (zero.cast("long") if node is None else node).alias("_node"), place.alias("_place"),
         )
+
+    items = F.concat(
+        F.array(
+            item("", 0, lo), item("", 1, hi),
+            item("lo_lo", 0, lo), item("lo_hi", 0, hi), item("hi_lo", 1, lo), item("hi_hi", 1, hi),
+        ),
+        F.transform(F.filter(levels, lambda k: bit(k) == 0), lambda k: item("", 2, hi, k, _shifted(lo, k))),
+        F.transform(F.filter(levels, lambda k: bit(k) == 1), lambda k: item("both", 2, hi, k, _shifted(lo, k) - 1)),
     )
-    # every (zone, earlier pack) meeting has its own key, so a hot series spreads over tasks
-    asks = zones.select(
-        *by, "_ord", "lower_bound", "upper_bound",
-        F.explode(F.sequence(F.lit(0).cast("long"), index_block("_ord", pack))).alias("_pack"),
+    digits = F.ceil(F.col("_bits") / DIGIT_BITS).cast("int")
+    rows = places.select(*by, "_ord", digits.alias("_n"), F.inline(items)).select(
+        *by, "_ord", "_ask", "_set", "_level", "_node", "_place",
+        F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_at"),
     )
-    met = asks.join(packs, [*by, "_pack"]).where(
-        (F.col("_min") <= F.col("upper_bound")) & (F.col("_max") >= F.col("lower_bound"))
+    low = F.col("_at") * DIGIT_BITS
+    return rows.select(
+        *by, "_ord", "_ask", "_set", "_level", "_node", "_at",
+        _shifted(F.col("_place"), low + DIGIT_BITS).alias("_before"),
+        _shifted(F.col("_place"), low).bitwiseAND(F.lit((1 << DIGIT_BITS) - 1).cast("long")).cast("int").alias("_digit"),
+    ).where(F.when(F.col("_ask") == "", F.col("_digit") < (1 << DIGIT_BITS) - 1).otherwise(F.col("_digit") > 0))
+
+
+def _prior_overlaps(
+    zones: DataFrame, by: Sequence[str], cut: Callable[[DataFrame], DataFrame] = materialize, block: int = PACK
+) -> DataFrame:
+    """Per zone, how many earlier zones overlap it in price, and how many nest with it.
+
+    No zone meets another. Overlapping are those that neither end below nor start above the zone; nested are all that
+    don't lie lower at both ends or higher at both ends. Both follow from counts of earlier zones with a smaller place of
+    the lower bound, of the upper bound, and of both. Earlier points are counted by running sums over blocks of creation
+    order, with the sums of earlier blocks carried on, so no window holds a series.
+    """
+    by = list(by)
+    rows = cut(_rank_rows(cut(_places(zones, by, cut)), by)).withColumn("_block", index_block("_ord", block))
+    cell = [*by, "_set", "_level", "_node", "_at", "_before"]
+    point = F.col("_ask") == ""
+    names = [f"_c{d}" for d in range((1 << DIGIT_BITS) - 1)]
+    own = [F.when(point & (F.col("_digit") == d), 1).otherwise(0) for d in range(len(names))]
+    # a zone's question stands before its own point
+    w = Window.partitionBy(*cell, "_block").orderBy("_ord", point).rowsBetween(START, -1)
+    below = sum(
+        (F.when(F.col("_digit") > d, F.coalesce(F.sum(x).over(w), F.lit(0))).otherwise(0) for d, x in enumerate(own)), F.lit(0)
     )
-    lo, hi, o = F.col("lower_bound"), F.col("upper_bound"), F.col("_ord")
-    overlap = F.filter(
-        "_items", lambda p: (p["o"] < o) & (p["lo"] <= hi) & (p["hi"] >= lo)
+    inside = rows.withColumn("_inside", below).where(~point)
+    totals = rows.groupBy(*cell, "_block").agg(*[F.sum(x).alias(n) for n, x in zip(names, own, strict=True)])
+    before = Window.partitionBy(*cell).orderBy("_block").rowsBetween(START, -1)
+    carried = totals.select(*cell, "_block", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in names])
+    found = inside.join(carried.where("_block > 0"), [*cell, "_block"], "left")
+    n = F.col("_inside") + sum(
+        (F.when(F.col("_digit") > d, F.coalesce(F.col(c), F.lit(0))).otherwise(0) for d, c in enumerate(names)), F.lit(0)
     )
-    nested = F.filter(
-        overlap,
-        lambda p: ((p["lo"] <= lo) & (p["hi"] >= hi)) | ((lo <= p["lo"]) & (hi >= p["hi"])),
+    counts = found.groupBy(*by, "_ord").agg(
+        *[F.sum(F.when(F.col("_ask") == k, n).otherwise(0)).alias(f"_{k}") for k in ("lo_lo", "lo_hi", "hi_lo", "hi_hi", "both")]
     )
-    return (
-        met.select(*by, "_ord", F.size(overlap).alias("_o"), F.size(nested).alias("_n"))
-        .groupBy(*by, "_ord")
-        .agg(
-            F.sum("_o").alias("overlap_with_prior_zone_count"),
-            F.sum("_n").alias("nested_with_prior_zone_count"),
-        )
+    return counts.select(
+        *by, "_ord",
+        (F.col("_lo_hi") - F.col("_hi_lo")).alias("overlap_with_prior_zone_count"),
+        (F.col("_lo_lo") + F.col("_hi_hi") - 2 * F.col("_both")).alias("nested_with_prior_zone_count"),
     )
 
 
@@ -161,7 +227,7 @@ def label_order_blocks(
     )
     out = (
         zones.join(life, [*by, "_ord"], "left")
-        .join(_prior_overlaps(zones, by), [*by, "_ord"], "left")
+        .join(_prior_overlaps(zones, by, cut), [*by, "_ord"], "left")
         .join(confluence, [*by, "event_at", "direction"], "left")
         .join(series_length(bars, by), by)
     )

@@ -1,21 +1,70 @@
 """Exact linear-interpolated quantiles of groups of any size.
 
-Spark's ``percentile`` keeps every distinct value of a group in one task. Here equal values are
-combined first, a sketch cuts each group into value ranges, ranges are counted, and only the
-ranges that hold a wanted rank are sorted. The sketch steers the work; the result is exact.
+Spark's ``percentile`` keeps every distinct value of a group in one task. Here equal values are combined first. While a
+group holds more values than one task may sort, a sketch cuts it into value ranges, the ranges are counted, and only those
+that hold a wanted rank go on, each as a group of its own. The sketch steers the work; the result is exact.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import materialize
 from .blocks import HERE, START
 
+#: Ranges a group is cut into at a time, and the distinct values one task may sort.
 RANGES = 64
+MOST_SORTED = 100_000
+
+
+def _spot(p: float) -> Column:
+    return F.lit(float(p)) * (F.col("_rows") - 1)
+
+
+def _largest(live: DataFrame, part: Sequence[str]) -> int:
+    return live.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
+
+
+def narrow(
+    values: DataFrame,
+    keys: Sequence[str],
+    probabilities: Sequence[float],
+    ranges: int = RANGES,
+    most: int = MOST_SORTED,
+    cut: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """(keys, _part, _rows, _skip, _v, _c): the values among which the wanted ranks lie, in parts of at most ``most`` values.
+
+    ``values`` holds each distinct value (_v) of a group once, with its count (_c). ``_rows`` is the group's number of rows,
+    ``_skip`` how many of them lie below the part. Each round cuts a part to about a ``ranges``-th of its values.
+    """
+    keys = list(keys)
+    rows = values.groupBy(*keys).agg(F.sum("_c").alias("_rows"))
+    live = values.join(rows, keys).select(
+        *keys, F.lit(0).cast("long").alias("_part"), "_rows", F.lit(0).cast("long").alias("_skip"), "_v", "_c"
+    )
+    part = [*keys, "_part"]
+    probes = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    while _largest(live, part) > most:
+        sketch = live.groupBy(*part).agg(F.array_distinct(F.percentile_approx("_v", probes, 20 * ranges)).alias("_cuts"))
+        placed = live.join(sketch, part).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        totals = placed.groupBy(*part, "_rows", "_skip", "_range").agg(F.sum("_c").alias("_t"))
+        before = Window.partitionBy(*part).orderBy("_range").rowsBetween(START, -1)  # <= ranges rows
+        totals = totals.withColumn("_start", F.col("_skip") + F.coalesce(F.sum("_t").over(before), F.lit(0)))
+        wanted = F.lit(False)
+        for p in probabilities:
+            for rank in (F.floor(_spot(p)), F.ceil(_spot(p))):
+                wanted = wanted | ((rank >= F.col("_start")) & (rank < F.col("_start") + F.col("_t")))
+        hit = totals.where(wanted).select(*part, "_range", "_start")
+        live = cut(
+            placed.join(hit, [*part, "_range"]).select(
+                *keys, (F.col("_part") * ranges + F.col("_range")).alias("_part"), "_rows", F.col("_start").alias("_skip"), "_v", "_c"
+            )
+        )
+    return live
 
 
 def group_quantiles(
@@ -25,6 +74,7 @@ def group_quantiles(
     quantiles: dict[str, float],
     *,
     ranges: int = RANGES,
+    most: int = MOST_SORTED,
     cut: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """``keys`` plus one column per entry of ``quantiles`` (name -> probability), NULLs ignored."""
@@ -34,38 +84,18 @@ def group_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    probes = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    sketch = v.groupBy(*keys).agg(
-        F.percentile_approx("_v", probes, 20 * ranges).alias("_cuts"), F.sum("_c").alias("_rows")
-    )
-    sketch = sketch.withColumn("_cuts", F.array_distinct("_cuts"))
-    placed = v.join(sketch, keys).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    totals = placed.groupBy(*keys, "_rows", "_range").agg(F.sum("_c").alias("_t"))
-    before = Window.partitionBy(*keys).orderBy("_range").rowsBetween(START, -1)  # <= ranges rows
-    totals = totals.withColumn("_skip", F.coalesce(F.sum("_t").over(before), F.lit(0)))
-    wanted = F.lit(False)
-    for p in quantiles.values():
-        spot = F.lit(float(p)) * (F.col("_rows") - 1)
-        for rank in (F.floor(spot), F.ceil(spot)):
-            wanted = wanted | ((rank >= F.col("_skip")) & (rank < F.col("_skip") + F.col("_t")))
-    hit = totals.where(wanted).select(*keys, "_range", "_skip")
-    w = Window.partitionBy(*keys, "_range").orderBy("_v").rowsBetween(START, HERE)
-    ranked = placed.join(hit, [*keys, "_range"]).withColumn(
-        "_end", F.col("_skip") + F.sum("_c").over(w)
-    )
+    live = narrow(v, keys, list(quantiles.values()), ranges, most, cut)
+    w = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(START, HERE)
+    ranked = live.withColumn("_end", F.col("_skip") + F.sum("_c").over(w))
     aggs = []
     for name, p in quantiles.items():
-        spot = F.lit(float(p)) * (F.col("_rows") - 1)
-        for tag, rank in (("lo", F.floor(spot)), ("hi", F.ceil(spot))):
+        for tag, rank in (("lo", F.floor(_spot(p))), ("hi", F.ceil(_spot(p)))):
             here = (rank >= F.col("_end") - F.col("_c")) & (rank < F.col("_end"))
             aggs.append(F.max(F.when(here, F.col("_v"))).alias(f"_{tag}_{name}"))
     found = ranked.groupBy(*keys, "_rows").agg(*aggs)
     out = []
     for name, p in quantiles.items():
-        spot = F.lit(float(p)) * (F.col("_rows") - 1)
-        part = spot - F.floor(spot)
+        part = _spot(p) - F.floor(_spot(p))
         lo, hi = F.col(f"_lo_{name}"), F.col(f"_hi_{name}")
         out.append((lo * (1 - part) + hi * part).alias(name))
     return found.select(*keys, *out)

@@ -161,15 +161,41 @@ def test_order_block_without_opposing_candle_is_only_audited(spark):
     assert zones.count() == 0 and audit.first().status == "no_opposing_candle"
 
 
-def test_prior_overlaps_count_without_pairs(spark):
+ZONES = "symbol string, _ord long, lower_bound double, upper_bound double"
+
+
+@pytest.mark.parametrize("block", [5, 8192])
+def test_prior_overlaps_count_without_pairs(spark, block):
     rng = random.Random(3)
     data = []
-    for i in range(60):
-        lo = rng.uniform(0, 50)
-        data.append(("X", i, lo, lo + rng.uniform(0.5, 15)))
-    zones = spark.createDataFrame(data, "symbol string, _ord long, lower_bound double, upper_bound double")
-    got = {r._ord: (r.overlap_with_prior_zone_count, r.nested_with_prior_zone_count) for r in ob._prior_overlaps(zones, ["symbol"], pack=8).collect()}
-    for _, i, lo, hi in data:
-        prior = [(a, b) for _, j, a, b in data if j < i and a <= hi and b >= lo]
+    for symbol, n, tick in (("X", 90, 0.1), ("Y", 70, 4), ("Z", 1, 1)):
+        for i in range(n):
+            lo = float(round(rng.uniform(0, 40) / tick) * tick)  # many equal bounds and equal zones, some without width
+            data.append((symbol, i, lo, float(lo + round(rng.uniform(0, 15) / tick) * tick)))
+    zones = spark.createDataFrame(data, ZONES).repartition(5)
+    got = {
+        (r.symbol, r._ord): (r.overlap_with_prior_zone_count, r.nested_with_prior_zone_count)
+        for r in ob._prior_overlaps(zones, ["symbol"], block=block).collect()
+    }
+    for s, i, lo, hi in data:
+        prior = [(a, b) for t, j, a, b in data if t == s and j < i and a <= hi and b >= lo]
         nested = [1 for a, b in prior if (a <= lo and b >= hi) or (lo <= a and hi >= b)]
-        assert got.get(i, (0, 0)) == (len(prior), len(nested))
+        assert got.get((s, i), (0, 0)) == (len(prior), len(nested))
+
+
+def test_overlap_rows_grow_with_the_logarithm(spark):
+    rng = random.Random(4)
+    for n in (200, 800, 3200):
+        data = [("X", i, x, x + rng.uniform(0.5, 15)) for i, x in enumerate(rng.uniform(0, 50) for _ in range(n))]
+        zones = spark.createDataFrame(data, ZONES)
+        rows = ob._rank_rows(ob._places(zones, ["symbol"], lambda d: d), ["symbol"]).count()
+        bits = (2 * n).bit_length()
+        assert rows <= n * (bits + 6) * -(-bits // ob.DIGIT_BITS)
+        assert rows < n * n or n == 200
+
+
+def test_no_window_holds_a_series_of_zones(spark):
+    zones = spark.createDataFrame([("X", 0, 1.0, 2.0)], ZONES)
+    plan = ob._prior_overlaps(zones, ["symbol"], cut=lambda d: d)._jdf.queryExecution().optimizedPlan().toString()
+    assert "CartesianProduct" not in plan and "NestedLoop" not in plan
+

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from pitbars.functions.columns import coin, draw, hash_direction
 from pitbars.operators import audit, signals, stats
-from pitbars.operators.quantiles import group_quantiles
+from pitbars.operators.quantiles import group_quantiles, narrow
 
 from .helpers import quote_bars, rows, shuffled, ts
 
@@ -24,6 +24,26 @@ def test_quantiles_are_exact_with_ties_and_one_dominant_value(spark):
     assert "c" not in got
 
 
+def test_quantiles_sort_no_more_than_the_bound_in_one_task(spark):
+    rng = random.Random(2)
+    values = [("a", rng.gauss(0, 1)) for _ in range(6000)] + [("a", 0.5)] * 3000 + [("b", float(k)) for k in range(300)]
+    df = spark.createDataFrame(values, "k string, v double").repartition(4)
+    probs = {"q0": 0.0, "q05": 0.05, "q5": 0.5, "q95": 0.95, "q1": 1.0}
+    seen = []
+
+    def cut(d):
+        seen.append(d)
+        return d
+
+    got = {r.k: r for r in group_quantiles(df, ["k"], "v", probs, ranges=8, most=40, cut=cut).collect()}
+    for key in "ab":
+        x = np.array([v for k, v in values if k == key])
+        assert all(got[key][n] == pytest.approx(np.quantile(x, p), abs=1e-12) for n, p in probs.items())
+    v = df.groupBy("k", F.col("v").alias("_v")).agg(F.count("*").alias("_c"))
+    parts = narrow(v, ["k"], list(probs.values()), ranges=8, most=40).groupBy("k", "_part").count().collect()
+    assert max(r["count"] for r in parts) <= 40 and len(seen) > 2  # the values, and several rounds
+
+
 def trades(spark, values):
     data = [("m", "p", "london", "long", f"o{i}", f"2024-01-{i + 1:02d}", ts(f"2024-01-{i + 1:02d}T10:00"), f"t{i}", float(v), v > 0) for i, v in enumerate(values)]
     return spark.createDataFrame(

@@ -97,9 +97,14 @@ def draw(*parts: Column | int) -> Column:
 COINS = 60
 
 
+def coins(seed: int, group: Column, token: Column) -> Column:
+    """``COINS`` deterministic fair coins of a row, as the bits of an integer, for a group of resamples."""
+    return draw(seed, group.cast("long"), token)
+
+
 def coin(seed: int, rep: Column, token: Column) -> Column:
     """Deterministic fair coin (0 or 1) of resample ``rep`` for a row: a bit of the draw of its group of resamples."""
-    bits = draw(seed, F.floor(rep / COINS).cast("long"), token)
+    bits = coins(seed, F.floor(rep / COINS), token)
     return F.call_function("getbit", bits, (rep % COINS).cast("int")).cast("int")
 
 

@@ -24,7 +24,10 @@ def _spot(p: float) -> Column:
     return F.lit(float(p)) * (F.col("_rows") - 1)
 
 
-def _largest(live: DataFrame, part: Sequence[str]) -> int:
+def _largest(live: DataFrame, part: Sequence[str], most: int) -> int:
+    """Values of the largest part; all of them where they are few (a table tells its number of rows without a scan)."""
+    if (n := live.count()) <= most:
+        return n
     return live.groupBy(*part).agg(F.count(F.lit(1)).alias("_n")).agg(F.max("_n")).first()[0] or 0
 
 
@@ -43,12 +46,13 @@ def narrow(
     """
     keys = list(keys)
     rows = values.groupBy(*keys).agg(F.sum("_c").alias("_rows"))
-    live = values.join(rows, keys).select(
+    first, live = values, values.join(rows, keys).select(
         *keys, F.lit(0).cast("long").alias("_part"), "_rows", F.lit(0).cast("long").alias("_skip"), "_v", "_c"
     )
     part = [*keys, "_part"]
     probes = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
-    while _largest(live, part) > most:
+    while (_largest(live, part, most) if first is None else _largest(first, keys, most)) > most:
+        first = None
         sketch = live.groupBy(*part).agg(F.array_distinct(F.percentile_approx("_v", probes, 20 * ranges)).alias("_cuts"))
         placed = live.join(sketch, part).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
         totals = placed.groupBy(*part, "_rows", "_skip", "_range").agg(F.sum("_c").alias("_t"))

@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import coin, col, draw, id_token, profit_factor, safe_div
+from ..functions.columns import COINS, coins, col, draw, id_token, profit_factor, safe_div
 from ..session import materialize
 from .blocks import running_peak, running_total, time_block, with_row_index
 from .outcomes import SEQUENCE_LABELS, STOP_FIRST_LABELS
@@ -337,15 +337,8 @@ def _numbered(df: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
     return out.join(sizes, list(keys)).drop("_tok")
 
 
-def _spread_resamples(df: DataFrame, resamples: int) -> DataFrame:
-    """Each row once per resample (``rep``).
-
-    The source rows are dealt evenly over the tasks, once and whatever their keys, so a hot key is split; the copies are
-    made in place and partial aggregation combines them before any further shuffle.
-    """
-    tasks = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    reps = F.sequence(F.lit(0).cast("long"), F.lit(resamples - 1).cast("long"))
-    return df.repartition(tasks).withColumn("rep", F.explode(reps))
+def _tasks(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def cluster_bootstrap(
@@ -357,14 +350,15 @@ def cluster_bootstrap(
     resamples: int = 10_000,
     level: float = 0.95,
     seed: int = 20260901,
+    block: int = 65_536,
     cut: Callable[[DataFrame], DataFrame] = materialize,
 ) -> DataFrame:
     """Percentile interval of the mean, resampling clusters with replacement.
 
-    Clusters are pre-aggregated to (sum, count) and numbered by the hash of their label. Draw
-    ``slot`` of resample ``rep`` is a pure function of (seed, rep, slot), so a re-run or a lost
-    task yields the same intervals. Draws are generated next to their keys, matched by an
-    equi-join on (key, position) and combined map-side; nothing is collected.
+    Clusters are pre-aggregated to (sum, count) and numbered by the hash of their label. Draw ``slot`` of resample ``rep``
+    is a pure function of (seed, rep, slot), so a re-run or a lost task yields the same intervals. Blocks of at most
+    ``block`` clusters are arrays; each meets ranges of resamples, whose draws are made, looked up and summed inside the
+    task. Shuffled are the arrays, once a range, and one row a block and resample, never a cluster of a resample.
     """
     keys = list(keys)
     daily = cut(
@@ -373,16 +367,33 @@ def cluster_bootstrap(
         .agg(F.sum(value).alias("_sum"), F.count(F.lit(1)).alias("_cnt"))
     )
     numbered = cut(_numbered(daily, keys, cluster).select(*keys, "_i", "_k", "_sum", "_cnt"))
-    slots = numbered.select(*keys, F.col("_i").alias("_slot"), "_k")
-    reps = _spread_resamples(slots, resamples)
-    picks = reps.select(
-        *keys, "rep", (draw(seed, F.col("rep"), F.col("_slot")) % F.col("_k")).alias("_i")
-    )
-    est = (
-        picks.join(numbered.drop("_k"), [*keys, "_i"])
-        .groupBy(*keys, "rep")
-        .agg((F.sum("_sum") / F.sum("_cnt")).alias("_est"))
-    )
+    tasks = _tasks(df)
+    per = -(-resamples // tasks)
+    packed = numbered.groupBy(*keys, "_k", F.floor(F.col("_i") / block).cast("long").alias("_block")).agg(
+        F.sort_array(F.collect_list(F.struct("_i", "_sum", "_cnt"))).alias("_items")
+    )
+    asked = packed.withColumn("_range", F.explode(F.sequence(F.lit(0), F.lit(-(-resamples // per) - 1)))).repartition(
+        tasks, *keys, "_block", "_range"
+    )
+    first = (F.col("_range") * per).cast("long")
+    offset = F.col("_block") * block
+
+    def drawn(rep: Column) -> Column:
+        slots = F.sequence(F.lit(0).cast("long"), F.col("_k").cast("long") - 1)
+        places = F.transform(slots, lambda slot: draw(seed, rep, slot) % F.col("_k") - offset)
+        return F.filter(places, lambda i: (i >= 0) & (i < block))
+
+    def folded(rep: Column) -> Column:
+        zero = F.struct(F.lit(0.0).alias("s"), F.lit(0).cast("long").alias("n"))
+        add = lambda acc, i: F.struct(
+            (acc["s"] + F.get("_items", i.cast("int"))["_sum"]).alias("s"),
+            (acc["n"] + F.get("_items", i.cast("int"))["_cnt"]).alias("n"),
+        )
+        return F.struct(rep.alias("rep"), F.aggregate(drawn(rep), zero, add).alias("t"))
+
+    reps = F.sequence(first, F.least(first + per, F.lit(resamples).cast("long")) - 1)
+    sums = asked.select(*keys, F.inline(F.transform(reps, folded)))
+    est = sums.groupBy(*keys, "rep").agg((F.sum("t.s") / F.sum("t.n")).alias("_est"))
     alpha = 1 - level
     ci = est.groupBy(*keys).agg(
         F.percentile("_est", alpha / 2).alias("ci_lower"),
@@ -405,14 +416,31 @@ def random_sign_null(
     resamples: int = 10_000,
     seed: int = 20260901,
 ) -> DataFrame:
-    """Distribution of the mean under random signs: its mean, 2.5 % and 97.5 % points."""
+    """Distribution of the mean under random signs: its mean, 2.5 % and 97.5 % points.
+
+    One digest of a row holds the signs of ``COINS`` resamples, so a row is met once for that many of them; each task adds
+    vectors of sums, and only these are shuffled. Rows are dealt evenly over the tasks first, whatever their keys.
+    """
     keys = list(keys)
     clean = df.where(F.col(value).isNotNull()).select(
-        *keys, id_token(row_id).alias("_tok"), F.col(value).alias("_v")
+        *keys, id_token(row_id).alias("_tok"), F.col(value).cast("double").alias("_v")
+    )
+    groups = -(-resamples // COINS)
+    bits = (
+        clean.repartition(_tasks(df))
+        .withColumn("_g", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(groups - 1).cast("long"))))
+        .withColumn("_bits", coins(seed, F.col("_g"), F.col("_tok")))
+    )
+    heads = [
+        F.sum(F.when(F.call_function("getbit", F.col("_bits"), F.lit(k)) == 1, F.col("_v")).otherwise(0.0)) for k in range(COINS)
+    ]
+    sums = bits.groupBy(*keys, "_g").agg(
+        F.sum("_v").alias("_all"), F.count(F.lit(1)).alias("_n"), F.array(*heads).alias("_heads")
+    )
+    each = sums.select(*keys, "_g", "_all", "_n", F.posexplode("_heads").alias("_k", "_head"))
+    est = each.where(F.col("_g") * COINS + F.col("_k") < resamples).withColumn(
+        "_est", (2 * F.col("_head") - F.col("_all")) / F.col("_n")
     )
-    reps = _spread_resamples(clean, resamples)
-    signed = F.when(coin(seed, F.col("rep"), F.col("_tok")) == 1, F.col("_v")).otherwise(-F.col("_v"))
-    est = reps.groupBy(*keys, "rep").agg(F.avg(signed).alias("_est"))
     out = est.groupBy(*keys).agg(
         F.avg("_est").alias("null_mean"),
         F.percentile("_est", 0.025).alias("null_p025"),

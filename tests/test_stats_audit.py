@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from pitbars.functions.columns import coin, draw, hash_direction
+from pitbars.functions.columns import coin, draw, hash_direction, id_token
 from pitbars.operators import audit, signals, stats
 from pitbars.operators.quantiles import group_quantiles, narrow
 
@@ -204,3 +204,35 @@ def test_gate_never_passes_on_null(spark):
     g = audit.gate_table(df, {"pf": (">", 1.0), "n": (">=", 5)}, ["model_id"])
     assert dict(rows(g, "gate", "passed")) == {"pf": False, "n": True}
     assert audit.gate_verdict(g, ["model_id"]).first().failed_count == 1
+
+
+def test_bootstrap_blocks_and_shuffled_rows(spark):
+    rng = random.Random(5)
+    data = [(m, f"d{k % n}", rng.gauss(0, 1)) for m, n in (("a", 50), ("b", 7)) for k in range(3 * n)]
+    df = spark.createDataFrame(data, "model_id string, day string, r double")
+    run = lambda **k: {
+        r.model_id: r for r in stats.cluster_bootstrap(df, cluster="day", value="r", resamples=300, **k).collect()
+    }
+    whole, cut = run(), run(block=4)
+    for m in "ab":
+        assert whole[m].cluster_count == cut[m].cluster_count == {"a": 50, "b": 7}[m]
+        assert whole[m].ci_lower == pytest.approx(cut[m].ci_lower) and whole[m].ci_upper == pytest.approx(cut[m].ci_upper)
+        assert whole[m].ci_lower < whole[m].estimate < whole[m].ci_upper
+    plan = stats.cluster_bootstrap(df, cluster="day", value="r", resamples=300)._jdf.queryExecution().optimizedPlan().toString()
+    # resamples meet no join: the only one brings point and interval together
+    assert plan.count("Join") == 1
+
+
+def test_sign_null_shuffles_vectors_only(spark):
+    rng = random.Random(6)
+    data = [("p", f"e{k}", rng.gauss(0.1, 1)) for k in range(150)] + [("q", "one", 2.0), ("q", "none", None)]
+    df = spark.createDataFrame(data, "primitive string, event_id string, v double")
+    got = {r.primitive: r for r in stats.random_sign_null(df, value="v", row_id="event_id", resamples=130).collect()}
+    tokens = df.where("v is not null").select(
+        "primitive", "v", *[coin(20260901, F.lit(r), id_token("event_id")).alias(f"c{r}") for r in range(130)]
+    ).toPandas()
+    for p, n in (("p", 150), ("q", 1)):
+        t = tokens[tokens.primitive == p]
+        means = [float(np.where(t[f"c{r}"] == 1, t.v, -t.v).mean()) for r in range(130)]
+        assert got[p].event_count == n and got[p].null_mean == pytest.approx(np.mean(means))
+        assert got[p].null_p025 == pytest.approx(np.quantile(means, 0.025)) and got[p].null_p975 == pytest.approx(np.quantile(means, 0.975))

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from .ctes import NY, _swing, _wall, compose, slip_fill
+from pitbars.operators import rules
+
+from .ctes import NY, _path, _swing, _wall, bracket, compose, slip_fill
 
 
 
@@ -23,6 +25,39 @@ def fmt(spec: str) -> str:
     return ", ".join(cols)
 
 
+def ruled(rules: list, tables: dict[str, str]) -> str:
+    """One count a rule, each by a query of its own. ``tables`` names the SQL source of each table of a rule set."""
+
+    def local(e: str) -> str:
+        for a, b in ((" <=> ", " is not distinct from "), ("unix_micros(", "epoch_us("), ("60000000L", "60000000::bigint"), ("double('infinity')", "'infinity'::double"), ("timestamp)", '"timestamp")')):
+            e = e.replace(a, b)
+        return e
+
+    out = []
+    for r in rules:
+        kind = type(r).__name__
+        if kind == "Row":
+            out.append(f"select '{r.name}' as invariant, count(*) as failure_count from {tables[r.table]} where {local(r.bad)}")
+        elif kind == "Unique":
+            out.append(f"select '{r.name}', coalesce(sum(n), 0) from (select count(*) as n from {tables[r.table]} group by {', '.join(r.keys)}) where n > 1")
+        elif kind == "Subset":
+            k = ", ".join(r.keys)
+            out.append(f"select '{r.name}', count(*) from (select distinct {k} from {tables[r.child]}) anti join (select distinct {k} from {tables[r.parent]}) using ({k})")
+        elif kind == "Count":
+            out.append(f"select '{r.name}', abs((select count(*) from {tables[r.left]}) - {r.times} * (select count(*) from {tables[r.right]}))")
+        elif kind == "Schema":
+            out.append(f"select '{r.name}', 0")
+        else:
+            k, v = ", ".join(r.keys), list(r.values.items())
+            side = lambda t, n: f"(select {k}, 1 as here{n}, " + ", ".join(f"({local(e[n])}) as x{n}_{i}" for i, (_, e) in enumerate(v)) + f" from {tables[t]})"  # noqa: B023, E731
+            both = f"{side(r.left, 0)} full join {side(r.right, 1)} using ({k})"
+            out.append(f"select '{r.name}_membership', count(*) from {both} where here0 is null or here1 is null")
+            for i, (name, _) in enumerate(v):
+                same = f"abs(x0_{i} - x1_{i}) <= 1e-12" if name in r.close else f"x0_{i} = x1_{i}"
+                out.append(f"select '{name}', count(*) from {both} where not coalesce({same}, false)")
+    return "select * from (values ('', 0::bigint)) r(invariant, failure_count) where invariant <> '' union all " + " union all ".join(out)
+
+
 def scoped(source: str, scopes: dict[str, str]) -> str:
     cells = ["{'scope': 'overall', 'value': 'all'}"]
     cells += [f"{{'scope': '{k}', 'value': {v}::varchar}}" for k, v in scopes.items()]
@@ -265,6 +300,7 @@ EXTRA = {
 def statements(specs: dict[str, str]) -> dict[str, str]:
 
     bits = draw("20260901", "grp", "tok")
+    aligned = "(select * from cand where h1_context = case when direction = 'long' then 'bullish' else 'bearish' end)"
     right = {f"swr{r}": " union all ".join(_swing(k, r) for k in ("high", "low")) for r in (1, 3)}
     inner = {
         "tick_bars": "select * from base",
@@ -442,6 +478,27 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
     union all select 'excursion_entry_entry_reference_price', count(*) from trade t full join exc e on e.signal_id = t.signal_id where not coalesce(abs(e.entry_reference_price - t.entry_reference_price) <= 1e-12, false)
     union all select 'trade_count_is_100', abs(count(*) - 100) from trade
     union all select 'no_outcome_columns', 0""",
+        "rules_signals": ruled(rules.signal_rules(), {
+            "signals": "(select *, decision_at as feature_available_at from opensig)", "structure": "cand",
+            "trades": "(select t.*, s.decision_at, s.opportunity_id, 'p1' as model_id from (select * exclude (opportunity_id) from trade) t join opensig s using (signal_id))",
+            "aligned": aligned, "confluent": f"(select c.* from {aligned} c where displacement_qualified and exists (select 1 from gap g where g.symbol = c.symbol and g.bar_id = c.signal_bar_id and case when g.direction = 'up' then 'long' else 'short' end = c.direction))",
+        }),
+        "rules_sequences": ruled(rules.sequence_rules(8), {
+            "excursions": "exc", "paths": "seq", "original": "(select * from seq where stop_atr = 1 and target_mode = 'fixed_2atr')",
+            "parents": f"({bracket('opath', 'p_entry - sgn * (1e0 * atr)', 'p_entry + sgn * (2e0 * (1e0 * atr))', '30', '1e0 * atr')})",
+        }),
+        "rules_structural": ruled(rules.structural_rules("construction", ["structural_fixed_2atr", "structural_2r"]), {
+            "mappings": "(select *, true as source_event_match from mapped)", "structural_fixed_2atr": "fix2", "structural_2r": "two_r", "parents": "firsttrade",
+        }),
+        "rules_coverage": ruled(rules.coverage_rules("construction"), {"coverage": "(select f.*, m.opportunity_id, m.cutoff_at, m.period from fun f join mapped m using (signal_id))"}),
+        "rules_primitives": ruled(rules.primitive_rules(2024), {
+            "events": "(select f.*, w.source_swing_available_at, f.available_at as baseline_feature_available_at from feat f left join sweep w using (symbol, timeframe, event_id))",
+            "primary": "(select * from feat where is_primary)", "outcomes": "(select *, year(event_at) as event_year from fwd)",
+        }),
+        "rules_protection": ruled(rules.protection_rules(2024), {
+            "mappings": "mapped", "valid": "mvalid", **{f"{c}{v}": f"(select p.*, p.stop as stop_price, p.tgt as target_price, m.year, p.protection_active_from is not null as protection_activated from prot p join (select signal_id, year from mapped) m using (signal_id){w})" for c in ("primary", "stress")
+                for v, w in (("", ""), ("_static", " where variant_id <> 'break_even_after_trigger'"), ("_protected", " where variant_id = 'break_even_after_trigger'"))},
+        }),
         "label_overlap": """select symbol, timeframe, sum((n > 1)::int) as overlapping_timestamp_count from (select symbol, timeframe, available_at, count(*) as n from (
       select symbol, timeframe, available_at from sw union all select symbol, timeframe, available_at from brk union all select symbol, timeframe, available_at from gap) group by all) group by all""",
         "gates": f"""select scope, "value", gate, gv as gate_value, threshold, coalesce(case when gate = 'trade_count' then gv >= threshold else gv > threshold end, false) as passed from (
@@ -453,7 +510,11 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
       on x.symbol = e.symbol and x.timeframe = e.timeframe""",
         "set_difference": "select opportunity_id, 'first' as only_in from cal anti join opensig using (opportunity_id)",
     }
-    book = {**EXTRA, **right}
+    book = {**EXTRA, **right, "fpath": _path("first", "base")}
+    book["firsttrade"] = bracket("fpath", "p_entry - sgn * (1e0 * atr)", "p_entry + sgn * (2e0 * (1e0 * atr))", "30", "1e0 * atr")
+    zones = f"(select o.*, c.available_at as candidate_available_at from ({inner['order_blocks']}) o join b c on c.symbol = o.symbol and c.timeframe = o.timeframe and c.bar_idx = o.candidate_index)"
+    inner["rules_labels"] = ruled(rules.label_rules(), {"bars": "b", "swings": "(select *, 2 as confirmation_delay_bars from sw)", "gaps": "gap", "order_blocks": zones})
+    inner["rules_filters"] = ruled(rules.filter_rules(2024), {"selected": f"(select *, decision_at as feature_available_at from ({inner['rule_filters']}))", "candidates": "cand"})
     return {
         name: compose(f"select {fmt(specs[name])} from ({sql}) q", book)
         for name, sql in inner.items()

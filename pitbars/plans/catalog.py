@@ -8,6 +8,7 @@ share instants. Every query reads a whole table.
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -17,7 +18,7 @@ from ..functions.columns import hash_direction
 from ..operators import asof, audit, bars, blocks, calendars, funnel, labels, levels
 from ..operators import order_blocks as ob
 from ..operators import outcomes as out
-from ..operators import signals, stats
+from ..operators import rules, signals, stats
 from ..params import FILTER_RULES, SESSIONS, Costs, LabelParams
 from ..session import configure, scratch_path
 from ..sources import readers
@@ -887,6 +888,69 @@ def constraints(s):
     )
 
 
+RULES = "invariant i:failure_count"
+
+
+@query(RULES)
+def rules_labels(s):
+    tables = {"bars": s.bars, "swings": s.swings, "gaps": s.gaps, "order_blocks": s.order_blocks[0]}
+    return rules.check_rules(tables, rules.label_rules())
+
+
+@query(RULES)
+def rules_signals(s):
+    aligned = aligned_candidates(s)
+    tables = {"signals": s.open_signals, "trades": s.trades, "structure": s.candidates, "aligned": aligned}
+    return rules.check_rules(tables | {"confluent": signals.confluence_filter(aligned, s.gaps)}, rules.signal_rules())
+
+
+@query(RULES)
+def rules_filters(s):
+    return rules.check_rules({"selected": rule_filters(s), "candidates": s.candidates}, rules.filter_rules(2024))
+
+
+@query(RULES)
+def rules_sequences(s):
+    """The parents' stop of one ATR and target of two are those of the paths that must reproduce their exits."""
+    parents = out.bracket_outcome(s.open_signals, s.base, stop_atr=1.0, target_r=2.0, costs=COSTS, bar_minutes=30)
+    original = s.sequences.where("stop_atr = 1 and target_mode = 'fixed_2atr'")
+    tables = {"excursions": s.excursions, "paths": s.sequences, "original": original, "parents": parents}
+    return rules.check_rules(tables, rules.sequence_rules(paths_per_signal=8))
+
+
+@query(RULES)
+def rules_structural(s):
+    variants = {v: s.structural_trades.where(F.col("variant_id") == v) for v in ("structural_fixed_2atr", "structural_2r")}
+    parents = out.bracket_outcome(s.first_signals, s.base, stop_atr=1.0, target_r=2.0, costs=COSTS, bar_minutes=30)
+    tables = {"mappings": s.mappings, "parents": parents, **variants}
+    return rules.check_rules(tables, rules.structural_rules("construction", list(variants)))
+
+
+@query(RULES)
+def rules_coverage(s):
+    return rules.check_rules({"coverage": s.funnel}, rules.coverage_rules("construction"))
+
+
+@query(RULES)
+def rules_primitives(s):
+    tables = {"events": s.features, "primary": s.features.where("is_primary"), "outcomes": s.forward}
+    return rules.check_rules(tables, rules.primitive_rules(2024))
+
+
+@query(RULES)
+def rules_protection(s):
+    stressed = out.protected_bracket(
+        s.mappings, s.base, target_atr=1.0, trigger_atr=0.5,
+        costs=replace(COSTS, slippage_pips_per_side=3 * COSTS.slippage_pips_per_side), bar_minutes=30,
+    )
+    tables = {"mappings": s.mappings, "valid": s.mappings.where("mapping_status = 'valid'")}
+    for cost, trades in (("primary", s.protected), ("stress", s._cut(stressed))):
+        tables[cost] = trades
+        moved = F.col("variant_id") == "break_even_after_trigger"
+        tables |= {f"{cost}_static": trades.where(~moved), f"{cost}_protected": trades.where(moved)}
+    return rules.check_rules(tables, rules.protection_rules(2024))
+
+
 @query("symbol timeframe i:overlapping_timestamp_count")
 def label_overlap(s):
     return audit.label_overlap({"swing": s.swings, "break": s.breaks, "gap": s.gaps})

@@ -311,6 +311,7 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
         "dedupe_ticks": "select symbol, count(*) as ticks, sum(bid) as bid_sum, sum(spread_pips) as spread_sum from ticks group by symbol",
         "dedupe_bars": "select symbol, \"timestamp\", mid_close, 2 as seq from base",
         "read_bars_range": "select * from base where \"timestamp\" >= '2024-01-08' and \"timestamp\" < '2024-01-22'",
+        "write_bars_months": "select * from base",
         "read_tick_archive": "select distinct 'ALL' as symbol, date_trunc('millisecond', ts) as ts, bid, ask, (bid + ask) / 2 as mid, ((ask - bid) / 1e-2)::float as spread_pips from ticks",
         "sessions": "select * from cal",
         "sessions_full": "select opportunity_id, cutoff_at as observation_end_at, cutoff_at from cal",
@@ -514,6 +515,26 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
     book["firsttrade"] = bracket("fpath", "p_entry - sgn * (1e0 * atr)", "p_entry + sgn * (2e0 * (1e0 * atr))", "30", "1e0 * atr")
     zones = f"(select o.*, c.available_at as candidate_available_at from ({inner['order_blocks']}) o join b c on c.symbol = o.symbol and c.timeframe = o.timeframe and c.bar_idx = o.candidate_index)"
     inner["rules_labels"] = ruled(rules.label_rules(), {"bars": "b", "swings": "(select *, 2 as confirmation_delay_bars from sw)", "gaps": "gap", "order_blocks": zones})
+    inner["active_zone_counts"] = f"""with z as (select * from ({inner['level_zones']}) where touch_count >= 2)
+    select t.timeframe, m.month, (select count(*) from z where z.timeframe = t.timeframe and strftime(z.active_at, '%Y-%m') = m.month) as event_count
+    from (select distinct timeframe from z) t, (select '2024-' || lpad(q::varchar, 2, '0') as month from range(1, 13) r(q)) m"""
+    attrs = ("event_type", "direction", "status", "relationship")
+    sets = ", ".join(f"({', '.join([*scope, 'concept', *a])})" for scope in (["symbol", "timeframe"], ["timeframe"]) for a in ([], *[[x] for x in attrs]))
+    figures = ", ".join(f"count({m}) as {m}_count, avg({m}) as {m}_mean, quantile_cont({m}, 0.05::double) as {m}_p05, quantile_cont({m}, 0.5::double) as {m}_median, quantile_cont({m}, 0.95::double) as {m}_p95" for m in ("delay", "size", "width"))
+    named = lambda c: f"when grouping({c}) = 0 then "
+    inner["profile_of_labels"] = f"""with labels as (
+      select symbol, timeframe, 'swing' as concept, case when kind = 'high' then 'swing_high' else 'swing_low' end as event_type, case when kind = 'high' then 'up' else 'down' end as direction,
+        null::varchar as status, rel as relationship, 2::double as delay, null::double as size, null::double as width from sw
+      union all select symbol, timeframe, 'break', event_type, direction, case when displacement_qualified then 'displacement' else 'no_displacement' end,
+        regime_before || '->' || regime_after, null, body_atr, null from brk
+      union all select symbol, timeframe, 'gap', null, direction, status, null, fill_delay_bars, size_atr, (upper_bound - lower_bound) / 1e-2 from gap
+      union all select symbol, timeframe, 'zone', role, null, status_at_sample_end, null, bars_since_last_touch, touch_count, (upper_bound - lower_bound) / 1e-2 from ({inner['level_zones']})
+      union all select symbol, timeframe, 'order_block', anchor_event_type, direction, status, null, terminal_delay_bars, anchor_index - candidate_index, width_pips from ({inner['order_blocks']})
+    ), told as (
+      select case when grouping(symbol) = 0 then symbol else 'all' end as symbol, timeframe, concept,
+        case {" ".join(named(a) + f"'{a}'" for a in attrs)} else 'all' end as attribute, case {" ".join(named(a) + f"coalesce({a}, 'none')" for a in attrs)} else 'all' end as "value",
+        count(*) as event_count, {figures} from labels group by grouping sets ({sets})
+    ) select t.*, t.event_count / w.event_count as share from told t join told w on w.symbol = t.symbol and w.timeframe = t.timeframe and w.concept = t.concept and w.attribute = 'all'"""
     inner["rules_filters"] = ruled(rules.filter_rules(2024), {"selected": f"(select *, decision_at as feature_available_at from ({inner['rule_filters']}))", "candidates": "cand"})
     return {
         name: compose(f"select {fmt(specs[name])} from ({sql}) q", book)

@@ -88,7 +88,21 @@ def group_quantiles(
         .groupBy(*keys, F.col(value).cast("double").alias("_v"))
         .agg(F.count(F.lit(1)).alias("_c"))
     )
-    live = narrow(v, keys, list(quantiles.values()), ranges, most, cut)
+    return value_quantiles(v, keys, quantiles, ranges=ranges, most=most, cut=cut)
+
+
+def value_quantiles(
+    values: DataFrame,
+    keys: Sequence[str],
+    quantiles: dict[str, float],
+    *,
+    ranges: int = RANGES,
+    most: int = MOST_SORTED,
+    cut: Callable[[DataFrame], DataFrame] = materialize,
+) -> DataFrame:
+    """``group_quantiles`` of a table that holds each distinct value (_v) of a group once, with its count (_c)."""
+    keys = list(keys)
+    live = narrow(values, keys, list(quantiles.values()), ranges, most, cut)
     w = Window.partitionBy(*keys, "_part").orderBy("_v").rowsBetween(START, HERE)
     ranked = live.withColumn("_end", F.col("_skip") + F.sum("_c").over(w))
     aggs = []

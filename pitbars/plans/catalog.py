@@ -18,7 +18,7 @@ from ..functions.columns import hash_direction
 from ..operators import asof, audit, bars, blocks, calendars, funnel, labels, levels
 from ..operators import order_blocks as ob
 from ..operators import outcomes as out
-from ..operators import rules, signals, stats
+from ..operators import profile, rules, signals, stats
 from ..params import FILTER_RULES, SESSIONS, Costs, LabelParams
 from ..session import configure, scratch_path
 from ..sources import readers
@@ -278,6 +278,18 @@ def read_bars_range(s):
     return readers.read_bars(s.spark, path, "2024-01-08", "2024-01-22")
 
 
+@query("symbol t:timestamp f:mid_open f:mid_high f:mid_low f:mid_close i:tick_count")
+def write_bars_months(s):
+    """Half a month first, then all months over it, then only missing ones and all again: the table is that of one write."""
+    path = scratch_path(s.spark, "bars")
+    made = s.base.drop("bar_idx", "timeframe", "available_at", "bar_id")
+    readers.write_bars(made.where("timestamp < '2024-01-16'"), path)
+    readers.write_bars(made, path)
+    readers.write_bars(made, path, only_missing=True)
+    readers.write_bars(made, path)
+    return s.spark.read.parquet(path)
+
+
 @query("symbol t:ts f:bid f:ask f:mid f:spread_pips")
 def read_tick_archive(s):
     path = scratch_path(s.spark, "ticks")
@@ -662,6 +674,12 @@ def calendar_counts(s):
     return stats.calendar_counts(s.breaks, keys=["event_type"], years=(2024, 2025), unit="month")
 
 
+@query("timeframe month i:event_count")
+def active_zone_counts(s):
+    active = s.zones[0].where("touch_count >= 2")
+    return stats.calendar_counts(active, keys=["timeframe"], ts="active_at", years=[2024], unit="month")
+
+
 @query("event_type year i:event_count")
 def calendar_year_counts(s):
     return stats.calendar_counts(s.breaks, keys=["event_type"])
@@ -983,6 +1001,15 @@ def label_profile(s):
     return audit.label_profile(s.bars, s.breaks)
 
 
+@query(
+    "symbol timeframe concept attribute value i:event_count f:share "
+    + " ".join(f"i:{m}_count f:{m}_mean f:{m}_p05 f:{m}_median f:{m}_p95" for m in profile.MEASURES)
+)
+def profile_of_labels(s):
+    tables = {"swing": s.swings, "break": s.breaks, "gap": s.gaps, "zone": s.zones[0], "order_block": s.order_blocks[0]}
+    return profile.label_profile(tables, PIP, cut=s._cut)
+
+
 @query("opportunity_id only_in")
 def set_difference(s):
     return audit.key_difference(s.calendar(), s.open_signals, ["opportunity_id"])

@@ -96,11 +96,14 @@ def write_table(
     df: DataFrame, path: str, partition_by: Sequence[str] = (), mode: str = "overwrite"
 ) -> None:
     """Parquet, zstd. Rows are clustered by the partition columns first, so each partition gets
-    few files; AQE splits partitions that are too large for one task."""
+    few files; AQE splits partitions that are too large for one task. Mode "partitions" replaces whole partitions that
+    ``df`` has rows of and leaves the others: files appear when the job commits, so a write can be repeated."""
     out = df
     if partition_by:
         out = df.hint("rebalance", *partition_by)
-    writer = out.write.mode(mode).option("compression", "zstd")
+    writer = out.write.mode("overwrite" if mode == "partitions" else mode).option("compression", "zstd")
+    if mode == "partitions":
+        writer = writer.option("partitionOverwriteMode", "dynamic")
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(path)
@@ -112,7 +115,10 @@ def write_report(df: DataFrame, path: str) -> None:
 
 
 def write_bars(bars: DataFrame, path: str, *, only_missing: bool = False) -> None:
-    """Bars partitioned by symbol, year and month. ``only_missing`` keeps months already there."""
+    """Bars partitioned by symbol, year and month. Months of ``bars`` replace those of the table as a whole, other months stay;
+    so a write that runs twice, or again after a half-finished one, gives the same table. ``only_missing`` leaves months
+    that are already there.
+    """
     parts = ["symbol", "year", "month"]
     out = bars.withColumn("year", F.year("timestamp")).withColumn("month", F.month("timestamp"))
     if only_missing:
@@ -124,7 +130,4 @@ def write_bars(bars: DataFrame, path: str, *, only_missing: bool = False) -> Non
                 raise
         else:
             out = out.join(done, parts, "left_anti")
-            write_table(out, path, parts, mode="append")
-            return
-    write_table(out, path, parts)
-
+    write_table(out, path, parts, mode="partitions")

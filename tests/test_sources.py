@@ -73,3 +73,18 @@ def test_tick_files_use_a_fixed_zone_in_summer_too(spark):
     out = [r.t for r in got.select(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSS").alias("t")).orderBy("t").collect()]
     assert out == ["2024-01-02 22:00:00.250", "2024-07-02 22:00:00.000"]
     assert got.first().spread_pips == pytest.approx(2.0, abs=1e-4)
+
+
+def test_months_are_replaced_as_a_whole_and_others_stay(spark):
+    path = scratch_path(spark, "bars")
+    full = full_bars(spark)
+    readers.write_bars(full.where("timestamp < '2024-01-20'"), path)  # a half-finished month
+    readers.write_bars(full, path)
+    want = sorted(map(str, full.select("symbol", "timestamp", "mid_close").collect()))
+    read = lambda: sorted(map(str, spark.read.parquet(path).select("symbol", "timestamp", "mid_close").collect()))
+    assert read() == want
+    readers.write_bars(full, path)
+    assert read() == want
+    january = full.where("timestamp < '2024-02-01'").limit(1)
+    readers.write_bars(january, path)  # replaces January, leaves the other months
+    assert len(read()) == 1 + full.where("timestamp >= '2024-02-01'").count()

@@ -18,6 +18,7 @@ import hashlib
 import os
 import re
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -28,11 +29,11 @@ from pitbars.llm.common import Workspace, over_batches
 from pitbars.llm.tokens import Remembered, _byte_letters, text_encoder, vocabulary_file
 
 #: Segments a worker remembers before it starts anew.
-MEMORY = 400_000
+MEMORY = 250_000
 #: Pairs that tasks look up; the others are joined.
 FREQUENT = 200_000
 #: Links a worker expands at once.
-LINKS_AT_ONCE = 2_000_000
+LINKS_AT_ONCE = 500_000
 #: Bits of an id in a pair: A's id above B's.
 _BITS = 24
 
@@ -86,17 +87,15 @@ class Aligner:
 
     def __init__(self, file_a: str | None = None, file_b: str | None = None, limit: int = MEMORY):
         import sentencepiece
-        from tokenizers import Tokenizer
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        path = file_a or vocabulary_file("byte_bpe_50k.json")
-        self.encoder = text_encoder(path, special=False)
-        self.a = Tokenizer.from_file(path)
-        self.a.encode_special_tokens = True  # their strings in a text are plain text
+        self.file_a = file_a or vocabulary_file("byte_bpe_50k.json")
+        self.encoder = text_encoder(self.file_a, special=False)
+        tokenizer = self._tokenizer()
         self.b = sentencepiece.SentencePieceProcessor(model_file=file_b or vocabulary_file("piece_bpe_32k.model"))
         letters = {c: k for k, c in _byte_letters().items()}
-        self.bytes_a = [b""] * self.a.get_vocab_size()
-        for t, i in self.a.get_vocab(with_added_tokens=False).items():
+        self.bytes_a = [b""] * tokenizer.get_vocab_size()
+        for t, i in tokenizer.get_vocab(with_added_tokens=False).items():
             self.bytes_a[i] = bytes(letters[c] for c in t) if all(c in letters for c in t) else b""
         pieces = [self.b.id_to_piece(i) for i in range(self.b.get_piece_size())]
         self.bytes_b = [
@@ -113,6 +112,18 @@ class Aligner:
         self.marks: dict[str, list[int]] = {}
         self._forget()
 
+    def _tokenizer(self):  # noqa: ANN202
+        from tokenizers import Tokenizer
+
+        tokenizer = Tokenizer.from_file(self.file_a)
+        tokenizer.encode_special_tokens = True  # their strings in a text are plain text
+        return tokenizer
+
+    @cached_property
+    def a(self):  # noqa: ANN201
+        """A's tokenizer, for texts that can't be cut; most workers need none."""
+        return self._tokenizer()
+
     def _forget(self) -> None:
         self.index: dict[str, int] = {}
         self.strings: list[str] = []

@@ -6,12 +6,20 @@ estimated from the count of equal positions, corrected for positions that agree
 
 A large bucket never becomes all its pairs. First every member meets one hub, so the rows are as many as the members; the
 hub of a large bucket is its most central member, the one that meets most others over all its buckets. Pairs whose
-estimate lies five standard deviations below the threshold are left out, and the rest are confirmed exactly. What
-these links don't join is then compared across components only. Buckets of a few members join by key. In larger ones
-the classes outside the hub's component are compared with all members in tiles, by bit counts: first each proposes
-its most similar class of another component, the confirmed ones join, and this repeats; the last round takes all
-pairs that remain. So links within one component are not all found (they change nothing), while none between two is
-lost except by the bands: at the threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
+estimate lies five standard deviations below the threshold are left out, and the rest are confirmed. What
+these links don't join is then compared across components only. Buckets of a few members join by key. Members of larger
+ones are gathered by hub, so that a class has one seat a hub and not one a band: the classes outside the hub's component
+are compared with all of its seats in tiles, by bit counts: first each proposes its most similar class of another
+component, the confirmed ones join, and this repeats; the last round takes all pairs that remain. So links within one
+component are not all found (they change nothing), while none between two is lost except by the bands: at the threshold
+0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
+
+In tiles a pair must also pass an exact prefix filter: two sets at the threshold share one of their rarest
+n - ceil(0.8 n) + 1 shingles, whatever order says which are rare, as long as all sets use the same one. Rare is what a table of
+``SLOTS`` hashed counts says; shingles that meet in a slot make the filter weaker, never wrong. A class that shares no shingle
+of its prefix takes no seat, so documents that have a common template and words of their own raise no pairs.
+
+Confirmation is on whole sets of 64-bit hashes of shingles.
 """
 
 from __future__ import annotations
@@ -32,8 +40,10 @@ from pitbars.llm.common import Workspace, components, over_batches
 BANDS, ROWS, BITS = 40, 5, 2
 #: Up to so many members, a bucket's pairs of two components are made by a join; beyond, they are compared in tiles.
 SMALL = 32
-#: Members of a bucket that one task compares with so many others.
+#: Seats of a hub that one task compares with so many others.
 TILE = 1024
+#: Hashed counts of shingles that order the prefixes: 4 bytes each, sent to the tasks; any number gives the same links.
+SLOTS = 1 << 20
 #: Rounds in which a class proposes only its best partner, before the round that takes all.
 PROPOSALS = 2
 #: A hub with more partners than this is read by several tasks.
@@ -116,6 +126,35 @@ def _least_estimate(threshold: float, n: int, bits: int) -> float:
     return threshold - 5 * (agree * (1 - agree) / n) ** 0.5 / (1 - chance)
 
 
+def prefix(keys: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
+    """The rarest shingles of a set that a set at the threshold can't all miss, as sorted 32-bit hashes; those counted once go."""
+    slots = (keys % np.uint64(len(counts))).astype(np.int64)
+    rare = np.lexsort((keys, counts[slots]))[: len(keys) - -(-percent * len(keys) // 100) + 1]
+    return np.unique((keys[rare[counts[slots[rare]] > 1]] >> np.uint64(32)).astype("<u4")).tobytes()
+
+
+class Shared:
+    """Which rows on the right share a 32-bit hash with a row on the left."""
+
+    def __init__(self, left: list[bytes], right: list[bytes]):
+        self.left = [np.frombuffer(x, "<u4") for x in left]
+        sizes = [len(x) // 4 for x in right]
+        tokens = np.frombuffer(b"".join(right), "<u4")
+        order = np.argsort(tokens, kind="stable")
+        self.rows = np.repeat(np.arange(len(right)), sizes)[order]
+        self.tokens, starts = np.unique(tokens[order], return_index=True)
+        self.ends = np.append(starts, len(tokens))
+        self.width = len(right)
+
+    def __call__(self, at: range) -> np.ndarray:
+        out = np.zeros((len(at), self.width), bool)
+        for k, i in enumerate(at):
+            place = np.minimum(np.searchsorted(self.tokens, self.left[i]), len(self.tokens) - 1)
+            for p in place[self.tokens[place] == self.left[i]]:
+                out[k, self.rows[self.ends[p] : self.ends[p + 1]]] = True
+        return out
+
+
 class Finder:
     """One run over one table; see ``near_duplicates``."""
 
@@ -128,33 +167,32 @@ class Finder:
         self.docs = docs.select(F.col(id_col).alias("own"), F.col(text_col).alias("text"), row_ref(id_col, text_col).alias("ref"))
 
     def signed(self) -> DataFrame:
-        """(own id, ref, n, key, keys of bands, their low 32 bits, signature) of every row; key is null for an empty set."""
+        """(own id, ref, n, key, keys of bands, signature) of every row; key is null for an empty set."""
         size, n, bands, rows, bits = self.size, self.n, self.bands, self.rows, self.bits
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             weights = _mix(np.arange(7, 7 + rows, dtype=np.uint64) * _K1) | np.uint64(1)
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                out: dict[str, object] = {"own": part.column(0), "ref": part.column(2)} | {c: [] for c in ("n", "key", "keys", "marks", "signature")}
+                out: dict[str, object] = {"own": part.column(0), "ref": part.column(2)} | {c: [] for c in ("n", "key", "keys", "signature")}
                 for text in part.column(1).to_pylist():
                     own = shingles(text or "", size)
                     out["n"].append(len(own))
                     if not len(own):
-                        for c in ("key", "keys", "marks", "signature"):
+                        for c in ("key", "keys", "signature"):
                             out[c].append(None)
                         continue
                     low = minima(own, n)
                     mixed = _mix((low.reshape(bands, rows).astype(np.uint64) * weights).sum(axis=1))
                     out["key"].append(hashlib.md5(own.tobytes()).digest())
                     out["keys"].append(mixed.view(np.int64).tolist())
-                    out["marks"].append(mixed.astype("<u4").tobytes())
                     out["signature"].append(pack_bits(low, bits))
                 yield out
 
-        return over_batches(self.docs, run, "own long, ref long, n long, key binary, keys array<long>, marks binary, signature binary")
+        return over_batches(self.docs, run, "own long, ref long, n long, key binary, keys array<long>, signature binary")
 
     def sets(self, classes: DataFrame) -> DataFrame:
-        """(id, shingles) of the named classes, from their texts. Both sides grow with the corpus, so they are merged."""
+        """(id, crowded, shingles) of the named classes, from their texts. Both sides grow with the corpus, so they are merged."""
         size = self.size
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
@@ -163,20 +201,20 @@ class Finder:
                 sets = [shingles(t or "", size) for t in part.column(1).to_pylist()]
                 # texts of one ref are told apart by the key of their class
                 mine = [hashlib.md5(x.tobytes()).digest() == k for x, k in zip(sets, part.column(2).to_pylist(), strict=True)]
-                ids = [i for i, m in zip(part.column(0).to_pylist(), mine, strict=True) if m]
-                yield {"id": ids, "shingles": [x.view(np.int64).tolist() for x, m in zip(sets, mine, strict=True) if m]}
+                ids, crowded = ([v for v, m in zip(part.column(c).to_pylist(), mine, strict=True) if m] for c in (0, 3))
+                yield {"id": ids, "crowded": crowded, "shingles": [x.view(np.int64).tolist() for x, m in zip(sets, mine, strict=True) if m]}
 
-        texts = self.docs.join(classes.select("id", "key", "ref").hint("merge"), "ref")
+        texts = self.docs.join(classes.select("id", "key", "ref", "crowded").hint("merge"), "ref")
         texts = texts.withColumn("check", F.xxhash64(F.lit(1), "text")).dropDuplicates(["ref", "id", "check"])
-        return over_batches(texts.select("id", "text", "key"), run, "id long, shingles array<long>")
+        return over_batches(texts.select("id", "text", "key", "crowded"), run, "id long, crowded boolean, shingles array<long>")
 
     def confirm(self, pairs: DataFrame, sets: DataFrame) -> DataFrame:
         """The pairs (a, b) whose sets pass the threshold. b is the side that may be one hub for very many."""
         crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / F.lit(PARTNERS)).cast("int").alias("parts"))
         dealt = pairs.join(crowd, "b").withColumn("part", F.pmod(F.xxhash64("a"), F.col("parts").cast("long")).cast("int"))
         hubs = crowd.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("b", "part")
-        right = sets.withColumnRenamed("id", "b").withColumnRenamed("shingles", "sb").join(hubs, "b")
-        left = sets.withColumnRenamed("id", "a").withColumnRenamed("shingles", "sa")
+        right = sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb")).join(hubs, "b")
+        left = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa"))
         both = dealt.select("a", "b", "part").join(left, "a").join(right, ["b", "part"])
         shared = F.size(F.array_intersect("sa", "sb"))
         return both.where(100 * shared >= self.percent * (F.size("sa") + F.size("sb") - shared)).select("a", "b")
@@ -207,31 +245,55 @@ class Finder:
         full = pairs.join(sides[0], "a", "left").join(sides[1], "b", "left")
         return full.where(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select("a", "b")
 
-    def large(self, crowd: DataFrame, classes: DataFrame, joined: DataFrame, every: bool) -> DataFrame:
-        """Pairs of two components inside larger buckets, in tiles.
+    def counts(self, sets: DataFrame) -> np.ndarray:
+        """How many crowded classes hold a shingle of each slot: bounded by ``SLOTS`` on the driver and in tasks."""
+        n = SLOTS
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            total = np.zeros(n, np.int64)
+            for batch in batches:
+                keys = batch.column(0).flatten().to_numpy(zero_copy_only=False).view(np.uint64)
+                total += np.bincount((keys % np.uint64(n)).astype(np.int64), minlength=n)
+            slots = np.flatnonzero(total)
+            for at in range(0, len(slots), 65536):
+                part = slots[at : at + 65536]
+                yield pa.RecordBatch.from_arrays([pa.array(part), pa.array(total[part])], names=["slot", "count"])
+
+        told = sets.where("crowded").select("shingles").mapInArrow(run, "slot long, count long")
+        got = told.groupBy("slot").agg(F.sum("count").alias("count")).toPandas()
+        out = np.zeros(n, np.uint32)
+        out[got["slot"].to_numpy(np.int64)] = np.minimum(got["count"].to_numpy(np.int64), 2**32 - 1)
+        return out
+
+    def prefixes(self, sets: DataFrame, counts: np.ndarray) -> DataFrame:
+        """(id, prefix) of the crowded classes that may share a shingle of their prefix with another."""
+        percent = self.percent
+
+        def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
+            got = [prefix(np.array(x, np.int64).view(np.uint64), counts, percent) for x in batch.column(1).to_pylist()]
+            yield {"id": batch.column(0), "prefix": got}
+
+        found = over_batches(sets.where("crowded").select("id", "shingles"), run, "id long, prefix binary")
+        return found.where(F.length("prefix") > 0)
+
+    def large(self, own: DataFrame, members: DataFrame, every: bool) -> DataFrame:
+        """Pairs of two components among the seats of a hub, in tiles.
 
         Every such pair has a class outside its hub's component; those classes alone look for partners: the best one of
-        each tile, or every one near enough. A pair is told by the first bucket it shares only; 32 bits of a bucket's key
-        decide which that is, and mistake another for it with probability 1e-8.
+        each tile, or every one near enough. A pair may be found under several hubs and is told once.
         """
-        own = self.apart_of_hub(crowd, classes, joined)
-        mixed = own.groupBy("band", "bucket").agg(
-            F.count("*").alias("m"), F.sum("minor").alias("minors"),
-            F.sum(F.xxhash64("id").cast("decimal(38,0)")).alias("who"),
-        ).where("minors > 0")
         tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
-        one = mixed.groupBy("who", "m", "minors").agg(F.min(F.struct("band", "bucket")).alias("first")).select(  # the same members: once
-            F.col("first.bucket").alias("bucket"), tiles("minors").alias("lefts"), tiles("m").alias("rights")
-        )
-        tile = lambda n: F.pmod(F.xxhash64("id", "bucket"), F.col(n).cast("long")).cast("int")
+        sizes = own.groupBy("hub").agg(F.count("*").alias("m"), F.sum("minor").alias("minors"))
+        sizes = sizes.select("hub", tiles("minors").alias("lefts"), tiles("m").alias("rights"))
+        tile = lambda n: F.pmod(F.xxhash64("id", "hub"), F.col(n).cast("long")).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-        member = own.join(one, "bucket")
-        cols = ["band", "bucket", "i", "j", "side", "id", "component", "n"]
+        member = own.join(sizes, "hub")
+        cols = ["hub", "i", "j", "side", "id", "component"]
         left = member.where("minor = 1").withColumn("i", tile("lefts")).withColumn("j", upto("rights")).withColumn("side", F.lit(0))
         right = member.withColumn("j", tile("rights")).withColumn("i", upto("lefts")).withColumn("side", F.lit(1))
         tasks = int(self.ws.spark.conf.get("spark.sql.shuffle.partitions"))
-        spread = left.select(*cols).union(right.select(*cols)).join(classes.select("id", "signature", "marks"), "id")
-        spread = spread.repartition(tasks, "bucket", "i", "j")  # a named count: few bytes, much work
+        spread = left.select(*cols).union(right.select(*cols)).join(members, "id")
+        spread = spread.repartition(tasks, "hub", "i", "j")  # a named count: few bytes, much work
         n, bits, least, percent = self.n, self.bits, self.least, self.percent
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -242,12 +304,11 @@ class Finder:
                 ls, rs = sig(left), sig(right)
                 li, lc, ln = (left[c].to_numpy() for c in ("id", "component", "n"))
                 ri, rc, rn = (right[c].to_numpy() for c in ("id", "component", "n"))
-                lm, rm = (np.frombuffer(b"".join(x["marks"]), "<u4").reshape(len(x), -1) for x in (left, right))
-                band = int(left["band"].iat[0])
+                shared = Shared(list(left["prefix"]), list(right["prefix"]))
                 for k in range(0, len(left), 64):
                     s = slice(k, k + 64)
                     small, large = np.minimum(ln[s, None], rn), np.maximum(ln[s, None], rn)
-                    ok = (lc[s, None] != rc) & (100 * small >= percent * large)
+                    ok = (lc[s, None] != rc) & (100 * small >= percent * large) & shared(range(k, min(k + 64, len(left))))
                     if not ok.any():
                         continue
                     guess = np.where(ok, estimate(ls[s, None], rs[None], n, bits), -1.0)
@@ -257,37 +318,25 @@ class Finder:
                         y = guess.argmax(axis=1)
                         x = np.flatnonzero(guess[np.arange(len(y)), y] >= least)
                         y = y[x]
-                    # a pair that shares several buckets comes from the first
-                    first = (lm[s][x] == rm[y]).argmax(axis=1) == band
-                    x, y = x[first], y[first]
                     out.append(np.column_stack([li[s][x], ri[y], (guess[x, y] * 1e6).astype(np.int64)]))
             got = np.concatenate(out)
             return pd.DataFrame({"a": got[:, :2].max(axis=1), "b": got[:, :2].min(axis=1), "guess": got[:, 2], "asks": got[:, 0]})
 
-        found = spread.groupBy("bucket", "i", "j").applyInPandas(run, "a long, b long, guess long, asks long")
+        found = spread.groupBy("hub", "i", "j").applyInPandas(run, "a long, b long, guess long, asks long")
         if not every:  # one proposal a class; the others wait for the next round
             found = found.groupBy("asks").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p")).select("p.*")
         return found.select("a", "b").distinct()
 
     @staticmethod
-    def apart_of_hub(crowd: DataFrame, classes: DataFrame, joined: DataFrame) -> DataFrame:
-        """Members of the large buckets that hold a class outside their hub's component, with component and set size.
-
-        A class and its hub meet in many buckets, but are compared once.
-        """
+    def apart_of_hub(seats: DataFrame, joined: DataFrame) -> DataFrame:
+        """Seats (id, hub) of the hubs with a class outside their component; the class's component, and minor = 1 outside."""
         at = joined.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-        seats = crowd.select("id", "hub").distinct().join(joined, "id", "left").join(at, "hub", "left")
-        minor = seats.where(F.coalesce("component", "id") != F.coalesce("of_hub", "hub")).select(
-            "id", "hub", F.lit(1).alias("minor")
-        )
-        mixed = crowd.join(minor, ["id", "hub"], "left_semi").select("bucket").distinct()
-        return (
-            crowd.join(mixed, "bucket", "left_semi")
-            .join(minor, ["id", "hub"], "left")
-            .join(classes.select("id", "n"), "id")
-            .join(joined, "id", "left")
-            .select("id", "band", "bucket", "n", F.coalesce("component", "id").alias("component"), F.coalesce("minor", F.lit(0)).alias("minor"))
-        )
+        placed = seats.select("id", "hub").join(joined, "id", "left").join(at, "hub", "left").select(
+            "id", "hub", F.coalesce("component", "id").alias("component"),
+            (F.coalesce("component", "id") != F.coalesce("of_hub", "hub")).cast("int").alias("minor"),
+        )
+        mixed = placed.where("minor = 1").select("hub").distinct()
+        return placed.join(mixed, "hub", "left_semi")
 
     def run(self) -> DataFrame:
         """(own id, ref, n, root) of every row: root is the first row (none: its id is null, own, ref) of the component."""
@@ -298,15 +347,15 @@ class Finder:
             .groupBy("key")
             .agg(
                 F.min(F.struct(F.col("own").isNull().alias("none"), "own", "ref")).alias("first"), F.first("n").alias("n"),
-                F.first("signature").alias("signature"), F.first("keys").alias("keys"), F.first("marks").alias("marks"),
+                F.first("signature").alias("signature"), F.first("keys").alias("keys"),
             )
             .withColumn("ref", F.col("first.ref"))
             .withColumn("id", F.monotonically_increasing_id()),  # the class's number, fixed by this table
             "classes",
         )
-        banded = classes.select("id", F.posexplode("keys").alias("band", "value")).select(
-            "id", "band", F.xxhash64("band", "value").alias("bucket")
-        )
+        rows = ws.table(signed.select("own", "ref", "n", "key"), "rows")
+        ws.drop(signed)
+        banded = classes.select("id", F.posexplode("keys").alias("band", "value")).select("id", F.xxhash64("band", "value").alias("bucket"))
         hubs = banded.groupBy("bucket").agg(
             F.min(F.struct(F.xxhash64("id", "bucket"), "id")).alias("hub"), F.count("*").alias("m")
         )
@@ -314,39 +363,55 @@ class Finder:
             banded.join(hubs.where("m > 1").select("bucket", "m", F.col("hub.id").alias("hub")), "bucket"), "buckets"
         )
         # in a large bucket the hub is the member that meets most others over all its large buckets: the centre of its copies
-        crowd = buckets.where(F.col("m") > SMALL).select("id", "band", "bucket", "m")
+        crowd = buckets.where(F.col("m") > SMALL).select("id", "bucket", "m")
         met = crowd.groupBy("id").agg(F.sum("m").alias("met"))
         central = crowd.join(met, "id").groupBy("bucket").agg(F.max(F.struct("met", F.xxhash64("id"), "id")).alias("hub"))
-        crowd = ws.table(crowd.join(central.select("bucket", F.col("hub.id").alias("hub")), "bucket").drop("m"), "crowd")
-        few = buckets.where(F.col("m") <= SMALL).select("id", "hub")
-        stars = few.union(crowd.select("id", "hub")).where("id <> hub").select(F.col("id").alias("a"), F.col("hub").alias("b"))
+        seats = crowd.join(central.select("bucket", F.col("hub.id").alias("hub")), "bucket").select("id", "hub")
+        seats = ws.table(seats.where("id <> hub").distinct(), "seats")
+        few = buckets.where((F.col("m") <= SMALL) & (F.col("id") != F.col("hub"))).select("id", "hub")
+        stars = few.union(seats).select(F.col("id").alias("a"), F.col("hub").alias("b"))
         tried = ws.table(self.near(stars.distinct(), classes), "stars")
         pairs = ws.table(self.near(self.small(buckets), classes), "pairs")
-        ids = [df.select(F.col(c).alias("id")) for df in (tried, pairs) for c in "ab"]
-        needed = reduce(DataFrame.union, [*ids, crowd.select("id")]).distinct()
-        sets = ws.table(self.sets(classes.join(needed, "id", "left_semi")), "sets")
+        ws.drop(buckets)
+        ids = [df.select(F.col(c).alias("id"), F.lit(False).alias("crowded")) for df in (tried, pairs) for c in "ab"]
+        needed = reduce(DataFrame.union, [*ids, seats.select("id", F.lit(True))]).groupBy("id").agg(F.max("crowded").alias("crowded"))
+        sets = ws.table(self.sets(classes.select("id", "key", "ref").join(needed, "id")), "sets")
         links = ws.table(self.confirm(tried, sets), "links")
         joined = ws.table(components(ws, links), "joined")
-        turn, last = -1, PROPOSALS if not crowd.isEmpty() else -1
+        turn, last = -1, -1
+        if not seats.isEmpty():
+            last = PROPOSALS
+            members = self.prefixes(sets, self.counts(sets)).join(classes.select("id", "n", "signature"), "id")
+            members = ws.table(members, "members")
+            seated = ws.table(seats.join(members.select("id"), "id", "left_semi"), "seats")
+            ws.drop(seats)
+            seats = seated
         fresh = ws.table(self.apart(pairs, joined), "fresh")
+        ws.drop(pairs)
         while True:
             if not fresh.isEmpty():
                 found = ws.table(self.confirm(fresh, sets), "links")
                 tried = tried.union(fresh)
                 if not found.isEmpty():
-                    links = links.union(found)
+                    links, before = links.union(found), joined
                     joined = ws.table(components(ws, links), "joined")
+                    ws.drop(before)
             elif turn >= 0:  # the next proposals would be the same
                 turn = max(turn, last - 1)
             if turn == last:
                 break
             turn += 1
-            fresh = ws.table(self.large(crowd, classes, joined, turn == last).join(tried, ["a", "b"], "left_anti"), "fresh")
+            # components only grow: what has no part in this round has none in a later one
+            own = ws.table(self.apart_of_hub(seats, joined), "seats")
+            ws.drop(seats)
+            seats = own
+            fresh = ws.table(self.large(own, members, turn == last).join(tried, ["a", "b"], "left_anti"), "fresh")
+        ws.drop(sets, seats)
         by_class = classes.select("key", "id", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # written, so that a large component is an uneven join of two tables, which is dealt anew
         by_class = ws.table(by_class, "named")
         roots = ws.table(by_class.groupBy("component").agg(F.min("first").alias("root")), "roots")
-        return signed.select("own", "ref", "n", "key").join(
+        return rows.join(
             by_class.join(roots, "component").select("key", "root"), "key", "left"
         ).drop("key")
 

@@ -68,8 +68,45 @@ def test_tiles_and_partners_change_nothing(docs, monkeypatch):
     monkeypatch.setattr(minhash, "TILE", 4)
     monkeypatch.setattr(minhash, "PARTNERS", 3)
     rows = corpus()[:150]
-    got = minhash.near_duplicates(docs(rows), shingle_size=2).collect()
-    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == plain(rows)
+    for slots in (minhash.SLOTS, 7):
+        monkeypatch.setattr(minhash, "SLOTS", slots)
+        got = minhash.near_duplicates(docs(rows), shingle_size=2).collect()
+        assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == plain(rows)
+
+
+def template(n):
+    """Documents of one template and words of their own: similarity 0.6, in large buckets together."""
+    common = " ".join(f"t{k}" for k in range(121))
+    return [(i, common + " " + " ".join(f"own{i}-{k}" for k in range(38))) for i in range(n)]
+
+
+def test_a_template_raises_pairs_in_proportion_to_its_documents(docs, monkeypatch):
+    sent = []
+    confirm = minhash.Finder.confirm
+
+    def counted(self, pairs, sets):
+        sent[-1] += pairs.count()
+        return confirm(self, pairs, sets)
+
+    monkeypatch.setattr(minhash.Finder, "confirm", counted)
+    for n in (250, 500, 1000):
+        sent.append(0)
+        got = minhash.near_duplicates(docs(template(n)), shingle_size=2).collect()
+        assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+    assert sent[2] < 20 * 1000 and sent[2] < 2.5 * sent[1] < 6.5 * sent[0]
+
+
+def test_sets_at_the_threshold_share_a_shingle_of_their_prefixes():
+    rng = np.random.default_rng(3)
+    counts = rng.integers(2, 50, 1 << 10).astype(np.uint32)
+    for n in (1, 2, 5, 37, 200, 1000):
+        for _ in range(20):
+            keys = rng.integers(0, 2**63, 2 * n).astype(np.uint64)
+            gone = n // 9  # n - gone of n + gone shingles are shared: at least 0.8
+            a, b = (minhash.prefix(x, counts, 80) for x in (keys[:n], keys[gone : n + gone]))
+            assert np.intersect1d(np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")).size
+            hits = minhash.Shared([a, b""], [b"", b, a])(range(2))
+            assert hits.tolist() == [[False, True, True], [False] * 3]
 
 
 def test_kept_rows(docs):

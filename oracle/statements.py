@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import re
+
 from pitbars.operators import rules
 
-from .ctes import NY, _path, _swing, _wall, bracket, compose, slip_fill
+from .ctes import CTES, NY, _path, _swing, _wall, bracket, compose, slip_fill
 
 
 
@@ -297,6 +299,58 @@ EXTRA = {
 }
 
 
+def _other_settings() -> dict[str, str]:
+    """Breaks, zones and relations under other parameters, each from its whole definition again."""
+
+    def renamed(text: str, names: list[str], tag: str) -> str:
+        for n in names:
+            text = re.sub(rf"(from|join) {n}\b", rf"\1 {n}{tag}", text)
+        return text
+
+    out = {}
+    for tag, buffer in (("_b0", "0e0"), ("_b10", "1e-1")):
+        out[f"walk{tag}"] = renamed(CTES["walk"].replace("5e-2", buffer), ["walk"], tag)
+        out[f"brk{tag}"] = renamed(CTES["brk"], ["walk"], tag)
+    for tag, tolerance in (("_t10", "1e-1"), ("_t30", "3e-1")):
+        out[f"touch{tag}"] = EXTRA["touch"].replace("2e-1", tolerance)
+        out[f"greedy{tag}"] = renamed(EXTRA["greedy"], ["greedy", "touch"], tag)
+        out[f"snap{tag}"] = renamed(EXTRA["snap"], ["greedy", "touch"], tag)
+    for tag, pips in (("_r5", "5e-3"), ("_r15", "1.5e-2")):
+        out[f"sw{tag}"] = CTES["sw"].replace("1e-2", pips)
+    return out
+
+
+def _compared(concept: str, parameter: str, key: str, primary: tuple[str, str], others: dict[str, str]) -> str:
+    sides = [f"select symbol, timeframe, {key} as k, 0 as no from {primary[1]}"]
+    sides += [f"select symbol, timeframe, {key}, {i} from {t}" for i, t in enumerate(others.values(), 1)]
+    names = ", ".join(f"({i}, '{v}')" for i, v in enumerate(others, 1))
+    return f"""select '{concept}' as concept, symbol, timeframe, '{parameter}' as parameter, '{primary[0]}' as primary_value, v as comparison_value,
+    count(*) filter (p) as primary_count, count(*) filter (list_contains(nos, no)) as comparison_count, count(*) filter (p and list_contains(nos, no)) as intersection_count,
+    case when primary_count + comparison_count > 0 then intersection_count / (primary_count + comparison_count - intersection_count) else 1 end as jaccard_agreement
+  from (select symbol, timeframe, k, list(no) as nos, list_contains(list(no), 0) as p from ({" union all ".join(sides)}) group by all), (values {names}) names(no, v) group by symbol, timeframe, v"""
+
+
+def _in_zones(snapshots: str) -> str:
+    # grouped, as DuckDB fails inside on a plain filter of these rows
+    return f"(select symbol, timeframe, swing_id from {snapshots} group by all having max(touch_count) >= 2)"
+
+
+SENSITIVITY = " union all ".join(
+    [
+        _compared("swing", "right_bars", "(event_at, kind)", ("2", "sw0"), {"1": "swr1", "3": "swr3"}),
+        _compared("swing_relationship", "equality_tolerance_pips", "(event_at, kind, rel)", ("1.0", "sw"), {"0.5": "sw_r5", "1.5": "sw_r15"}),
+        _compared("structure_break", "buffer_atr", "(event_at, direction, event_type)", ("0.05", "brk"), {"0.0": "brk_b0", "0.1": "brk_b10"}),
+        _compared("fair_value_gap", "minimum_size_atr", "(event_at, direction)", ("0.1", "gap"), {"0.0": "gap0", "0.2": "gap20"}),
+        _compared("support_resistance", "cluster_tolerance_atr", "swing_id", ("0.2", _in_zones("snap")), {"0.1": _in_zones("snap_t10"), "0.3": _in_zones("snap_t30")}),
+        _compared("order_block_candidate", "candidate_lookback_bars", "(anchor_break_id, candidate_bar_id)", ("6", "ob"), {"3": "ob3", "9": "ob9"}),
+        _compared("order_block_lifecycle", "maximum_age_bars", "(event_id, status)", ("50", "ob"), {"25": "ob25", "100": "ob100"}),
+        """select 'order_block_geometry', symbol, timeframe, 'zone_geometry', 'full_wick_range', 'body_range', count(*), count(*), count(*), quantile_cont(iou, 0.5::double) from (
+    select a.symbol, a.timeframe, greatest(least(a.upper_bound, c.upper_bound) - greatest(a.lower_bound, c.lower_bound), 0) / (greatest(a.upper_bound, c.upper_bound) - least(a.lower_bound, c.lower_bound)) as iou
+    from ob a join obody c on c.symbol = a.symbol and c.timeframe = a.timeframe and c.event_id = a.event_id) group by all""",
+    ]
+)
+
+
 def statements(specs: dict[str, str]) -> dict[str, str]:
 
     bits = draw("20260901", "grp", "tok")
@@ -511,8 +565,11 @@ def statements(specs: dict[str, str]) -> dict[str, str]:
       on x.symbol = e.symbol and x.timeframe = e.timeframe""",
         "set_difference": "select opportunity_id, 'first' as only_in from cal anti join opensig using (opportunity_id)",
     }
-    book = {**EXTRA, **right, "fpath": _path("first", "base")}
+    book = {**EXTRA, **right, **_other_settings(), "fpath": _path("first", "base")}
     book["firsttrade"] = bracket("fpath", "p_entry - sgn * (1e0 * atr)", "p_entry + sgn * (2e0 * (1e0 * atr))", "30", "1e0 * atr")
+    inner["label_sensitivity"] = SENSITIVITY
+    inner["monthly_entries"] = f"select model_id, substr(session_date::varchar, 1, 7) as month, count(*) as entry_count from fun join (select signal_id, session_date from mapped) using (signal_id) where coverage_status = 'entry' group by all"
+    inner["eligible_models"] = f"select model_id, sum((coverage_status = 'entry')::int) as entry_count, entry_count >= 10 as eligible from fun group by model_id"
     zones = f"(select o.*, c.available_at as candidate_available_at from ({inner['order_blocks']}) o join b c on c.symbol = o.symbol and c.timeframe = o.timeframe and c.bar_idx = o.candidate_index)"
     inner["rules_labels"] = ruled(rules.label_rules(), {"bars": "b", "swings": "(select *, 2 as confirmation_delay_bars from sw)", "gaps": "gap", "order_blocks": zones})
     inner["active_zone_counts"] = f"""with z as (select * from ({inner['level_zones']}) where touch_count >= 2)

@@ -45,27 +45,12 @@ def true_range_atr(bars: DataFrame, period: int = 14, by: Sequence[str] = BY) ->
     return drop_halo(out).withColumn("body_atr", body)
 
 
-def label_swings(
-    bars: DataFrame,
-    *,
-    left: int = 2,
-    right: int = 2,
-    tolerance_pips: float = 1.0,
-    pip_size: float = 0.0001,
-    by: Sequence[str] = BY,
-) -> DataFrame:
-    """Confirmed pivots: the bar is the extreme of its window and the last bar equal to it."""
+def pivot_columns(by: Sequence[str], left: int, right: int, pip_size: float) -> tuple[Column, Column, Column]:
+    """Over rows with a halo: whether the window is whole and eligible, and the high and the low pivot (NULL: none)."""
     w = halo_window(by)
     full = w.rowsBetween(-left, right)
     after = w.rowsBetween(1, right)
     before = w.rowsBetween(-left, -1)
-    base = with_halo(
-        bars.select(
-            *by, "bar_idx", "bar_id", "timestamp", "available_at",
-            "mid_high", "mid_low", "atr", "structure_eligible",
-        ),
-        by, left, right,
-    )
     whole = (F.count(F.lit(1)).over(full) == left + right + 1) & F.min("structure_eligible").over(full)
 
     def side(kind: str) -> Column:
@@ -91,12 +76,34 @@ def label_swings(
             ),
         )
 
+    return whole, side("high"), side("low")
+
+
+def label_swings(
+    bars: DataFrame,
+    *,
+    left: int = 2,
+    right: int = 2,
+    tolerance_pips: float = 1.0,
+    pip_size: float = 0.0001,
+    by: Sequence[str] = BY,
+) -> DataFrame:
+    """Confirmed pivots: the bar is the extreme of its window and the last bar equal to it."""
+    w = halo_window(by)
+    whole, high, low = pivot_columns(by, left, right, pip_size)
+    base = with_halo(
+        bars.select(
+            *by, "bar_idx", "bar_id", "timestamp", "available_at",
+            "mid_high", "mid_low", "atr", "structure_eligible",
+        ),
+        by, left, right,
+    )
     ids = [F.lag("bar_id", k).over(w) for k in range(left, 0, -1)] + [F.col("bar_id")]
     ids += [F.lead("bar_id", k).over(w) for k in range(1, right + 1)]
     pivots = drop_halo(
         base.withColumn("_whole", whole)
-        .withColumn("_high", side("high"))
-        .withColumn("_low", side("low"))
+        .withColumn("_high", high)
+        .withColumn("_low", low)
         .withColumn("confirmation_bar_id", F.lead("bar_id", right).over(w))
         .withColumn("_confirmed_at", F.lead("available_at", right).over(w))
         .withColumn("source_bar_ids", F.array(*ids))
@@ -131,6 +138,16 @@ def label_swings(
     return relate_swings(swings, tolerance_pips=tolerance_pips, pip_size=pip_size, by=by)
 
 
+def swing_relation(delta: Column, tol: float) -> Column:
+    """Relation of a swing to the one before of its kind, ``delta`` higher (NULL: there is none)."""
+    high, first = F.col("event_type") == "swing_high", delta.isNull()
+    return (
+        F.when(high & first, "H0").when(first, "L0")
+        .when(high & (delta > tol), "HH").when(high & (delta < -tol), "LH").when(high, "EQH")
+        .when(delta > tol, "HL").when(delta < -tol, "LL").otherwise("EQL")
+    )
+
+
 def relate_swings(
     swings: DataFrame,
     *,
@@ -141,14 +158,7 @@ def relate_swings(
     """HH/LH/EQH and HL/LL/EQL against the previous pivot of the same kind (first: H0/L0)."""
     out = previous_row(swings, [*by, "event_type"], "pivot_index", ["price", "event_id"], "_prev")
     delta = F.col("price") - F.col("_prev.price")
-    tol = tolerance_pips * pip_size
-    high = F.col("event_type") == "swing_high"
-    first = F.col("_prev").isNull()
-    relation = (
-        F.when(high & first, "H0").when(first, "L0")
-        .when(high & (delta > tol), "HH").when(high & (delta < -tol), "LH").when(high, "EQH")
-        .when(delta > tol, "HL").when(delta < -tol, "LL").otherwise("EQL")
-    )
+    relation = swing_relation(delta, tolerance_pips * pip_size)
     return (
         out.withColumn("structural_relationship", relation)
         .withColumn("relationship_delta_pips", delta / pip_size)
@@ -184,22 +194,15 @@ def _gap_sides(first_high: Column, first_low: Column) -> Column:
     return F.array_compact(F.array(up, down))
 
 
-def label_gaps(
-    bars: DataFrame,
-    *,
-    min_size_atr: float | Column = 0.10,
-    max_age: int = 24,
-    by: Sequence[str] = BY,
-) -> DataFrame:
-    """Three-bar wick gaps on contiguous eligible bars, with partial fill, full fill and expiry."""
+def formed_gaps(bars: DataFrame, by: Sequence[str] = BY) -> DataFrame:
+    """Every gap of three contiguous eligible bars, of any size (``_g``: direction, bounds, size)."""
     w = halo_window(by)
     frame = w.rowsBetween(-2, 0)
-    ratio = min_size_atr if isinstance(min_size_atr, Column) else F.lit(float(min_size_atr))
     cols = [
         *by, "bar_idx", "bar_id", "timestamp", "available_at",
         "mid_high", "mid_low", "atr", "structure_eligible",
     ]
-    formed = drop_halo(
+    return drop_halo(
         with_halo(bars.select(*cols), by, 2, 0)
         .withColumn(
             "_ok",
@@ -214,6 +217,18 @@ def label_gaps(
             F.array(F.lag("bar_id", 2).over(w), F.lag("bar_id", 1).over(w), F.col("bar_id")),
         )
     ).where("_ok").withColumn("_g", F.explode("_g"))
+
+
+def label_gaps(
+    bars: DataFrame,
+    *,
+    min_size_atr: float | Column = 0.10,
+    max_age: int = 24,
+    by: Sequence[str] = BY,
+) -> DataFrame:
+    """Three-bar wick gaps on contiguous eligible bars, with partial fill, full fill and expiry."""
+    ratio = min_size_atr if isinstance(min_size_atr, Column) else F.lit(float(min_size_atr))
+    formed = formed_gaps(bars, by)
     gaps = formed.where(F.col("_g.size") >= ratio * F.col("atr")).select(
         *by,
         F.concat(

@@ -156,6 +156,29 @@ def _prior_overlaps(
     )
 
 
+def _ranked_anchors(
+    bars: DataFrame, breaks: DataFrame, lookback: int, timeframes: Sequence[str], by: Sequence[str]
+) -> DataFrame:
+    """Breaks that can found a zone, each with its candidate candle and its rank among those that share the candle."""
+    anchors = breaks.where(
+        F.col("timeframe").isin(*timeframes)
+        & F.col("event_type").isin("bos", "choch")
+        & F.col("displacement_qualified")
+    ).select(
+        *by, "event_id", "event_type", "event_at", "available_at", "direction",
+        "bar_idx", "bar_id", "event_seq",
+    )
+    found = (
+        anchors.join(_candidates(bars, lookback, by), [*by, "bar_idx"], "left")
+        .withColumn("_c", F.when(F.col("direction") == "up", F.col("_up")).otherwise(F.col("_down")))
+        .withColumn("_known", F.col("_c").isNotNull())
+        .drop("_up", "_down")
+    )
+    # anchors sharing a candidate lie within ``lookback`` bars of it: small partitions
+    w = Window.partitionBy(*by, "direction", "_c.candidate_index").orderBy("bar_idx", "event_seq")
+    return found.withColumn("_rank", F.when(F.col("_known"), F.row_number().over(w)))
+
+
 def label_order_blocks(
     bars: DataFrame,
     breaks: DataFrame,
@@ -177,23 +200,7 @@ def label_order_blocks(
     if geometry not in ("full_wick_range", "body_range"):
         raise ValueError(f"Unsupported order block geometry: {geometry}")
     bars = bars.where(F.col("timeframe").isin(*timeframes))
-    anchors = breaks.where(
-        F.col("timeframe").isin(*timeframes)
-        & F.col("event_type").isin("bos", "choch")
-        & F.col("displacement_qualified")
-    ).select(
-        *by, "event_id", "event_type", "event_at", "available_at", "direction",
-        "bar_idx", "bar_id", "event_seq",
-    )
-    found = (
-        anchors.join(_candidates(bars, lookback, by), [*by, "bar_idx"], "left")
-        .withColumn("_c", F.when(F.col("direction") == "up", F.col("_up")).otherwise(F.col("_down")))
-        .withColumn("_known", F.col("_c").isNotNull())
-        .drop("_up", "_down")
-    )
-    # anchors sharing a candidate lie within ``lookback`` bars of it: small partitions
-    w = Window.partitionBy(*by, "direction", "_c.candidate_index").orderBy("bar_idx", "event_seq")
-    ranked = cut(found.withColumn("_rank", F.when(F.col("_known"), F.row_number().over(w))))
+    ranked = cut(_ranked_anchors(bars, breaks, lookback, timeframes, by))
     audit = ranked.select(
         *by,
         F.concat(F.lit("ob-anchor:"), F.col("event_id"), F.lit(f":lb{lookback}")).alias("event_id"),

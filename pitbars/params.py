@@ -59,6 +59,17 @@ class LabelParams:
     sweep_excursion_atr: float = 0.05
 
 
+# concept -> (name of the parameter, its field in LabelParams, values compared with the primary one)
+VARIANTS: dict[str, tuple[str, str, tuple]] = {
+    "swing": ("right_bars", "swing_right", (1, 3)),
+    "swing_relationship": ("equality_tolerance_pips", "equal_tolerance_pips", (0.5, 1.5)),
+    "structure_break": ("buffer_atr", "break_buffer_atr", (0.0, 0.10)),
+    "fair_value_gap": ("minimum_size_atr", "gap_min_atr", (0.0, 0.20)),
+    "support_resistance": ("cluster_tolerance_atr", "zone_tolerance_atr", (0.10, 0.30)),
+    "order_block_candidate": ("candidate_lookback_bars", "ob_lookback", (3, 9)),
+    "order_block_lifecycle": ("maximum_age_bars", "ob_max_age", (25, 100)),
+}
+
 # named rule sets for the candidate filters
 FILTER_RULES: dict[str, tuple[str, ...]] = {
     "f1_displacement": ("displacement",),

@@ -18,7 +18,7 @@ from ..functions.columns import hash_direction
 from ..operators import asof, audit, bars, blocks, calendars, funnel, labels, levels
 from ..operators import order_blocks as ob
 from ..operators import outcomes as out
-from ..operators import profile, rules, signals, stats
+from ..operators import profile, rules, signals, stats, variants
 from ..params import FILTER_RULES, SESSIONS, Costs, LabelParams
 from ..session import configure, scratch_path
 from ..sources import readers
@@ -856,6 +856,27 @@ def order_block_grid(s):
     return audit.sensitivity(grid, "primary", keys)
 
 
+@query(
+    "concept symbol timeframe parameter primary_value comparison_value i:primary_count i:comparison_count i:intersection_count"
+    " f:jaccard_agreement"
+)
+def label_sensitivity(s):
+    return variants.label_sensitivity(
+        s.bars, s.swings, s._cut(s.breaks), s.params, timeframes=("1H", "4H"), cut=s._cut
+    )
+
+
+@query("model_id month i:entry_count")
+def monthly_entries(s):
+    return funnel.monthly_entries(s.funnel)
+
+
+@query("model_id i:entry_count b:eligible")
+def eligible_models(s):
+    """Models with at least ten entries (the study's 120 suit two years, the driver's events one month)."""
+    return funnel.eligible_models(s.funnel, 10)
+
+
 @query("symbol timeframe i:primary_count i:comparison_count i:intersection_count f:jaccard_agreement")
 def order_block_sensitivity(s):
     short, _ = ob.label_order_blocks(

@@ -393,8 +393,9 @@ class Finder:
                 found = ws.table(self.confirm(fresh, sets), "links")
                 tried = tried.union(fresh)
                 if not found.isEmpty():
-                    links, before = links.union(found), joined
-                    joined = ws.table(components(ws, links), "joined")
+                    # what is joined already goes on as one edge a class, not with all its links
+                    before, stars = joined, joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+                    joined = ws.table(components(ws, stars.union(found)), "joined")
                     ws.drop(before)
             elif turn >= 0:  # the next proposals would be the same
                 turn = max(turn, last - 1)

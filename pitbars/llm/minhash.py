@@ -9,12 +9,14 @@ hub of a large bucket is its most central member, the one that meets most others
 estimate lies five standard deviations below the threshold are left out, and the rest are confirmed. What
 these links don't join is then compared across components only. Buckets of a few members join by key. Members of larger
 ones are gathered by hub, so that a class has one seat a hub and not one a band: the classes outside the hub's component
-are compared with all of its seats in tiles, by bit counts: first each proposes its most similar class of another
-component, the confirmed ones join, and this repeats; the last round takes all pairs that remain. So links within one
-component are not all found (they change nothing), while none between two is lost except by the bands: at the threshold
-0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
-
-In tiles a pair must also pass an exact prefix filter: two sets at the threshold share one of their rarest
+are compared with all of its seats in tiles. A tile holds the whole sets of its seats and confirms there, so that pairs
+below the threshold, of which a large group may have very many, never become rows: each class that asks gets its most
+similar linked class of another component or none. The links join components, and the classes that got one ask again
+until none gets any; a class without a link to another component never gets one later, as components only grow. So links
+within one component are not all found (they change nothing), while none between two is lost except by the bands: at the
+threshold 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1e-7.
+
+In tiles a pair is confirmed only after bit counts and an exact prefix filter: two sets at the threshold share one of their rarest
 n - ceil(0.8 n) + 1 shingles, whatever order says which are rare, as long as all sets use the same one. Rare is what a table of
 ``SLOTS`` hashed counts says; shingles that meet in a slot make the filter weaker, never wrong. A class that shares no shingle
 of its prefix takes no seat, so documents that have a common template and words of their own raise no pairs.
@@ -40,12 +42,10 @@ from pitbars.llm.common import Workspace, components, over_batches
 BANDS, ROWS, BITS = 40, 5, 2
 #: Up to so many members, a bucket's pairs of two components are made by a join; beyond, they are compared in tiles.
 SMALL = 32
-#: Seats of a hub that one task compares with so many others.
-TILE = 1024
+#: Seats of a hub that one task compares with so many others, and about how many shingles either side holds together.
+TILE, HELD = 1024, 1 << 20
 #: Hashed counts of shingles that order the prefixes: 4 bytes each, sent to the tasks; any number gives the same links.
 SLOTS = 1 << 20
-#: Rounds in which a class proposes only its best partner, before the round that takes all.
-PROPOSALS = 2
 #: A hub with more partners than this is read by several tasks.
 PARTNERS = 2048
 
@@ -133,25 +133,40 @@ def prefix(keys: np.ndarray, counts: np.ndarray, percent: int) -> bytes:
     return np.unique((keys[rare[counts[slots[rare]] > 1]] >> np.uint64(32)).astype("<u4")).tobytes()
 
 
-class Shared:
-    """Which rows on the right share a 32-bit hash with a row on the left."""
+class Postings:
+    """The rows that hold each hash."""
 
-    def __init__(self, left: list[bytes], right: list[bytes]):
-        self.left = [np.frombuffer(x, "<u4") for x in left]
-        sizes = [len(x) // 4 for x in right]
-        tokens = np.frombuffer(b"".join(right), "<u4")
+    def __init__(self, rows: list[np.ndarray]):
+        tokens = np.concatenate(rows)
         order = np.argsort(tokens, kind="stable")
-        self.rows = np.repeat(np.arange(len(right)), sizes)[order]
+        self.rows = np.repeat(np.arange(len(rows)), [len(x) for x in rows])[order]
         self.tokens, starts = np.unique(tokens[order], return_index=True)
         self.ends = np.append(starts, len(tokens))
-        self.width = len(right)
+        self.width = len(rows)
+
+    def __call__(self, keys: np.ndarray) -> np.ndarray:
+        """The rows that hold one of the distinct ``keys``, each as often as it holds one."""
+        place = np.searchsorted(self.tokens, keys)
+        here = place < len(self.tokens)
+        place = place[here][self.tokens[place[here]] == keys[here]]
+        return np.concatenate([self.rows[:0], *(self.rows[self.ends[p] : self.ends[p + 1]] for p in place)])
+
+    def shared(self, keys: np.ndarray) -> np.ndarray:
+        """How many of the distinct ``keys`` each row holds."""
+        return np.bincount(self(keys), minlength=self.width)
+
+
+class Shared:
+    """Which rows on the right share a 32-bit hash with a row on the left."""
+
+    def __init__(self, left: list[bytes], right: list[bytes]):
+        self.left, rows = ([np.frombuffer(x, "<u4") for x in side] for side in (left, right))
+        self.right = Postings(rows)
 
     def __call__(self, at: range) -> np.ndarray:
-        out = np.zeros((len(at), self.width), bool)
+        out = np.zeros((len(at), self.right.width), bool)
         for k, i in enumerate(at):
-            place = np.minimum(np.searchsorted(self.tokens, self.left[i]), len(self.tokens) - 1)
-            for p in place[self.tokens[place] == self.left[i]]:
-                out[k, self.rows[self.ends[p] : self.ends[p + 1]]] = True
+            out[k, self.right(self.left[i])] = True
         return out
 
 
@@ -266,25 +281,28 @@ class Finder:
         return out
 
     def prefixes(self, sets: DataFrame, counts: np.ndarray) -> DataFrame:
-        """(id, prefix) of the crowded classes that may share a shingle of their prefix with another."""
+        """(id, prefix, shingles) of the crowded classes that may share a shingle of their prefix with another."""
         percent = self.percent
 
         def run(batch: pa.RecordBatch) -> Iterator[dict[str, object]]:
             got = [prefix(np.array(x, np.int64).view(np.uint64), counts, percent) for x in batch.column(1).to_pylist()]
-            yield {"id": batch.column(0), "prefix": got}
+            yield {"id": batch.column(0), "prefix": got, "shingles": batch.column(1)}
 
-        found = over_batches(sets.where("crowded").select("id", "shingles"), run, "id long, prefix binary")
+        schema = "id long, prefix binary, shingles array<long>"
+        found = over_batches(sets.where("crowded").select("id", "shingles"), run, schema)
         return found.where(F.length("prefix") > 0)
 
-    def large(self, own: DataFrame, members: DataFrame, every: bool) -> DataFrame:
-        """Pairs of two components among the seats of a hub, in tiles.
+    def large(self, own: DataFrame, members: DataFrame) -> DataFrame:
+        """Links (asks, other) of two components among the seats of a hub, confirmed in tiles.
 
-        Every such pair has a class outside its hub's component; those classes alone look for partners: the best one of
-        each tile, or every one near enough. A pair may be found under several hubs and is told once.
+        Every such link has a class outside its hub's component; those classes (minor = 1) ask, and each gets its most
+        similar one, whatever number it has.
         """
-        tiles = lambda n: F.ceil(F.col(n) / F.lit(TILE)).cast("int")
-        sizes = own.groupBy("hub").agg(F.count("*").alias("m"), F.sum("minor").alias("minors"))
-        sizes = sizes.select("hub", tiles("minors").alias("lefts"), tiles("m").alias("rights"))
+        tiles = lambda n, held: F.ceil(F.greatest(F.col(n) / F.lit(TILE), F.col(held) / F.lit(HELD))).cast("int")
+        sizes = own.groupBy("hub").agg(
+            F.count("*").alias("m"), F.sum("n").alias("held"), F.sum("minor").alias("minors"), F.sum(F.col("n") * F.col("minor")).alias("asked")
+        )
+        sizes = sizes.select("hub", tiles("minors", "asked").alias("lefts"), tiles("m", "held").alias("rights"))
         tile = lambda n: F.pmod(F.xxhash64("id", "hub"), F.col(n).cast("long")).cast("int")
         upto = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         member = own.join(sizes, "hub")
@@ -298,46 +316,52 @@ class Finder:
 
         def run(pdf: pd.DataFrame) -> pd.DataFrame:
             left, right = pdf[pdf["side"] == 0], pdf[pdf["side"] == 1].sort_values("id")
-            out = [np.zeros((0, 3), np.int64)]
+            out = []
             if len(left) and len(right):
                 sig = lambda x: np.frombuffer(b"".join(x["signature"]), np.uint64).reshape(len(x), -1)
                 ls, rs = sig(left), sig(right)
                 li, lc, ln = (left[c].to_numpy() for c in ("id", "component", "n"))
                 ri, rc, rn = (right[c].to_numpy() for c in ("id", "component", "n"))
                 shared = Shared(list(left["prefix"]), list(right["prefix"]))
+                asking, sets = list(left["shingles"]), None
                 for k in range(0, len(left), 64):
                     s = slice(k, k + 64)
                     small, large = np.minimum(ln[s, None], rn), np.maximum(ln[s, None], rn)
                     ok = (lc[s, None] != rc) & (100 * small >= percent * large) & shared(range(k, min(k + 64, len(left))))
-                    if not ok.any():
-                        continue
-                    guess = np.where(ok, estimate(ls[s, None], rs[None], n, bits), -1.0)
-                    if every:
-                        x, y = np.nonzero(guess >= least)
-                    else:
-                        y = guess.argmax(axis=1)
-                        x = np.flatnonzero(guess[np.arange(len(y)), y] >= least)
-                        y = y[x]
-                    out.append(np.column_stack([li[s][x], ri[y], (guess[x, y] * 1e6).astype(np.int64)]))
-            got = np.concatenate(out)
-            return pd.DataFrame({"a": got[:, :2].max(axis=1), "b": got[:, :2].min(axis=1), "guess": got[:, 2], "asks": got[:, 0]})
-
-        found = spread.groupBy("hub", "i", "j").applyInPandas(run, "a long, b long, guess long, asks long")
-        if not every:  # one proposal a class; the others wait for the next round
-            found = found.groupBy("asks").agg(F.max_by(F.struct("a", "b"), F.struct("guess", "a", "b")).alias("p")).select("p.*")
-        return found.select("a", "b").distinct()
+                    if ok.any():
+                        ok &= estimate(ls[s, None], rs[None], n, bits) >= least
+                    for x in np.flatnonzero(ok.any(axis=1)):
+                        sets = sets or Postings(list(right["shingles"]))
+                        both = sets.shared(asking[k + x])
+                        union = ln[k + x] + rn - both
+                        alike = np.where(ok[x] & (100 * both >= percent * union), both / union, -1.0)
+                        y = alike.argmax()
+                        if alike[y] >= 0:
+                            out.append((li[k + x], ri[y], alike[y]))
+            return pd.DataFrame(out, columns=["asks", "other", "alike"]).astype({"asks": "int64", "other": "int64", "alike": "float64"})
+
+        found = spread.groupBy("hub", "i", "j").applyInPandas(run, "asks long, other long, alike double")
+        return found.groupBy("asks").agg(F.max_by("other", F.struct("alike", "other")).alias("other"))
 
     @staticmethod
-    def apart_of_hub(seats: DataFrame, joined: DataFrame) -> DataFrame:
-        """Seats (id, hub) of the hubs with a class outside their component; the class's component, and minor = 1 outside."""
+    def apart_of_hub(seats: DataFrame, asks: DataFrame, joined: DataFrame) -> DataFrame:
+        """Seats (id, hub, n) of the hubs with an asking class outside their component; the class's component, and minor = 1 for those."""
         at = joined.select(F.col("id").alias("hub"), F.col("component").alias("of_hub"))
-        placed = seats.select("id", "hub").join(joined, "id", "left").join(at, "hub", "left").select(
-            "id", "hub", F.coalesce("component", "id").alias("component"),
-            (F.coalesce("component", "id") != F.coalesce("of_hub", "hub")).cast("int").alias("minor"),
+        full = seats.join(joined, "id", "left").join(at, "hub", "left").join(asks.select("id", F.lit(True).alias("asks")), "id", "left")
+        outside = F.coalesce("component", "id") != F.coalesce("of_hub", "hub")
+        placed = full.select(
+            "id", "hub", "n", F.coalesce("component", "id").alias("component"), (F.col("asks").isNotNull() & outside).cast("int").alias("minor")
         )
         mixed = placed.where("minor = 1").select("hub").distinct()
         return placed.join(mixed, "hub", "left_semi")
 
+    def grown(self, joined: DataFrame, links: DataFrame) -> DataFrame:
+        """Components with more links (a, b). What is joined already goes on as one edge a class, not with all its links."""
+        stars = joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
+        out = self.ws.table(components(self.ws, stars.union(links)), "joined")
+        self.ws.drop(joined)
+        return out
+
     def run(self) -> DataFrame:
         """(own id, ref, n, root) of every row: root is the first row (none: its id is null, own, ref) of the component."""
         ws = self.ws
@@ -378,35 +402,25 @@ class Finder:
         sets = ws.table(self.sets(classes.select("id", "key", "ref").join(needed, "id")), "sets")
         links = ws.table(self.confirm(tried, sets), "links")
         joined = ws.table(components(ws, links), "joined")
-        turn, last = -1, -1
+        fresh = ws.table(self.apart(pairs, joined), "fresh")
+        ws.drop(pairs)
+        if not fresh.isEmpty():
+            joined = self.grown(joined, ws.table(self.confirm(fresh, sets), "links"))
         if not seats.isEmpty():
-            last = PROPOSALS
             members = self.prefixes(sets, self.counts(sets)).join(classes.select("id", "n", "signature"), "id")
             members = ws.table(members, "members")
-            seated = ws.table(seats.join(members.select("id"), "id", "left_semi"), "seats")
-            ws.drop(seats)
-            seats = seated
-        fresh = ws.table(self.apart(pairs, joined), "fresh")
-        ws.drop(pairs)
-        while True:
-            if not fresh.isEmpty():
-                found = ws.table(self.confirm(fresh, sets), "links")
-                tried = tried.union(fresh)
-                if not found.isEmpty():
-                    # what is joined already goes on as one edge a class, not with all its links
-                    before, stars = joined, joined.select(F.col("id").alias("a"), F.col("component").alias("b"))
-                    joined = ws.table(components(ws, stars.union(found)), "joined")
-                    ws.drop(before)
-            elif turn >= 0:  # the next proposals would be the same
-                turn = max(turn, last - 1)
-            if turn == last:
-                break
-            turn += 1
-            # components only grow: what has no part in this round has none in a later one
-            own = ws.table(self.apart_of_hub(seats, joined), "seats")
-            ws.drop(seats)
-            seats = own
-            fresh = ws.table(self.large(own, members, turn == last).join(tried, ["a", "b"], "left_anti"), "fresh")
+            asks, seated = members.select("id"), seats.join(members.select("id", "n"), "id")
+            while True:
+                # components only grow: a hub that has no part in this round, or a class that gets no link, has none in a later one
+                own = ws.table(self.apart_of_hub(seated.select("id", "hub", "n"), asks, joined), "seats")
+                ws.drop(seats)
+                seats = seated = own
+                links = ws.table(self.large(seats, members), "links")
+                if links.isEmpty():
+                    break
+                joined = self.grown(joined, links.select(F.col("asks").alias("a"), F.col("other").alias("b")))
+                asks = links.select(F.col("asks").alias("id"))
+            ws.drop(members)
         ws.drop(sets, seats)
         by_class = classes.select("key", "id", "first").join(joined, "id", "left").withColumn("component", F.coalesce("component", "id"))
         # written, so that a large component is an uneven join of two tables, which is dealt anew

@@ -96,6 +96,59 @@ def test_a_template_raises_pairs_in_proportion_to_its_documents(docs, monkeypatc
     assert sent[2] < 20 * 1000 and sent[2] < 2.5 * sent[1] < 6.5 * sent[0]
 
 
+def near_copies(n):
+    """Documents of one text with 6 of 30 spots changed in a known way, 4 of them never alike in two: similarity up to 0.784."""
+    rng = random.Random(8)
+    spots = []
+    while len(spots) < n:
+        new = frozenset(rng.sample(range(30), 6))
+        if all(len(new & x) < 4 for x in spots):
+            spots.append(new)
+    return [(i, " ".join(f"alt{k}" if k % 3 == 1 and k // 3 in x else f"w{k}" for k in range(100))) for i, x in enumerate(spots)]
+
+
+def test_near_copies_below_the_threshold_raise_rows_in_proportion(docs, monkeypatch):
+    sent, links = [], []
+    confirm, large = minhash.Finder.confirm, minhash.Finder.large
+
+    def counted(self, pairs, sets):
+        sent[-1] += pairs.count()
+        return confirm(self, pairs, sets)
+
+    def told(self, *a):
+        out = large(self, *a)
+        links[-1] += out.count()
+        return out
+
+    monkeypatch.setattr(minhash.Finder, "confirm", counted)
+    monkeypatch.setattr(minhash.Finder, "large", told)
+    monkeypatch.setattr(minhash, "SMALL", 4)
+    for n in (100, 200, 400):
+        sent.append(0)
+        links.append(0)
+        got = minhash.near_duplicates(docs(near_copies(n)), shingle_size=2).collect()
+        assert all(r["kept"] and r["component_id"] == r["doc_id"] for r in got)
+    assert sent[2] < 50 * 400 and sent[2] < 2.5 * sent[1] < 6.5 * sent[0]
+    assert links == [0, 0, 0]
+
+
+def test_links_among_near_copies_are_found_in_tiles(docs, monkeypatch):
+    monkeypatch.setattr(minhash, "SMALL", 2)
+    monkeypatch.setattr(minhash, "TILE", 32)
+    monkeypatch.setattr(minhash, "HELD", 2000)
+    rows, rng = near_copies(150), random.Random(9)
+    rows += [(1000 + i, edited(t.split(), rng.randrange(3, 9), rng)) for i, t in rows[::5]]
+    got = minhash.near_duplicates(docs(rows), shingle_size=2).collect()
+    assert {(r["doc_id"], r["n_shingles"], r["component_id"]) for r in got} == plain(rows)
+
+
+def test_rows_of_hashes():
+    held = minhash.Postings([np.array(x, np.int64) for x in ([1, 5, 9], [], [5], [-7, 9])])
+    assert held.shared(np.array([5, 9, 10])).tolist() == [2, 0, 1, 1]
+    assert held.shared(np.array([2, 99])).tolist() == [0, 0, 0, 0]
+    assert minhash.Postings([np.zeros(0, np.int64)]).shared(np.array([1])).tolist() == [0]
+
+
 def test_sets_at_the_threshold_share_a_shingle_of_their_prefixes():
     rng = np.random.default_rng(3)
     counts = rng.integers(2, 50, 1 << 10).astype(np.uint32)
